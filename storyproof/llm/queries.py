@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import simhash
+from storyproof.llm import decontaminate, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": packing.op1_pack,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_simhash": simhash.op8_simhash,
 }
 
