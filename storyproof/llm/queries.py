@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import chat, decontaminate, packing, secrets, simhash, toxicity
+from storyproof.llm import chat, decontaminate, licenses, packing, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
+    "op2_licenses": licenses.op2_licenses,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
