@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import chat, decontaminate, licenses, packing, secrets, simhash, toxicity
+from storyproof.llm import chat, decontaminate, licenses, packing, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
     "op2_licenses": licenses.op2_licenses,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
 }
 
 SQL: dict[str, str] = {
+    "op6_warc": warc.SQL,
     "op9_chat": chat.SQL,
 }
