@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import chat, decontaminate, licenses, packing, secrets, simhash, toxicity, warc
+from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
     "op2_licenses": licenses.op2_licenses,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_embeddings": embeddings.SQL,
     "op6_warc": warc.SQL,
     "op9_chat": chat.SQL,
 }
