@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, secrets, simhash, toxicity, warc
+from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, pii, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL: dict[str, str] = {
