@@ -46,7 +46,8 @@ def weight(k1: float, b: float) -> Column:
 def scores(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> DataFrame:
     """(query, corpus, doc, score) of every document with a term of the query; queries (query, corpus, terms array).
 
-    How often a query has a term doesn't count.
+    How often a query has a term doesn't count. Scores are rounded to nine places, so that the order in which a shuffle brings
+    the addends doesn't decide between equal documents.
     """
     cfg = cfg or Retrieval()
     asked = queries.select("query", "corpus", F.explode(F.array_distinct("terms")).alias("term"))
@@ -57,7 +58,7 @@ def scores(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Da
     df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = postings.join(df, ["corpus", "term"]).join(index.corpora, "corpus").withColumn("idf", idf).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
-    return asked.join(weighed, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg(F.sum("w").alias("score"))
+    return asked.join(weighed, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
 FEW = 1_000_000

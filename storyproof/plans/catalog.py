@@ -1,10 +1,6 @@
-"""The named queries over the star-schema and text tables, and the SQL that gives the same rows."""
+"""All named queries over the star-schema and text tables, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from storyproof.plans import evidence_queries, retrieval_queries  # noqa: F401
+from storyproof.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
