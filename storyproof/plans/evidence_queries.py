@@ -27,7 +27,7 @@ sums AS (SELECT id, round(coalesce(sum(confidence) FILTER (label = 'SUPPORT'), 0
   round(coalesce(sum(confidence) FILTER (label = 'NEUTRAL'), 0), 6) AS neutral_weight, count(*) FILTER (label = 'NEUTRAL') AS neutral_n,
   round(coalesce(sum(confidence) FILTER (label = 'CONTRADICT'), 0), 6) AS contradict_weight, count(*) FILTER (label = 'CONTRADICT') AS contradict_n FROM evidence GROUP BY id),
 states AS (SELECT o_custkey AS id, CASE WHEN max(o_totalprice) > 499000 THEN 'UNSAT' WHEN max(o_totalprice) > 450000 THEN 'SOFT_VIOLATIONS' ELSE 'SAT' END AS status,
-  round(max(o_totalprice) / 600000, 4) AS logic_conf FROM orders GROUP BY o_custkey),
+  round(max(o_totalprice) / 599999.0::DOUBLE, 9) AS logic_conf FROM orders GROUP BY o_custkey),
 ids AS (SELECT id FROM sums UNION SELECT c_custkey FROM customer WHERE c_custkey <= 400),
 feats AS (SELECT i.id, coalesce(support_weight, 0) AS support_weight, coalesce(support_n, 0) AS support_n, coalesce(neutral_weight, 0) AS neutral_weight, coalesce(neutral_n, 0) AS neutral_n,
   coalesce(contradict_weight, 0) AS contradict_weight, coalesce(contradict_n, 0) AS contradict_n, coalesce(status, 'SAT') AS status, coalesce(logic_conf, 0) AS logic_conf,
@@ -58,7 +58,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.max("o_totalprice")
     status = F.when(top > 499000, F.lit("UNSAT")).when(top > 450000, F.lit("SOFT_VIOLATIONS")).otherwise(F.lit("SAT"))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(status.alias("status"), F.round(top / 600000, 4).alias("confidence"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(status.alias("status"), F.round(top / 599999.0, 9).alias("confidence"))
 
 
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
