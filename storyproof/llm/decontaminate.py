@@ -31,21 +31,27 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """INDEX rows of docs (uid, doc_id, text), for the terms with the given sorted hashes.
+def index(docs: DataFrame, vocabulary: np.ndarray, keep: int = 0) -> DataFrame:
+    """INDEX rows of docs (uid, doc_id, text, others), for the terms with the given sorted hashes.
 
-    A row with a null n_words holds counts instead: positions has how often each of terms occurs in some of the texts.
+    The last columns of docs, as many as keep says, are stored beside the postings, so that whoever wants them need not join
+    texts to findings. A row with a null n_words holds counts instead: positions has how often each of terms occurs in some of
+    the texts.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = docs.columns[len(docs.columns) - keep :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, names = known.value, [x.split()[0] for x in INDEX.split(", ")]
+        hashes, names = known.value, [x.split()[0] for x in INDEX.split(", ")] + kept
+        kinds: list[pa.DataType] = []
         maybe = np.zeros(1 << 20, dtype=bool)
         maybe[hashes >> np.uint64(44)] = True
         at = TaskContext.get().partitionId() << 33
         totals = np.zeros(len(hashes), dtype=np.int64)
         for b in batches:
             texts, docs_of, uids = payloads(b.column(2)), b.column(1), b.column(0)
+            others = [b.column(c) for c in kept]
+            kinds = [c.type for c in others]
             for lo, hi in slices(map(len, texts), SLICE):
                 w = Words(texts[lo:hi])
                 near = np.flatnonzero(maybe[w.hash >> np.uint64(44)])
@@ -61,14 +67,18 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 base = np.searchsorted(text, np.arange(hi - lo))
                 ids = pa.array(np.arange(at, at + hi - lo)) if uids.null_count else uids.slice(lo, hi - lo)
                 at += hi - lo
-                yield pa.RecordBatch.from_arrays([ids, docs_of.slice(lo, hi - lo), pa.array(np.diff(w.first)), _lists(term[last], of_doc), _lists(last + 1 - base[text[last]], of_doc), _lists(position, np.searchsorted(text, np.arange(1, hi - lo + 1)))], names)
+                yield pa.RecordBatch.from_arrays([ids, docs_of.slice(lo, hi - lo), pa.array(np.diff(w.first)), _lists(term[last], of_doc), _lists(last + 1 - base[text[last]], of_doc), _lists(position, np.searchsorted(text, np.arange(1, hi - lo + 1))), *(c.slice(lo, hi - lo) for c in others)], names)
         used = np.flatnonzero(totals)
         for some in np.array_split(used, len(used) // 100_000 + 1):
             most = np.minimum(totals[some], 2**31 - 1)
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, _lists(some, [len(some)]), pa.nulls(1, pa.list_(pa.int32())), _lists(most, [len(some)])], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, _lists(some, [len(some)]), pa.nulls(1, pa.list_(pa.int32())), _lists(most, [len(some)]), *(pa.nulls(1, k) for k in kinds)], names)
 
-    return materialize(arrow_map(docs, run, INDEX), "postings")
+    return materialize(arrow_map(docs, run, _with(INDEX, docs, kept)), "postings")
+
+
+def _with(schema: str, df: DataFrame, columns: list[str]) -> str:
+    return ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)])
 
 
 class Plan:
@@ -100,15 +110,16 @@ class Plan:
 
 
 def search(postings: DataFrame, plan: Plan, window: int, slop: int, share: float) -> DataFrame:
-    """FOUND rows: the items with a window in the document, the spans of words inside any, and the number of proximity matches.
+    """FOUND rows, and what the index has kept beside: the items with a window in the document, the spans of words inside any, and the number of proximity matches.
 
     A proximity match is a place where the window's rarest term stands and at least that share of its terms, but not all at
     their offsets, stand within slop words of their offset-adjusted places.
     """
     held = postings.sparkSession.sparkContext.broadcast(plan)
+    kept = postings.columns[INDEX.count(", ") + 1 :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names, pad = held.value, [x.split()[0] for x in FOUND.replace("start:long,end:long", "").split(", ")], window + slop + 1
+        p, names, pad = held.value, [x.split()[0] for x in FOUND.replace("start:long,end:long", "").split(", ")] + kept, window + slop + 1
         for b in batches:
             n_words = b.column(2).to_numpy()
             for lo, hi in slices(n_words.tolist(), SLICE):
@@ -156,14 +167,14 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int, share: float
                 met_at = np.unique(np.stack([document(start[exact]), which[exact]]), axis=1)
                 for d, w in met_at.T.tolist():
                     items[d] += p.items[w]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near)], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near), *(b.column(c).slice(lo, hi - lo) for c in kept)], names)
 
-    return arrow_map(postings.where(F.col("n_words").isNotNull()), run, FOUND)
+    return arrow_map(postings.where(F.col("n_words").isNotNull()), run, _with(FOUND, postings, kept))
 
 
-def _found(docs: DataFrame, items: list[tuple[str, np.ndarray]], window: int, slop: int, share: float) -> DataFrame:
+def _found(docs: DataFrame, items: list[tuple[str, np.ndarray]], window: int, slop: int, share: float, keep: int = 0) -> DataFrame:
     vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, dtype=np.uint64)
-    postings = index(docs, vocabulary)
+    postings = index(docs, vocabulary, keep)
     counts = np.zeros(len(vocabulary), dtype=np.int64)
     pairs = postings.where(F.col("n_words").isNull()).select(F.inline(F.arrays_zip("terms", "positions"))).groupBy("terms").agg(F.sum("positions").alias("n"))
     for r in pairs.collect():  # as many rows as the items have terms
@@ -177,17 +188,19 @@ def _items(bench: DataFrame) -> list[tuple[str, np.ndarray]]:
     return [(r[0], w.hash[w.first[i] : w.first[i + 1]]) for i, r in enumerate(rows)] if w else []
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE, keep: bool = False) -> DataFrame:
     """FOUND rows, one for each row of docs (doc_id, text), for the items of bench (item_id, text).
 
     Words are compared by 64-bit hashes. Null or empty texts have no words; an item of fewer words than a window is one
     window, and one without words or id is none. Items are held in memory where their number and bytes are within ITEM_ROWS
     and ITEM_BYTES; more are dealt into parts that are, one after another, and their findings merged by document. Repeated
-    rows keep their rows. An empty table gives none. Other columns are ignored.
+    rows keep their rows. An empty table gives none. Other columns are ignored, unless keep is set: then all columns of docs
+    follow, named kept_ and their place.
     """
-    docs = docs.select(F.lit(None).cast("long").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(docs.columns)] if keep else []
+    docs = docs.select(F.lit(None).cast("long").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     if bounded(bench, ITEM_ROWS, ITEM_BYTES, "text"):
-        return _found(docs, _items(bench), window, slop, share)
+        return _found(docs, _items(bench), window, slop, share, len(others))
     docs = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
     parts, of, all_found = 2, F.xxhash64("item_id", "text"), None
     while not all(bounded(bench.where(F.pmod(of, F.lit(parts)) == i), ITEM_ROWS, ITEM_BYTES, "text") for i in range(parts)):
@@ -196,7 +209,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
         found = materialize(_found(docs, _items(bench.where(F.pmod(of, F.lit(parts)) == i)), window, slop, share), "found")
         all_found = all_found.unionByName(found) if all_found else found
     join: list[Column] = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
-    return all_found.groupBy("uid").agg(*join, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_near").alias("n_near")).select("uid", "doc_id", "n_words", "items", F.udf(_merged, "array<struct<start:long,end:long>>")("spans").alias("spans"), "n_near")
+    merged = all_found.groupBy("uid").agg(*join, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_near").alias("n_near")).select("uid", "doc_id", "n_words", "items", F.udf(_merged, "array<struct<start:long,end:long>>")("spans").alias("spans"), "n_near")
+    return merged.join(docs.select("uid", *(c for c in docs.columns if c.startswith("kept_"))), "uid") if others else merged
 
 
 def _merged(spans: list) -> list[dict]:
