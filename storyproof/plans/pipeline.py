@@ -1,4 +1,4 @@
-"""From novels and summaries of characters to decisions, reports and a package: all steps as one lazy plan, then its sinks."""
+"""From novels and summaries of characters to decisions, reports and a package: DataFrame steps over stored tables, then sinks."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from storyproof.sources import readers, writers
 
 @dataclass
 class Run:
-    """The tables of a run, none computed before it is asked for."""
+    """The tables of a run."""
 
     novels: DataFrame
     chunks: DataFrame
@@ -38,6 +38,11 @@ class Run:
     dossiers: DataFrame
 
 
+def checkpointed(name: str, df: DataFrame) -> DataFrame:
+    """A table that later steps read, stored in the session's spark.checkpoint.dir, so that plans stay short."""
+    return df.checkpoint()
+
+
 def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str) -> tuple[DataFrame, DataFrame]:
     """Candidates and coverage of claims; books are matched by trimmed, lower-cased name."""
     key = F.lower(F.trim("book_name"))
@@ -56,7 +61,7 @@ def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str)
     return found, covered
 
 
-def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates: DataFrame, evidence: DataFrame, facts: DataFrame, train: DataFrame, cfg: Settings, run_id: str, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.persist()) -> dict[str, DataFrame]:
+def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates: DataFrame, evidence: DataFrame, facts: DataFrame, train: DataFrame, cfg: Settings, run_id: str, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> dict[str, DataFrame]:
     """The steps from facts on; any run can be taken up here from stored tables."""
     aliases = graph.alias_table(claims, run_id)
     triples = keep("triples", graph.triples(facts, chunks, evidence, aliases, cfg.kg.min_fact_conf, run_id))
@@ -70,7 +75,7 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
     return {"aliases": aliases, "triples": triples, "constraints": constraints, "grounded": conflicts.grounded(ids, run_id), "threshold": threshold, "decisions": decisions, "dossiers": report.dossiers(decisions, claims, evidence, candidates, chunks)}
 
 
-def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.persist()) -> Run:
+def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> Run:
     """All tables of a run of train and test rows over novels (book_name, text).
 
     keep(name, df) gives back what later steps read in place of a table that several of them need.
