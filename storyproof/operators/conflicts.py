@@ -32,19 +32,27 @@ def structural(edges: DataFrame) -> DataFrame:
 def candidate_pairs(statements: DataFrame, cfg: Logic | None = None) -> DataFrame:
     """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, negations.
 
-    Pairs come from an inverted index, a self-join on (id, token); their token sets are compared only if they share enough.
-    Of each id the max_pairs with most shared tokens are kept, ties by i and j.
+    Any pair that is kept has a Jaccard similarity of at least t = 0.6 * min_jaccard, so with tokens in one order, here the
+    rarest of an id first, the two share one of the first n - ceil(t * n) + 1 of each. Only those prefixes meet, in a join on
+    (id, token), which leaves out the most frequent tokens; tokens of one statement only and pairs of too unlike sizes go
+    too. Whole token sets are compared for what is left. Of each id the max_pairs with most shared tokens are kept, ties by
+    i and j.
     """
     cfg = cfg or Logic()
+    least = cfg.min_jaccard * 0.6
     sets = statements.select("id", "pos", token_set(F.col("text")).alias("tokens"))
-    postings = sets.select("id", "pos", F.explode("tokens").alias("token"))
-    i, j = (postings.select("id", "token", F.col("pos").alias(x)) for x in "ij")
-    shared = i.join(j, ["id", "token"]).where("i < j").groupBy("id", "i", "j").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= cfg.min_shared_tokens)
+    postings = sets.select("id", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    known = postings.join(postings.groupBy("id", "token").agg(F.count(F.lit(1)).alias("df")), ["id", "token"])
+    rarest = F.row_number().over(Window.partitionBy("id", "pos").orderBy("df", "token"))
+    prefix = known.withColumn("_r", rarest).where((F.col("_r") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
+    i, j = (prefix.select("id", "token", F.col("pos").alias(x), F.col("n").alias(f"n{x}")) for x in "ij")
+    sizes = F.least("ni", "nj") >= least * F.greatest("ni", "nj") - 1e-9
+    met = i.join(j, ["id", "token"]).where((F.col("i") < F.col("j")) & sizes).select("id", "i", "j").distinct()
     of = lambda x: sets.select("id", F.col("pos").alias(x), F.col("tokens").alias(f"t{x}"))
-    full = shared.join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"])
+    full = met.join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"]).withColumn("shared", F.size(F.array_intersect("ti", "tj")).cast("long")).where(F.col("shared") >= cfg.min_shared_tokens)
     unlike = negated(F.col("ti")) != negated(F.col("tj"))
     measured = full.select("id", "i", "j", "shared", jaccard(F.col("ti"), F.col("tj")).alias("jaccard"), unlike.alias("unlike"))
-    near = measured.where((F.col("jaccard") >= cfg.min_jaccard) | (F.col("unlike") & (F.col("jaccard") >= cfg.min_jaccard * 0.6)))
+    near = measured.where((F.col("jaccard") >= cfg.min_jaccard) | (F.col("unlike") & (F.col("jaccard") >= least)))
     order = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cfg.max_pairs).drop("_n")
 
