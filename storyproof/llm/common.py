@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
 import os
 import shutil
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -55,8 +58,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows, so that a worker holds few texts at once.
+
+    Workers outlive their tasks; what a task has freed goes back to the system at its end.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            freed()
+
+    return df.mapInArrow(run, schema)
+
+
+def freed() -> None:
+    """Gives memory that is free in this process back to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def payloads(column: pa.Array) -> list[bytes]:

@@ -22,7 +22,7 @@ from storyproof.llm.common import Words, arrow_map, bounded, materialize, payloa
 
 WINDOW, SLOP, SHARE = 10, 2, 0.8
 ITEM_ROWS, ITEM_BYTES = 100_000, 16_000_000
-SLICE = 2_000_000
+SLICE = 500_000
 INDEX = "uid long, doc_id long, n_words long, terms array<int>, ends array<int>, positions array<int>"
 FOUND = "uid long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_near long"
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from storyproof.llm.common import arrow_map, materialize
 
 CAPACITY, EOD = 2048, 0
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 
 class Known(dict):
