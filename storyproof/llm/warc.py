@@ -194,7 +194,7 @@ def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
                     fs, path = pa.fs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)
                     made.append([f"{folder}/{uuid.uuid4().hex}.warc.zst", 0, 0])
-                    writer = Writer(fs.open_output_stream(f"{path}/{made[-1][0].rpartition('/')[2]}"))
+                    writer = Writer(fs.open_output_stream(f"{path}/{made[-1][0].rpartition('/')[2]}", compression=None))
                 page_id, url, html, sha1, size, first, revisit = row
                 writer.add(build(page_id, url, html or b"", sha1, size, first, revisit))
                 made[-1][1] += 1
@@ -227,7 +227,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for file in b.column(0).to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(file)
                 rows: list[dict] = []
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     content = frames(stream)
                     while True:
                         try:
