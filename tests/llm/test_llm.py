@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, pii, secrets, simhash, toxicity, warc
+from storyproof.llm import chat, decontaminate, embeddings, licenses, near_copies, packing, pii, secrets, simhash, toxicity, warc
 
 rng = random.Random(3)
 VOCABULARY = [f"w{i}" for i in range(60)] + ["the", "Of", "ÉTÉ", "naïve", "日本", "x-y", "it's", "42"]
@@ -345,3 +345,28 @@ def test_pipeline(spark, tmp_path):
     assert 501 in left[1] and left[1] - left[2] == {501} and left[3] == left[2] == left[4]
     assert spark.read.parquet(f"{tmp_path}/3").where("text like '%abcdef0123%'").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == df.count()
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    words = lambda n: [f"{r.choice('bcdfg')}{r.randrange(900)}" for _ in range(n)]
+    rows = []
+    for g in range(60):
+        base = words(r.choice([3, 60, 60, 200]))
+        for _ in range(30 if g == 7 else r.randrange(1, 5)):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randrange(1 + len(w) // 40)):
+                w[at] = words(1)[0]
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t, *_ in rows)]
+    root = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in rows:
+        for i, j in close:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x["doc_id"] for x in corpus_pipeline.without_copies(spark, docs, "").collect()}
+    assert left == set(root) and len(left) < len(rows)
+    assert near_copies.jaccard(near_copies.shingles(b"a b"), near_copies.shingles(b"A  b")) == 1
