@@ -24,6 +24,8 @@ BEGINNING, ENDING = 4, 4
 SLICE = 400_000
 #: The bound of the training sample: labelled rows of each class, those with the smallest hash of their doc_id.
 ROWS_PER_CLASS = 3000
+#: Bins of scores that thresholds are chosen between; of all labelled rows, only counts by bin reach the driver.
+BINS = 1000
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def _start(words: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) ->
     return out
 
 
-def fit(texts: list[bytes], labels: list[int], langs: list[str], prior: float, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Model:
     """Trains on some texts with Adam; the last unit is then shifted from the sample's share of label 1 to the prior.
 
     One class only, or no text, gives the constant model of the prior.
@@ -164,24 +166,32 @@ def fit(texts: list[bytes], labels: list[int], langs: list[str], prior: float, e
                     m2 *= 0.99
                     m2 += 0.01 * grad**2
                     p -= rate * m1 / (np.sqrt(m2) + 1e-6)
-    model = Model(E @ W, b, v.astype(np.float64), float(c[0]) + float(np.log(prior / (1 - prior))))
-    scores = model.score(texts)
-    for lang in sorted({x for x in langs if x is not None}):
-        of = np.array([x == lang for x in langs])
-        model.thresholds[lang] = threshold(scores[of], y[of])
-    return model
+    return Model(E @ W, b, v.astype(np.float64), float(c[0]) + float(np.log(prior / (1 - prior))))
+
 
+def threshold(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The edge of a score bin at which fewest rows are on the wrong side, from 0.05 to 0.95 and as near to 0.5 as that allows.
 
-def threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Between the scores of the labels, where fewest rows are on the wrong side, and as near to 0.5 as that allows."""
-    cuts = np.unique(scores)
-    cuts = np.unique(np.clip(np.concatenate([[0.5], (cuts[1:] + cuts[:-1]) / 2]), 0.05, 0.95))
-    order = np.argsort(scores)
-    below = np.searchsorted(scores[order], cuts)
-    toxic = np.concatenate([[0], np.cumsum(y[order])])
-    wrong = toxic[below] + (len(y) - below) - (toxic[-1] - toxic[below])
+    clean and toxic are counts by bin; a row is flagged from the lower edge of its bin on.
+    """
+    cuts = np.arange(BINS // 20, BINS - BINS // 20 + 1)
+    missed, all_clean = np.concatenate([[0], np.cumsum(toxic)]), np.concatenate([[0], np.cumsum(clean)])
+    wrong = (missed + all_clean[-1] - all_clean)[cuts]
     best = cuts[wrong == wrong.min()]
-    return float(best[np.abs(best - 0.5).argmin()])
+    return float(best[np.abs(best - BINS // 2).argmin()] / BINS)
+
+
+def calibrate(model: Model, docs: DataFrame, labels: DataFrame) -> None:
+    """Sets the thresholds by language from all rows of labels (doc_id, toxic), by their counts in each bin of scores.
+
+    All docs are scored before they meet the labels, so no text is shuffled whatever the number of labels.
+    """
+    scored = score(docs.select("doc_id", "text", "lang").where("lang is not null"), model).select("doc_id", "lang", "score").join(labels, "doc_id")
+    at = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    counts: dict[str, np.ndarray] = {}
+    for r in scored.groupBy("lang", "toxic", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * BINS rows a language
+        counts.setdefault(r["lang"], np.zeros((2, BINS), dtype=np.int64))[int(r["toxic"]), r["bin"]] += r["n"]
+    model.thresholds.update({lang: threshold(*counts[lang]) for lang in sorted(counts)})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """Fits a model to labelled rows that aren't held out.
 
     The sample is bounded by rows_per_class for each label: those with the smallest hash of doc_id. Labels that are null or
-    neither 0 nor 1 are ignored. The prior is the share of label 1 among all labelled rows that aren't held out.
+    neither 0 nor 1 are ignored. The prior is the share of label 1 among all labelled rows that aren't held out. Thresholds
+    are calibrated on all of those.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -200,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     sample = usable.where("toxic = 1").orderBy(*by_hash).limit(rows_per_class).unionByName(usable.where("toxic = 0").orderBy(*by_hash).limit(rows_per_class))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(sample), "doc_id").orderBy(*by_hash, "toxic").limit(2 * rows_per_class).collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([bytes(r["text"] or b"") for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows], prior)
+    model = fit([bytes(r["text"] or b"") for r in rows], [r["toxic"] for r in rows], prior)
+    calibrate(model, docs, usable)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

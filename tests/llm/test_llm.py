@@ -370,3 +370,23 @@ def test_pipeline_near_copies(spark):
     left = {x["doc_id"] for x in corpus_pipeline.without_copies(spark, docs, "").collect()}
     assert left == set(root) and len(left) < len(rows)
     assert near_copies.jaccard(near_copies.shingles(b"a b"), near_copies.shingles(b"A  b")) == 1
+
+
+def test_toxicity_thresholds_cover_all_labels(spark, monkeypatch):
+    # the score is the text's number: of the rows with doc_id below 40 alone, any cut between 0.3 and 0.7 is right
+    monkeypatch.setattr(toxicity.Model, "score", lambda self, texts: np.array([float(t) for t in texts]))
+    rows = [(i, "0.3" if i % 2 else "0.7", "en", i % 2 == 0) for i in range(40)] + [(i, "0.8", "en", i % 10 == 0) for i in range(40, 400)] + [(900, "0.99", "en", True), (901, "0.8", "de", True)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(y)) for i, *_, y in rows], "doc_id long, toxic int")
+    model = toxicity.Model(np.zeros(1), np.zeros(1), np.zeros(1), 0.0)
+    monkeypatch.setattr(toxicity, "arrow_map", lambda df, run, schema: df.withColumn("score", F.col("text").cast("double")))
+    toxicity.calibrate(model, docs, labels)
+    assert 0.8 < model.thresholds["en"] <= 0.95 and model.thresholds["de"] == 0.5
+    clean, toxic = np.zeros(toxicity.BINS), np.zeros(toxicity.BINS)
+    clean[600], toxic[600], toxic[700] = 8, 1, 5
+    assert 0.6 < toxicity.threshold(clean, toxic) <= 0.7
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, prior: seen.append(len(texts)) or model)
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, d, y: seen.append(y.count()))
+    toxicity.train(docs, labels, 5)
+    assert seen[0] <= 10 and seen[1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
