@@ -1,7 +1,7 @@
 """PII: detected entities get surrogates that are keyed, of the same type and format, and distinct wherever the originals are.
 
 A surrogate is made by format-preserving encryption of the entity's normal form: each character moves within its own kind
-(digits, vowels or consonants of its script, given names of one gender), so script, case, punctuation, length and gender stay.
+(digits, vowels or consonants of its script, other letters of its part of Unicode, given names of one gender), so script, case, punctuation, length and gender stay.
 The encryption is a keyed permutation conjugated with a shift: one to one, never the identity, and the same in every document,
 so mentions of one entity stay mentions of one. A check over all entities of the corpus confirms that no two share a
 surrogate; were there any, everything would be made anew under the next tweak of the key.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -92,17 +94,49 @@ def moved(x: int, n: int, tweak: str) -> int:
     return walk((walk(x) + shift) % n, back=True)
 
 
+@lru_cache(maxsize=1)
+def _other_kinds() -> dict[str, str]:
+    """The kind of each letter beyond KINDS that a name can hold: letters of the same 128 code points and the same sort.
+
+    Letters with two cases are there in lower case. Those that would be alone are together, so that any can move.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for c in filter(re.compile(r"[^\W\d_]").match, map(chr, range(sys.maxunicode + 1))):
+        if c not in KIND_OF and _low(c) == c:
+            cased = c.upper() != c and _low(c.upper()) == c
+            groups.setdefault((cased or unicodedata.category(c), re.match(_NAME, c * 2) is not None, ord(c) >> 7), []).append(c)
+    for level in (2, 1, 0):
+        alone = [k for k, v in groups.items() if len(v) == 1]
+        for k in alone:
+            groups.setdefault(k[:level], []).extend(groups.pop(k))
+    return {c: "".join(v) for v in groups.values() for c in v}
+
+
+def _low(c: str) -> str:
+    """c in lower case where that and back again are one to one, else c itself."""
+    low = c.lower()
+    return low if len(low) == 1 and low.upper() == c else c
+
+
+@lru_cache(maxsize=1 << 14)
+def _kind(c: str) -> str | None:
+    """The letters or digits that c moves among, in lower case; nothing for what is neither."""
+    low = _low(c)
+    return KIND_OF.get(low) or (_other_kinds().get(low) if c.isalnum() else None)
+
+
 def shuffled(text: str, tweak: str) -> str:
     """text with every letter or digit moved within its kind and case; what belongs to no kind stays."""
-    places = [(i, KIND_OF[c.lower()]) for i, c in enumerate(text) if c.lower() in KIND_OF]
+    places = [(i, kind) for i, c in enumerate(text) if (kind := _kind(c))]
     x, n = 0, 1
     for i, kind in places:
-        x, n = x * len(kind) + kind.index(text[i].lower()), n * len(kind)
-    shape = "".join("." if c.lower() not in KIND_OF else str(KINDS.index(KIND_OF[c.lower()])) for c in text)
+        x, n = x * len(kind) + kind.index(_low(text[i])), n * len(kind)
+    of = dict(places)
+    shape = "".join("." if i not in of else str(KINDS.index(of[i])) if of[i] in KINDS else f"[{ord(of[i][0]):x}]" for i in range(len(text)))
     y, out = moved(x, n, f"{tweak}/{shape}"), list(text)
     for i, kind in reversed(places):
         y, d = divmod(y, len(kind))
-        out[i] = kind[d].upper() if text[i].isupper() else kind[d]
+        out[i] = kind[d].upper() if _low(text[i]) != text[i] else kind[d]
     return "".join(out)
 
 

@@ -390,3 +390,22 @@ def test_toxicity_thresholds_cover_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "calibrate", lambda m, d, y: seen.append(y.count()))
     toxicity.train(docs, labels, 5)
     assert seen[0] <= 10 and seen[1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
+
+
+def test_pii_scripts(spark):
+    names = ["王小明", "李小龍", "שרה כהן", "Éé", "Élodie Müller", "Ђорђе", "Άρης", "김철수", "Øß", "محمد", "ǅa", "\u212aa", "Ka", "İa", "०१क२", "अम"]
+    rows = [(i, f"Dr {n} said") for i, n in enumerate(names)] + [(100, "Maria 王明 came")]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows)
+    for i, n in enumerate(names):
+        if out[i]["entities"]:
+            made = out[i]["text"][3:-5]
+            assert len(made) == len(n) and all(a != b for a, b in zip(made.split(), n.split(), strict=True)) and pii.PERSON.fullmatch(f"Dr {made}")
+    assert sum(len(r["entities"]) for r in out.values()) >= len(names) - 1
+    assert "王明" not in out[100]["text"] and "Maria" not in out[100]["text"]
+    kinds = pii._other_kinds()
+    assert min(map(len, kinds.values())) > 1
+    for c in ("é", "王", "ש"):
+        made = {pii.shuffled(x, "v0") for x in kinds[c]}
+        assert made == set(kinds[c]) and all(pii.shuffled(x, "v0") != x for x in kinds[c])
+    assert pii.shuffled("ÉÑ", "v0").lower() == pii.shuffled("éñ", "v0")
