@@ -3,7 +3,7 @@
 The index is made in one pass over the texts and stored in the shared folder: for each document the postings of the terms
 that benchmark items use, each term with its positions, and beside them how often each such term occurs in the corpus. It is
 sharded by document, so making and searching it shuffle only term counts. A search reads the stored postings alone: each
-window of an item starts from its rarest term, shifts that list by the term's offset in the window, and keeps the places
+window of an item starts from its rarest term (or from several, for proximity matches), shifts that list by the term's offset in the window, and keeps the places
 which the lists of the next rarer terms, shifted likewise, confirm.
 """
 
@@ -24,7 +24,7 @@ WINDOW, SLOP, SHARE = 10, 2, 0.8
 ITEM_ROWS, ITEM_BYTES = 100_000, 16_000_000
 SLICE = 500_000
 INDEX = "uid long, doc_id long, n_words long, terms array<int>, ends array<int>, positions array<int>"
-FOUND = "uid long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_near long"
+FOUND = "uid long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_near long, near array<struct<item:string,start:long,end:long>>"
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -82,9 +82,13 @@ def _with(schema: str, df: DataFrame, columns: list[str]) -> str:
 
 
 class Plan:
-    """The distinct windows of some items, each with its terms from the rarest on; an anchor is the rarest term of a window."""
+    """The distinct windows of some items, each with its terms from the rarest on; an anchor is the rarest term of a window.
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], vocabulary: np.ndarray, counts: np.ndarray, window: int):
+    Of the rarest length - least + 1 terms of a window, every proximity match holds one, where least is the number of terms
+    that it needs: those are the near anchors.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], vocabulary: np.ndarray, counts: np.ndarray, window: int, share: float):
         places: dict[bytes, int] = {}
         self.items: list[list[str]] = []
         rows = []
@@ -105,21 +109,73 @@ class Plan:
         for i, r in enumerate(rows):
             order = np.argsort(counts[r], kind="stable")
             self.terms[i, : len(r)], self.offsets[i, : len(r)] = r[order], order
+        self.least = np.ceil(share * self.length - 1e-9).astype(np.int64)
+        which, nth = np.nonzero(np.arange(window) < (self.length - self.least + 1)[:, None]) if rows else (np.zeros(0, dtype=np.int64),) * 2
+        order = np.argsort(self.terms[which, nth], kind="stable")
+        self.near_which, self.near_offset = which[order], self.offsets[which, nth][order]
+        self.near_anchors = self.terms[which, nth][order]
         self.by_anchor = np.argsort(self.terms[:, 0], kind="stable") if rows else np.zeros(0, dtype=np.int64)
         self.anchors = self.terms[self.by_anchor, 0] if rows else np.zeros(0, dtype=np.int32)
 
 
-def search(postings: DataFrame, plan: Plan, window: int, slop: int, share: float) -> DataFrame:
-    """FOUND rows, and what the index has kept beside: the items with a window in the document, the spans of words inside any, and the number of proximity matches.
-
-    A proximity match is a place where the window's rarest term stands and at least that share of its terms, but not all at
-    their offsets, stand within slop words of their offset-adjusted places.
+def proximity(p: Plan, line: np.ndarray, at: np.ndarray, of: np.ndarray, docs: np.ndarray, window: int, slop: int) -> list[tuple[int, int, int]]:
+    """(document, window, start on line) of each proximity match, for the places at of the terms of, in the documents docs."""
+    left, right = np.searchsorted(p.near_anchors, of), np.searchsorted(p.near_anchors, of, side="right")
+    some = np.flatnonzero(right > left)
+    many = (right - left)[some]
+    rows: list[np.ndarray] = []
+
+    def enough(which: np.ndarray, start: np.ndarray, reach: int, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Those with enough terms within reach of their places, and the number of these terms; others are filtered alike."""
+        count, n = np.zeros(len(which), dtype=np.int64), p.length[which]
+        for j in range(window):
+            place = start + p.offsets[which, j]
+            met = np.zeros(len(which), dtype=bool)
+            for s in range(-reach, reach + 1):
+                met |= line[np.clip(place + s, 0, len(line) - 1)] == p.terms[which, j]
+            count += met & (j < n)
+            fit = count + np.maximum(n - j - 1, 0) >= p.least[which]
+            which, start, count, n = which[fit], start[fit], count[fit], n[fit]
+            others = tuple(x[fit] for x in others)
+        return which, start, count, *others
+
+    for lo, hi in slices(many.tolist(), SLICE):
+        size = many[lo:hi]
+        pairs = np.repeat(left[some[lo:hi]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        which, doc = p.near_which[pairs], np.repeat(docs[some[lo:hi]], size)
+        # an anchor can stand slop words off: whatever matches then has its terms within twice that of the anchor's own start
+        which, start, _, doc = enough(which, np.repeat(at[some[lo:hi]], size) - p.near_offset[pairs], 2 * slop, doc)
+        for s in range(-slop, slop + 1):
+            w, b, n, d = enough(which, start + s, slop, doc)
+            rows.append(np.stack([d, w, b, -n]))
+    found = np.unique(np.concatenate(rows, axis=1), axis=1) if rows else np.zeros((4, 0), dtype=np.int64)
+    if not found.shape[1]:
+        return []
+    doc, which, start, few = found
+    aligned = np.zeros(len(doc), dtype=np.int64)
+    for j in range(window):
+        aligned += (j < p.length[which]) & (line[np.clip(start + p.offsets[which, j], 0, len(line) - 1)] == p.terms[which, j])
+    exact = aligned == p.length[which]
+    group = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(which, prepend=-1) != 0) | (np.diff(start, prepend=start[0]) > slop))
+    best = np.lexsort([start, -aligned, few, group])
+    best = best[np.flatnonzero(np.diff(group[best], prepend=-1))]
+    best = best[~np.isin(group[best], group[exact])]
+    return list(zip(doc[best].tolist(), which[best].tolist(), start[best].tolist(), strict=True))
+
+
+def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame:
+    """FOUND rows, and what the index has kept beside: the items with a window in the document, the spans of words inside any, and the proximity matches: their number, and item and span of each.
+
+    A proximity match is a place where at least the plan's share of a window's terms, but not all at their offsets, stand
+    within slop words of their offset-adjusted places. Of such places of one window, each at most slop words after the one
+    before, the one with most terms counts, of several that with most at their offsets, the first of those; none does if the window stands among them exactly. A window
+    of several items is one match, listed under each.
     """
     held = postings.sparkSession.sparkContext.broadcast(plan)
     kept = postings.columns[INDEX.count(", ") + 1 :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names, pad = held.value, [x.split()[0] for x in FOUND.replace("start:long,end:long", "").split(", ")] + kept, window + slop + 1
+        p, names, pad = held.value, [x.split()[0] for x in FOUND.replace("item:string,start:long,end:long", "").replace("start:long,end:long", "").split(", ")] + kept, window + 2 * slop + 1
         for b in batches:
             n_words = b.column(2).to_numpy()
             for lo, hi in slices(n_words.tolist(), SLICE):
@@ -144,17 +200,12 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int, share: float
                 exact = np.arange(len(which))
                 for j in range(1, window):
                     exact = exact[(j >= p.length[which[exact]]) | (line[start[exact] + p.offsets[which[exact], j]] == p.terms[which[exact], j])]
-                close = np.ones(len(which), dtype=np.int64)
-                for j in range(1, window):
-                    place = np.minimum(start + p.offsets[which, j], len(line) - 1 - slop)
-                    met = np.zeros(len(which), dtype=bool)
-                    for s in range(-slop, slop + 1):
-                        met |= line[np.maximum(place + s, 0)] == p.terms[which, j]
-                    close += met & (j < p.length[which])
-                near = close >= np.ceil(share * p.length[which])
-                near[exact] = False
                 document = lambda x: np.searchsorted(base, x, side="right") - 1
-                n_near = np.bincount(np.clip(document(start[near] + p.offsets[which[near], 0]), 0, hi - lo - 1), minlength=hi - lo)
+                n_near, near = [0] * (hi - lo), [[] for _ in range(hi - lo)]
+                for d, w, place in proximity(p, line, at, of, document(at), window, slop):
+                    n_near[d] += 1
+                    begin, end = max(place, int(base[d])), min(place + int(p.length[w]), int(base[d] + n_words[lo + d]))
+                    near[d] += [{"item": x, "start": begin - int(base[d]), "end": end - int(base[d])} for x in p.items[w]]
                 cover = np.zeros(len(line) + 1, dtype=np.int32)
                 np.add.at(cover, start[exact], 1)
                 np.add.at(cover, start[exact] + p.length[which[exact]], -1)
@@ -167,7 +218,7 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int, share: float
                 met_at = np.unique(np.stack([document(start[exact]), which[exact]]), axis=1)
                 for d, w in met_at.T.tolist():
                     items[d] += p.items[w]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near), *(b.column(c).slice(lo, hi - lo) for c in kept)], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near, pa.int64()), pa.array(near, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), *(b.column(c).slice(lo, hi - lo) for c in kept)], names)
 
     return arrow_map(postings.where(F.col("n_words").isNotNull()), run, _with(FOUND, postings, kept))
 
@@ -179,7 +230,7 @@ def _found(docs: DataFrame, items: list[tuple[str, np.ndarray]], window: int, sl
     pairs = postings.where(F.col("n_words").isNull()).select(F.inline(F.arrays_zip("terms", "positions"))).groupBy("terms").agg(F.sum("positions").alias("n"))
     for r in pairs.collect():  # as many rows as the items have terms
         counts[r["terms"]] = r["n"]
-    return search(postings, Plan(items, vocabulary, counts, window), window, slop, share)
+    return search(postings, Plan(items, vocabulary, counts, window, share), window, slop)
 
 
 def _items(bench: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -209,7 +260,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
         found = materialize(_found(docs, _items(bench.where(F.pmod(of, F.lit(parts)) == i)), window, slop, share), "found")
         all_found = all_found.unionByName(found) if all_found else found
     join: list[Column] = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
-    merged = all_found.groupBy("uid").agg(*join, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_near").alias("n_near")).select("uid", "doc_id", "n_words", "items", F.udf(_merged, "array<struct<start:long,end:long>>")("spans").alias("spans"), "n_near")
+    merged = all_found.groupBy("uid").agg(*join, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_near").alias("n_near"), F.flatten(F.collect_list("near")).alias("near")).select("uid", "doc_id", "n_words", "items", F.udf(_merged, "array<struct<start:long,end:long>>")("spans").alias("spans"), "n_near", "near")
     return merged.join(docs.select("uid", *(c for c in docs.columns if c.startswith("kept_"))), "uid") if others else merged
 
 
@@ -226,7 +277,7 @@ def _merged(spans: list) -> list[dict]:
 
 def report(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near", "near")
 
 
 def digest(items: list[str]) -> str:

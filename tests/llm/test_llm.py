@@ -409,3 +409,25 @@ def test_pii_scripts(spark):
         made = {pii.shuffled(x, "v0") for x in kinds[c]}
         assert made == set(kinds[c]) and all(pii.shuffled(x, "v0") != x for x in kinds[c])
     assert pii.shuffled("ÉÑ", "v0").lower() == pii.shuffled("éñ", "v0")
+
+
+def test_proximity_without_the_rarest_terms(spark):
+    item = [f"a{i}" for i in range(1, 11)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    r, rows = random.Random(6), []
+    for i in range(300):
+        w = list(item)
+        for k in r.sample(range(10), r.randrange(5)):
+            w[k] = "zz"
+        for _ in range(r.randrange(3)):
+            w.insert(r.randrange(11), "y")
+        rows.append((i, " ".join(["y"] * r.randrange(4) + w)))
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        met = [sum(item[j] in w[max(0, s + j - 2) : max(0, s + j + 3)] for j in range(10)) for s in range(-12, len(w))]
+        want[i] = max(met) >= 8 and " ".join(item) not in t
+    made = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {x["doc_id"]: x["n_near"] for x in made} == {i: int(x) for i, x in want.items()} and 0 < sum(want.values()) < 300
+    one = spark.createDataFrame([(1, "x x a1 zz a3 a4 zz a6 a7 a8 a9 a10")], "doc_id long, text string")
+    assert [x.asDict() for x in decontaminate.contamination(one, bench).first()["near"]] == [{"item": "1", "start": 2, "end": 12}]
