@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyproof.llm import decontaminate, near_copies, packing, secrets, toxicity
@@ -21,15 +21,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of rows that share it, one.
+    """Of each group of near copies the row with the smallest doc_id, whether or not other groups have rows of that doc_id.
 
     Near copies have 5-word shingles of Jaccard similarity 0.8 or more, groups are what such pairs link. Texts without words
     are one group. A row without doc_id can't be named by a group and stays.
     """
     named = materialize(docs.where(F.col("doc_id").isNotNull()).withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    kept = near_copies.heads(named.select(F.col("_uid").alias("uid"), "doc_id", "text")).select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    heads = named.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(docs.columns)
+    kept = near_copies.heads(named.select(F.col("_uid").alias("uid"), "doc_id", "text")).select(F.col("uid").alias("_uid"))
+    heads = named.join(kept, "_uid", "left_semi").select(docs.columns)
     return heads.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -431,3 +431,11 @@ def test_proximity_without_the_rarest_terms(spark):
     assert {x["doc_id"]: x["n_near"] for x in made} == {i: int(x) for i, x in want.items()} and 0 < sum(want.values()) < 300
     one = spark.createDataFrame([(1, "x x a1 zz a3 a4 zz a6 a7 a8 a9 a10")], "doc_id long, text string")
     assert [x.asDict() for x in decontaminate.contamination(one, bench).first()["near"]] == [{"item": "1", "start": 2, "end": 12}]
+
+
+def test_rows_with_one_doc_id(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, b)], "doc_id long, text string")
+    assert sorted([tuple(x) for x in corpus_pipeline.without_copies(spark, docs, "").collect()], key=str) == [(3, a), (5, b), (None, b)]
