@@ -78,9 +78,9 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 
 def report(made: DataFrame) -> DataFrame:
-    """What formatted says, read back from it by the parser; the learned text is that of the turns that loss_mask covers."""
-    read = made.select("conv_id", "formatted", parse(F.col("formatted")).alias("back"))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    """What formatted says, read back from it by the parser; the learned text is what loss_mask covers."""
+    read = made.select("conv_id", "formatted", "loss_mask", parse(F.col("formatted")).alias("back"))
+    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     return read.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

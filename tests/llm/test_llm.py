@@ -439,3 +439,10 @@ def test_rows_with_one_doc_id(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     docs = spark.createDataFrame([(3, a), (5, a), (5, b), (None, b)], "doc_id long, text string")
     assert sorted([tuple(x) for x in corpus_pipeline.without_copies(spark, docs, "").collect()], key=str) == [(3, a), (5, b), (None, b)]
+
+
+def test_chat_digests_what_the_mask_covers(spark):
+    made = chat.conversations(spark.createDataFrame([(1, 0, "user", "ab~0"), (1, 1, "assistant", "cd~0")], "conv_id long, turn int, role string, text string"))
+    assert chat.report(made).first()["loss_sha256"] == hashlib.sha256(b"cd~0").hexdigest()
+    wrong = made.withColumn("loss_mask", F.transform("loss_mask", lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end"))))
+    assert chat.report(wrong).first()["loss_chars"] != 4
