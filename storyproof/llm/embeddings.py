@@ -60,7 +60,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     vecs.append(None)
                     continue
                 v = (v + 0.0).tobytes()  # -0.0 is 0.0
-                keys.append(hashlib.blake2b(v, digest_size=16, key=str(label).encode()[:64]).hexdigest())
+                keys.append(hashlib.blake2b(v, digest_size=16, key=hashlib.blake2b(str(label).encode()).digest()).hexdigest())
                 vecs.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
 

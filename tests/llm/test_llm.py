@@ -446,3 +446,9 @@ def test_chat_digests_what_the_mask_covers(spark):
     assert chat.report(made).first()["loss_sha256"] == hashlib.sha256(b"cd~0").hexdigest()
     wrong = made.withColumn("loss_mask", F.transform("loss_mask", lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end"))))
     assert chat.report(wrong).first()["loss_chars"] != 4
+
+
+def test_long_labels_are_told_apart(spark):
+    rows = [(1, "x" * 70 + "a", [1.0, 0.0]), (2, "x" * 70 + "b", [1.0, 0.0]), (3, "x" * 70 + "a", [1.0, 0.0])]
+    made = {r["vec_id"]: r["key"] for r in embeddings.prepared(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert made[1] == made[3] != made[2]
