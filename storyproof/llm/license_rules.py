@@ -185,9 +185,9 @@ eupl | eupl-1.2 | 3 | 0.9 | eupl (?:v )?1 2
 microsoft | ms-pl | 2 | 0.8 | microsoft public licen[cs]e
 microsoft | ms-rl | 2 | 0.8 | microsoft reciprocal licen[cs]e
 python software | psf-2.0 | 2 | 0.8 | python software foundation licen[cs]e(?: version 2)?
-php license | php-3.01 | 3 | 1.0 | php licen[cs]e (?:version |v )?3 01
-php license | php | 2 | 0.7 | php licen[cs]e
-ruby license | ruby | 2 | 0.7 | ruby licen[cs]e
+php | php-3.01 | 3 | 1.0 | php licen[cs]e (?:version |v )?3 01
+php | php | 2 | 0.7 | php licen[cs]e
+ruby | ruby | 2 | 0.7 | ruby licen[cs]e
 open font | ofl-1.1 | 3 | 1.0 | (?:sil )?open font licen[cs]e (?:version |v )?1 1
 open font | ofl | 2 | 0.8 | (?:sil )?open font licen[cs]e
 open data commons | odc-by-1.0 | 3 | 1.0 | open data commons attribution licen[cs]e(?: v?1 0)?
@@ -206,7 +206,7 @@ mulan | mulanpsl-2.0 | 3 | 1.0 | mulan (?:psl|permissive software licen[cs]e) (?
 postgresql | postgresql | 2 | 0.8 | postgresql licen[cs]e
 openssl | openssl | 2 | 0.8 | openssl licen[cs]e
 sleepycat | sleepycat | 2 | 0.8 | sleepycat licen[cs]e
-vim license | vim | 2 | 0.7 | vim licen[cs]e
+vim | vim | 2 | 0.7 | vim licen[cs]e
 beerware | beerware | 2 | 0.8 | beerware licen[cs]e|licen[cs]e beerware
 hippocratic | hippocratic | 2 | 0.8 | hippocratic licen[cs]e
 parity | parity | 2 | 0.6 | parity public licen[cs]e
@@ -214,7 +214,7 @@ polyform | polyform | 2 | 0.8 | polyform (?:noncommercial|small business|shield|
 commons clause | commons-clause | 2 | 0.8 | commons clause(?: licen[cs]e)?
 all rights reserved | proprietary | 1 | 0.3 | all rights reserved
 terms of use | proprietary | 1 | 0.2 | subject to (?:the )?terms of use
-end user license | proprietary | 2 | 0.6 | end user licen[cs]e agreement
+end user | proprietary | 2 | 0.6 | end user licen[cs]e agreement
 """
 
 

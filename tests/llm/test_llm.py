@@ -452,3 +452,32 @@ def test_long_labels_are_told_apart(spark):
     rows = [(1, "x" * 70 + "a", [1.0, 0.0]), (2, "x" * 70 + "b", [1.0, 0.0]), (3, "x" * 70 + "a", [1.0, 0.0])]
     made = {r["vec_id"]: r["key"] for r in embeddings.prepared(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert made[1] == made[3] != made[2]
+
+
+def test_license_keywords_are_in_every_match():
+    from re import _constants as c
+    from re import _parser
+
+    def strings(tree):
+        out = [""]
+        for op, arg in tree:
+            if op is c.LITERAL:
+                some = [chr(arg)]
+            elif op is c.IN:
+                some = [chr(x) for o, x in arg if o is c.LITERAL] + [chr(x[0]) for o, x in arg if o is c.RANGE] + ["7" for o, _ in arg if o is c.CATEGORY]
+            elif op is c.SUBPATTERN:
+                some = strings(arg[-1])
+            elif op is c.BRANCH:
+                some = [x for branch in arg[1] for x in strings(branch)]
+            elif op is c.MAX_REPEAT:
+                some = [x * n for n in {arg[0], max(arg[0], 1)} for x in strings(arg[2])]
+            else:
+                some = ["?"]
+            out = [a + b for a in out for b in dict.fromkeys(some)][:5000]
+        return out
+
+    from storyproof.llm import license_rules
+
+    for rule in license_rules.rules():
+        made = strings(_parser.parse(rule["pattern"]))
+        assert all(rule["keyword"] in x for x in made), (rule, next(x for x in made if rule["keyword"] not in x))
