@@ -43,7 +43,8 @@ class Ids:
     """Token ids of a text as little-endian 32-bit bytes, from a byte-level BPE file of the `tokenizers` library.
 
     The texts are split as the file's byte-level pre-tokenizer does; the ids of each part are kept, since parts recur. A new
-    part is merged with the vocabulary and ranks of the same file. Strings of special tokens are ordinary text.
+    part is merged with the vocabulary and ranks of the same file. The string of an added token is that token wherever it
+    stands, of several the longest, as in the library's defaults; the text between is split for itself.
     """
 
     # The split pattern of byte-level BPE vocabularies of this family.
@@ -59,8 +60,12 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         back = {c: b for b, c in self._bytes_to_chars().items()}
-        special = {t["content"] for t in file.get("added_tokens", []) if t.get("special")}
-        ranks = {bytes(back[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+        if file.get("normalizer") or any(t.get(x) for t in file.get("added_tokens", []) for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} has a normalizer, or added tokens that aren't plain strings")
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        ranks = {bytes(back[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
         self.slow = regex.compile(self.PATTERN)
         self.encoding = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known = Known(self.encoding.encode_ordinary)
@@ -73,6 +78,11 @@ class Ids:
         return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def __call__(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return b"".join(self.added.get(x) or self._plain(x) for x in self.special.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         parts = (self.slow if self.UNSURE.search(text) else self.FAST).findall(text)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
@@ -216,7 +226,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """One row for each piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null or empty texts are one piece, the closing id alone. Repeated rows are packed as often as they come; a null doc_id
-    is carried along. Texts of any length are tokenized whole. Other columns of docs are ignored. An empty table gives none.
+    is carried along. Texts of any length are tokenized whole. Equal lengths are placed in the order of their reading tasks. Other
+    columns of docs are ignored, whatever their names. An empty table gives none.
     """
     made = materialize(pieces(docs, tokenizer, capacity), "pieces")
     held = materialize(made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -246,4 +257,5 @@ def tokenizer_path() -> str:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() over documents with 2048 tokens a sequence; null and empty texts are the closing id alone."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
