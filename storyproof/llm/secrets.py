@@ -7,7 +7,6 @@ found are turned into code points. A scan is a map over rows: nothing is shuffle
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -40,7 +39,7 @@ def _jwt(found: re.Match) -> bool:
     """Header and payload are JSON objects, and the header names an algorithm."""
     try:
         parts = [json.loads(base64.urlsafe_b64decode(x + b"=" * (-len(x) % 4))) for x in found[0].split(b".")[:2]]
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):  # no base64, no JSON, or JSON too deep to be a header
         return False
     return all(isinstance(x, dict) for x in parts) and "alg" in parts[0]
 
@@ -49,7 +48,7 @@ def _der(found: re.Match) -> bool:
     """The base64 body is one DER sequence whose length field equals what follows it (or an OpenSSH key)."""
     try:
         body = base64.b64decode(re.sub(rb"\s+", b"", found[1]), validate=True)
-    except (ValueError, binascii.Error):
+    except ValueError:
         return False
     if body.startswith(b"openssh-key-v1\0"):
         return True
@@ -96,6 +95,9 @@ KINDS = (
 )
 BASE = 3
 AFTER = {"wif"}  # kinds whose secret begins where the keyword ends
+#: Kinds that begin with a run of characters which must end in a certain way: where one doesn't, no later start within the run
+#: can match either, so that the run is read once however many keywords it holds. By kind the exact keyword and the run.
+RUNS = {"jwt": (b"eyJ", re.compile(rb"[A-Za-z0-9_-]+"))}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -121,10 +123,14 @@ def spans(text: bytes) -> list[tuple[int, int, int]]:
     hits = sorted((end + 1 - n * (KINDS[k].name not in AFTER), k) for end, (n, kinds) in _automata[0].iter(text.lower().decode("latin-1")) for k in kinds)
     free = [0] * len(KINDS)
     for start, k in hits:
-        if start >= free[k] and (m := KINDS[k].pattern.match(text, start)):
+        if start < free[k]:
+            continue
+        if m := KINDS[k].pattern.match(text, start):
             free[k] = m.end()
             if KINDS[k].valid(m):
                 out.append((start, k, m.end()))
+        elif (run := RUNS.get(KINDS[k].name)) and text.startswith(run[0], start):
+            free[k] = run[1].match(text, start).end()
     return sorted(out)
 
 
@@ -142,7 +148,8 @@ def in_code_points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id and spans, an array of (kind, start, end) in code points.
 
-    Null or empty texts have no spans; texts are scanned whole. Other columns of docs are ignored.
+    Null or empty texts have no spans; texts of any length are scanned whole. Repeated rows keep their rows, a null doc_id is
+    carried along, an empty table gives none. Other columns of docs are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +173,11 @@ def redact(text: bytes) -> tuple[bytes, int]:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in text replaced and n_chars counted anew where something was; all rows and columns stay."""
+    """docs with the secrets in text replaced; n_chars, where there is such a column, is counted anew.
+
+    All rows and columns stay, in their order: null and empty texts as they are, repeated rows as often as they come. An empty
+    table gives none.
+    """
     schema = docs.schema
     text = schema.fieldNames().index("text")
 
@@ -181,6 +192,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() over documents, digested; null and empty texts have zeros, the digest of nothing and no spans."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in KINDS[:BASE]]))
     line = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
