@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,26 +20,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Bounds of an Arrow batch: rows, and bytes beyond which no further row is added.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or what was given to setCheckpointDir.
+
+    Only a local session, where driver and executors are one process, may do without: it gets a folder of this machine.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="storyproof-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-    return found.rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/(?!/)", "file:///", found).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
+_written: dict[str, tuple] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses; what is there when this process ends is removed then."""
+    if not _written:
+        atexit.register(_clean)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def remove(path: str) -> None:
+    """Deletes one of those paths, if it can be reached."""
+    jvm, conf = _written.pop(path)
+    with contextlib.suppress(Exception):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _clean() -> None:
+    for path in list(_written):
+        remove(path)
+
+
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read back: lineage ends there, and lost executors lose nothing.
+
+    replaces is a table made here before that nothing needs any more once the new one is there; it is removed.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if old := getattr(replaces, "_stored_at", None):
+        remove(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,14 +99,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema) in batches of at most BATCH_ROWS rows, so that a worker holds few texts at once.
+    """df.mapInArrow(f, schema) in batches of bounded rows and bytes, so that a worker holds few texts at once.
 
-    Workers outlive their tasks; what a task has freed goes back to the system at its end.
+    The bounds are settings of the session; they are lowered to BATCH where they are higher. Workers outlive their tasks; what a
+    task has freed goes back to the system at its end.
     """
     spark = df.sparkSession
     ship(spark)
-    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not 0 < _bytes(now) <= most:
+            spark.conf.set(name, str(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -76,6 +120,13 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def _bytes(setting: str) -> int:
+    """A number with or without a unit of bytes."""
+    digits = setting.lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    return int(digits[:-1] if unit else digits) << unit
+
+
 def freed() -> None:
     """Gives memory that is free in this process back to the system, where the platform can."""
     pa.default_memory_pool().release_unused()
@@ -112,6 +163,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
+#: The same for words that are runs of anything but ASCII space.
+NO_SPACE = np.ones(256, dtype=bool)
+NO_SPACE[9:14] = NO_SPACE[32] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -144,10 +198,10 @@ class Words:
     first has, for each text and once more at the end, the number of words before it.
     """
 
-    def __init__(self, texts: list[bytes], prefix: int = 0, suffix: int = 0):
+    def __init__(self, texts: list[bytes], prefix: int = 0, suffix: int = 0, inside: np.ndarray = IN_WORD):
         joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         data = LOWER[joined]
-        inside = IN_WORD[data]
+        inside = inside[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edges = np.concatenate([[0], edges])

@@ -33,4 +33,4 @@ def components(edges: DataFrame) -> DataFrame:
         if after[0] == 0 or after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = after
-        now = materialize(_star(_star(now, small=False), small=True), "stars")
+        now = materialize(_star(_star(now, small=False), small=True), "stars", replaces=now)
