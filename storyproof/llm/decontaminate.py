@@ -1,10 +1,11 @@
 """Benchmark decontamination over a positional inverted index.
 
-The index is made in one pass over the texts and stored in the shared folder: for each document the postings of the terms
-that benchmark items use, each term with its positions, and beside them how often each such term occurs in the corpus. It is
-sharded by document, so making and searching it shuffle only term counts. A search reads the stored postings alone: each
-window of an item starts from its rarest term (or from several, for proximity matches), shifts that list by the term's offset in the window, and keeps the places
-which the lists of the next rarer terms, shifted likewise, confirm.
+The index is made in one pass over the texts and stored in the shared folder: for each document the postings of its terms, each
+term with its positions; a benchmark that is known beforehand can limit them to its own terms. It is sharded by document, so
+making and searching it shuffle only term counts. A search reads the stored postings alone: each distinct window of the items
+starts from its rarest term (or from several, for proximity matches), shifts that list by the term's offset in the window, and
+keeps the places which the lists of the next rarer terms, shifted likewise, confirm. Windows are held by all tasks, so many
+times as they fit: more than that are searched in parts, over the same index, each window in one part.
 """
 
 from __future__ import annotations
@@ -18,104 +19,134 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import Words, arrow_map, bounded, materialize, payloads, slices
+from storyproof.llm.common import Words, arrow_map, materialize, payloads, slices
 
 WINDOW, SLOP, SHARE = 10, 2, 0.8
-ITEM_ROWS, ITEM_BYTES = 100_000, 16_000_000
+#: The windows, and pairs of a window and an item, that one search holds: about 100 bytes each in every task.
+WINDOWS, PAIRS = 500_000, 1_000_000
+#: The terms that an index is limited to; for more, it holds all terms of the texts.
+TERMS = 4_000_000
 SLICE = 500_000
-INDEX = "uid long, doc_id long, n_words long, terms array<int>, ends array<int>, positions array<int>"
+INDEX = "uid long, doc_id long, n_words long, terms array<long>, ends array<int>, positions array<int>"
 FOUND = "uid long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_near long, near array<struct<item:string,start:long,end:long>>"
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind or pa.int32()))
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray, keep: int = 0) -> DataFrame:
-    """INDEX rows of docs (uid, doc_id, text, others), for the terms with the given sorted hashes.
+def index(docs: DataFrame, vocabulary: np.ndarray | None = None, keep: int = 0) -> DataFrame:
+    """INDEX rows of docs (uid, doc_id, text, others): the postings of all terms, or of those with the given sorted hashes.
 
-    The last columns of docs, as many as keep says, are stored beside the postings, so that whoever wants them need not join
-    texts to findings. A row with a null n_words holds counts instead: positions has how often each of terms occurs in some of
-    the texts.
+    A term is the 64-bit hash of a word. The last columns of docs, as many as keep says, are stored beside the postings, so
+    that whoever wants them need not join texts to findings.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kept = docs.columns[len(docs.columns) - keep :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, names = known.value, [x.split()[0] for x in INDEX.split(", ")] + kept
-        kinds: list[pa.DataType] = []
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[hashes >> np.uint64(44)] = True
+        if hashes is not None:
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[hashes >> np.uint64(44)] = True
         at = TaskContext.get().partitionId() << 33
-        totals = np.zeros(len(hashes), dtype=np.int64)
         for b in batches:
             texts, docs_of, uids = payloads(b.column(2)), b.column(1), b.column(0)
             others = [b.column(c) for c in kept]
-            kinds = [c.type for c in others]
             for lo, hi in slices(map(len, texts), SLICE):
                 w = Words(texts[lo:hi])
-                near = np.flatnonzero(maybe[w.hash >> np.uint64(44)])
-                term = np.searchsorted(hashes, w.hash[near])
-                same = hashes[np.minimum(term, len(hashes) - 1)] == w.hash[near] if len(hashes) else np.zeros(0, dtype=bool)
-                near, term = near[same], term[same]
-                totals += np.bincount(term, minlength=len(hashes))
-                text = w.text[near]
-                order = np.argsort(text * max(len(hashes), 1) + term, kind="stable")
+                if hashes is None:
+                    near = np.arange(len(w.hash))
+                else:
+                    near = np.flatnonzero(maybe[w.hash >> np.uint64(44)])
+                    near = near[_places(hashes, w.hash[near]) >= 0]
+                text, term = w.text[near], w.hash[near]
+                order = np.lexsort([term, text])
                 text, term, position = text[order], term[order], (near - w.first[text])[order]
-                last = np.flatnonzero((np.diff(text, append=-1) != 0) | (np.diff(term, append=-1) != 0))  # of each list
+                last = np.flatnonzero(np.append((text[1:] != text[:-1]) | (term[1:] != term[:-1]), [True] * bool(len(text))))  # of each list
                 of_doc = np.searchsorted(text[last], np.arange(1, hi - lo + 1))
                 base = np.searchsorted(text, np.arange(hi - lo))
                 ids = pa.array(np.arange(at, at + hi - lo)) if uids.null_count else uids.slice(lo, hi - lo)
                 at += hi - lo
-                yield pa.RecordBatch.from_arrays([ids, docs_of.slice(lo, hi - lo), pa.array(np.diff(w.first)), _lists(term[last], of_doc), _lists(last + 1 - base[text[last]], of_doc), _lists(position, np.searchsorted(text, np.arange(1, hi - lo + 1))), *(c.slice(lo, hi - lo) for c in others)], names)
-        used = np.flatnonzero(totals)
-        for some in np.array_split(used, len(used) // 100_000 + 1):
-            most = np.minimum(totals[some], 2**31 - 1)
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, _lists(some, [len(some)]), pa.nulls(1, pa.list_(pa.int32())), _lists(most, [len(some)]), *(pa.nulls(1, k) for k in kinds)], names)
+                yield pa.RecordBatch.from_arrays([ids, docs_of.slice(lo, hi - lo), pa.array(np.diff(w.first)), _lists(term[last].view(np.int64), of_doc, pa.int64()), _lists(last + 1 - base[text[last]], of_doc), _lists(position, np.searchsorted(text, np.arange(1, hi - lo + 1))), *(c.slice(lo, hi - lo) for c in others)], names)
 
     return materialize(arrow_map(docs, run, _with(INDEX, docs, kept)), "postings")
 
 
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of some values stands in a sorted array, -1 where it doesn't."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def term_counts(postings: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each of the terms with the given sorted hashes occurs in the index; only these counts reach the driver."""
+    held = postings.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(held.value), dtype=np.int64)
+        for b in batches:
+            terms, size = _postings(b.column(0), b.column(1))
+            place = _places(held.value, terms)
+            np.add.at(totals, place[place >= 0], size[place >= 0])
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["term", "n"])
+
+    sums = arrow_map(postings.select("terms", "ends"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary), dtype=np.int64)
+    out[sums["term"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _postings(terms: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all documents of a batch as hashes, and the length of each one's list."""
+    lists = terms.value_lengths().to_numpy()
+    term, end = terms.flatten().to_numpy().view(np.uint64), ends.flatten().to_numpy().astype(np.int64)
+    first = (np.cumsum(lists) - lists)[lists > 0]
+    size = np.diff(end, prepend=0)
+    size[first] = end[first]
+    return term, size
+
+
 def _with(schema: str, df: DataFrame, columns: list[str]) -> str:
     return ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)])
 
 
 class Plan:
-    """The distinct windows of some items, each with its terms from the rarest on; an anchor is the rarest term of a window.
+    """Some distinct windows, each with its terms from the rarest on; an anchor is the rarest term of a window.
 
     Of the rarest length - least + 1 terms of a window, every proximity match holds one, where least is the number of terms
-    that it needs: those are the near anchors.
+    that it needs: those are the near anchors. It is made of arrays: a row a window, and the items of all windows in a row.
     """
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], vocabulary: np.ndarray, counts: np.ndarray, window: int, share: float):
-        places: dict[bytes, int] = {}
-        self.items: list[list[str]] = []
-        rows = []
-        for item, hashes in items:
-            terms = np.searchsorted(vocabulary, hashes).astype(np.int32)
-            n = min(window, len(terms))
-            for i in range(len(terms) - n + 1 if n else 0):
-                key = terms[i : i + n].tobytes()
-                if key not in places:
-                    places[key] = len(rows)
-                    rows.append(terms[i : i + n])
-                    self.items.append([])
-                if item not in self.items[places[key]][-1:]:
-                    self.items[places[key]].append(item)
-        self.length = np.array([len(r) for r in rows], dtype=np.int64)
-        self.terms = np.full((len(rows), window), -1, dtype=np.int32)
-        self.offsets = np.zeros((len(rows), window), dtype=np.int64)
-        for i, r in enumerate(rows):
-            order = np.argsort(counts[r], kind="stable")
-            self.terms[i, : len(r)], self.offsets[i, : len(r)] = r[order], order
+    def __init__(self, rows: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, window: int, share: float):
+        """rows (terms array<long>, items array<string>), as windows() gives them, over the sorted hashes of the vocabulary."""
+        terms, items = (rows[c].combine_chunks() for c in ("terms", "items"))
+        self.vocabulary = vocabulary
+        n = rows.num_rows
+        self.length = terms.value_lengths().to_numpy().astype(np.int64)
+        inside = np.arange(window) < self.length[:, None]
+        found = np.full((n, window), -1, dtype=np.int32)
+        found[inside] = np.searchsorted(vocabulary, terms.flatten().to_numpy().view(np.uint64))
+        often = np.where(inside, counts[found] if len(counts) else 0, np.iinfo(np.int64).max)
+        order = np.argsort(often, axis=1, kind="stable")
+        self.terms, self.offsets = np.take_along_axis(found, order, 1), order.astype(np.int16)
+        names = items.flatten().dictionary_encode()
+        self.names, self.name_of = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int32)
+        self.names_end = np.cumsum(items.value_lengths().to_numpy())
         self.least = np.ceil(share * self.length - 1e-9).astype(np.int64)
-        which, nth = np.nonzero(np.arange(window) < (self.length - self.least + 1)[:, None]) if rows else (np.zeros(0, dtype=np.int64),) * 2
+        which, nth = np.nonzero(np.arange(window) < (self.length - self.least + 1)[:, None])
         order = np.argsort(self.terms[which, nth], kind="stable")
-        self.near_which, self.near_offset = which[order], self.offsets[which, nth][order]
+        self.near_which, self.near_offset = which[order].astype(np.int32), self.offsets[which, nth][order]
         self.near_anchors = self.terms[which, nth][order]
-        self.by_anchor = np.argsort(self.terms[:, 0], kind="stable") if rows else np.zeros(0, dtype=np.int64)
-        self.anchors = self.terms[self.by_anchor, 0] if rows else np.zeros(0, dtype=np.int32)
+        self.by_anchor = np.argsort(self.terms[:, 0], kind="stable")
+        self.anchors = self.terms[self.by_anchor, 0]
+
+    def items(self, window: int) -> list[str]:
+        """The ids of the items that have a window."""
+        return [self.names[i] for i in self.name_of[self.names_end[window - 1] if window else 0 : self.names_end[window]]]
 
 
 def proximity(p: Plan, line: np.ndarray, at: np.ndarray, of: np.ndarray, docs: np.ndarray, window: int, slop: int) -> list[tuple[int, int, int]]:
@@ -173,6 +204,7 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
     """
     held = postings.sparkSession.sparkContext.broadcast(plan)
     kept = postings.columns[INDEX.count(", ") + 1 :]
+    struct = pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, names, pad = held.value, [x.split()[0] for x in FOUND.replace("item:string,start:long,end:long", "").replace("start:long,end:long", "").split(", ")] + kept, window + 2 * slop + 1
@@ -182,13 +214,10 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
                 base = np.cumsum(np.concatenate([[pad], n_words[lo:hi] + pad]))  # where each document begins on one line of words
                 line = np.full(base[-1] + pad, -2, dtype=np.int32)
                 terms, ends, positions = (b.column(i).slice(lo, hi - lo) for i in (3, 4, 5))
-                lists, places = terms.value_lengths().to_numpy(), positions.value_lengths().to_numpy()
-                term, end, position = (x.flatten().to_numpy() for x in (terms, ends, positions))
-                first = np.flatnonzero(np.diff(np.repeat(np.arange(hi - lo), lists), prepend=-1))
-                size = np.diff(end, prepend=0)
-                size[first] = end[first]
-                of = np.repeat(term, size)
-                at = np.repeat(base[:-1], places) + position
+                term, size = _postings(terms, ends)
+                of = np.repeat(_places(p.vocabulary, term), size)
+                at = np.repeat(base[:-1], positions.value_lengths().to_numpy()) + positions.flatten().to_numpy()
+                at, of = at[of >= 0], of[of >= 0].astype(np.int32)
                 line[at] = of
                 left, right = np.searchsorted(p.anchors, of), np.searchsorted(p.anchors, of, side="right")
                 some = np.flatnonzero(right > left)
@@ -205,7 +234,7 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
                 for d, w, place in proximity(p, line, at, of, document(at), window, slop):
                     n_near[d] += 1
                     begin, end = max(place, int(base[d])), min(place + int(p.length[w]), int(base[d] + n_words[lo + d]))
-                    near[d] += [{"item": x, "start": begin - int(base[d]), "end": end - int(base[d])} for x in p.items[w]]
+                    near[d] += [{"item": x, "start": begin - int(base[d]), "end": end - int(base[d])} for x in p.items(w)]
                 cover = np.zeros(len(line) + 1, dtype=np.int32)
                 np.add.at(cover, start[exact], 1)
                 np.add.at(cover, start[exact] + p.length[which[exact]], -1)
@@ -217,65 +246,94 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
                     spans[d].append({"start": s - int(base[d]), "end": e - int(base[d])})
                 met_at = np.unique(np.stack([document(start[exact]), which[exact]]), axis=1)
                 for d, w in met_at.T.tolist():
-                    items[d] += p.items[w]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near, pa.int64()), pa.array(near, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), *(b.column(c).slice(lo, hi - lo) for c in kept)], names)
+                    items[d] += p.items(w)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(n_near, pa.int64()), pa.array([sorted(x, key=lambda y: tuple(y.values())) for x in near], pa.list_(struct)), *(b.column(c).slice(lo, hi - lo) for c in kept)], names)
+
+    return arrow_map(postings, run, _with(FOUND, postings, kept))
+
 
-    return arrow_map(postings.where(F.col("n_words").isNotNull()), run, _with(FOUND, postings, kept))
+def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The distinct windows of the items of bench (item_id, text): (terms, items), the hashes of their words and the sorted ids.
 
+    An item of fewer words than a window is one window; one without id or words has none. Items are cut where they are read
+    and meet by window, so an item may have any size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids = payloads(b.column(1)), b.column(0)
+            for lo, hi in slices(map(len, texts), SLICE):
+                w = Words(texts[lo:hi])
+                n = np.diff(w.first)
+                length = np.minimum(n, window)
+                many = np.where(n > 0, n - length + 1, 0)
+                item = np.repeat(np.arange(hi - lo), many)
+                start = w.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+                size = length[item]
+                for i in range(0, len(item), SLICE // window + 1):
+                    part = slice(i, i + SLICE // window + 1)
+                    at = np.repeat(start[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(item[part])), _lists(w.hash[at].view(np.int64), np.cumsum(size[part]), pa.int64())], ["item", "terms"])
 
-def _found(docs: DataFrame, items: list[tuple[str, np.ndarray]], window: int, slop: int, share: float, keep: int = 0) -> DataFrame:
-    vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, dtype=np.uint64)
-    postings = index(docs, vocabulary, keep)
-    counts = np.zeros(len(vocabulary), dtype=np.int64)
-    pairs = postings.where(F.col("n_words").isNull()).select(F.inline(F.arrays_zip("terms", "positions"))).groupBy("terms").agg(F.sum("positions").alias("n"))
-    for r in pairs.collect():  # as many rows as the items have terms
-        counts[r["terms"]] = r["n"]
-    return search(postings, Plan(items, vocabulary, counts, window, share), window, slop)
+    items = bench.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    cut = arrow_map(items, run, "item string, terms array<long>").distinct()
+    return materialize(cut.groupBy("terms").agg(F.array_sort(F.collect_list("item")).alias("items")), "windows")
 
 
-def _items(bench: DataFrame) -> list[tuple[str, np.ndarray]]:
-    rows = bench.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary")).collect()
-    w = Words([bytes(r[1]) for r in rows]) if rows else None
-    return [(r[0], w.hash[w.first[i] : w.first[i + 1]]) for i, r in enumerate(rows)] if w else []
+def _vocabulary(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE, keep: bool = False) -> DataFrame:
     """FOUND rows, one for each row of docs (doc_id, text), for the items of bench (item_id, text).
 
     Words are compared by 64-bit hashes. Null or empty texts have no words; an item of fewer words than a window is one
-    window, and one without words or id is none. Items are held in memory where their number and bytes are within ITEM_ROWS
-    and ITEM_BYTES; more are dealt into parts that are, one after another, and their findings merged by document. Repeated
-    rows keep their rows. An empty table gives none. Other columns are ignored, unless keep is set: then all columns of docs
-    follow, named kept_ and their place.
+    window, and one without words or id is none. Items of one id are one item, equal windows of several items one window. The
+    windows are dealt into parts of at most about WINDOWS windows and PAIRS of them with items; each part is searched over the
+    same index, and where there are several, their findings are merged by document: the result is the same however many there
+    are. Repeated rows keep their rows. An empty table gives none; an empty bench finds nothing. Other columns are ignored,
+    unless keep is set: then all columns of docs follow, named kept_ and their place.
     """
     others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(docs.columns)] if keep else []
     docs = docs.select(F.lit(None).cast("long").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
-    if bounded(bench, ITEM_ROWS, ITEM_BYTES, "text"):
-        return _found(docs, _items(bench), window, slop, share, len(others))
-    docs = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents")
-    parts, of, all_found = 2, F.xxhash64("item_id", "text"), None
-    while not all(bounded(bench.where(F.pmod(of, F.lit(parts)) == i), ITEM_ROWS, ITEM_BYTES, "text") for i in range(parts)):
-        parts *= 2
+    cut = windows(bench, window)
+    n, pairs = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    parts = max(1, -(-n // WINDOWS), -(-pairs // PAIRS))
+    terms = cut.select(F.explode("terms").alias("term")).distinct()
+    limited = _vocabulary(terms) if terms.count() <= TERMS else None
+    postings = index(docs, limited, len(others))
+
+    def found(part: DataFrame, postings: DataFrame) -> DataFrame:
+        rows = part.toArrow()
+        vocabulary = np.unique(rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64))
+        return search(postings, Plan(rows, vocabulary, term_counts(postings, vocabulary), window, share), window, slop)
+
+    if parts == 1:
+        return found(cut, postings)
+    slim, all_found = postings.select(*postings.columns[: INDEX.count(", ") + 1]), None
     for i in range(parts):
-        found = materialize(_found(docs, _items(bench.where(F.pmod(of, F.lit(parts)) == i)), window, slop, share), "found")
-        all_found = all_found.unionByName(found) if all_found else found
-    join: list[Column] = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
-    merged = all_found.groupBy("uid").agg(*join, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_near").alias("n_near"), F.flatten(F.collect_list("near")).alias("near")).select("uid", "doc_id", "n_words", "items", F.udf(_merged, "array<struct<start:long,end:long>>")("spans").alias("spans"), "n_near", "near")
-    return merged.join(docs.select("uid", *(c for c in docs.columns if c.startswith("kept_"))), "uid") if others else merged
+        some = materialize(found(cut.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == i), slim), "found")
+        all_found = all_found.unionByName(some) if all_found else some
+    once = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("n_near").alias("n_near"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near")]
+    merged = all_found.groupBy("uid").agg(*once, *lists)
+    return merged.join(postings.select("uid", *(c for c in postings.columns if c.startswith("kept_"))), "uid") if others else merged
 
 
-def _merged(spans: list) -> list[dict]:
+def _merged(spans: Column) -> Column:
     """Spans with those that overlap or touch joined."""
-    out: list[dict] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if out and s <= out[-1]["end"]:
-            out[-1]["end"] = max(e, out[-1]["end"])
-        else:
-            out.append({"start": s, "end": e})
-    return out
+    last = lambda out: F.try_element_at(out, F.lit(-1))
+
+    def add(out: Column, x: Column) -> Column:
+        longer = F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], x["end"]).alias("end"))
+        joins = (F.size(out) > 0) & (last(out)["end"] >= x["start"])
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))).otherwise(F.array_append(out, x))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:long,end:long>>"), add)
 
 
 def report(found: DataFrame) -> DataFrame:
+    """FOUND rows with counts and a digest in place of the lists; n_near and near follow."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near", "near")
 
@@ -286,4 +344,5 @@ def digest(items: list[str]) -> str:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of documents against benchmark: a row a document, null and empty texts with zeros."""
     return report(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

@@ -152,11 +152,12 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs).count() == len(DOCS)
 
 
-@pytest.mark.parametrize("bytes_at_once", [None, 400])
-def test_contamination(spark, docs, empty, monkeypatch, bytes_at_once):
+@pytest.mark.parametrize("windows_at_once", [None, 90])
+def test_contamination(spark, docs, empty, monkeypatch, windows_at_once):
     bench = [(1, TEXTS[9]), (2, " ".join(TEXTS[10].split()[3:20])), (3, "w1 w2"), (4, None), (5, ""), (6, TEXTS[9].upper()), (7, "ÉTÉ")]
-    if bytes_at_once:
-        monkeypatch.setattr(decontaminate, "ITEM_BYTES", bytes_at_once + max(len((t or "").encode()) for _, t in bench))
+    if windows_at_once:  # less than one item has, and an index of all terms
+        monkeypatch.setattr(decontaminate, "WINDOWS", windows_at_once)
+        monkeypatch.setattr(decontaminate, "TERMS", 3)
     windows = defaultdict(set)
     for i, t in bench:
         w = WORD.findall(low(t))
@@ -180,6 +181,19 @@ def test_contamination(spark, docs, empty, monkeypatch, bytes_at_once):
     assert decontaminate.contamination(empty, df).count() == 0
 
 
+def test_proximity_in_parts(spark, monkeypatch):
+    words = [f"a{i}" for i in range(1, 31)]
+    rows = [(1, " ".join(words[:5] + ["zz"] + words[5:])), (2, " ".join(words)), (3, " ".join(words[3:12] + ["y"] + words[14:])), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words)) for i in range(6)] + [(9, " ".join(words[4:20]))], "item_id long, text string")
+    whole = sorted(map(str, decontaminate.report(decontaminate.contamination(df, bench)).collect()))
+    monkeypatch.setattr(decontaminate, "PAIRS", 40)
+    assert sorted(map(str, decontaminate.report(decontaminate.contamination(df, bench)).collect())) == whole
+    kept = decontaminate.contamination(df, bench, keep=True)
+    assert {r["kept_0"]: r["kept_1"] for r in kept.collect()} == dict(rows)
+    assert decontaminate.contamination(df, bench.limit(0)).where("n_near > 0 or size(items) > 0").count() == 0
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10")], "item_id long, text string")
     rows = [(1, "a1 a2 a3 a4 a5 zz a6 a7 a8 a9 a10"), (2, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"), (3, "a1 b b b b b b a2")]
@@ -306,14 +320,14 @@ def test_pii(spark, docs):
     assert pii._luhn(card) == 0 and len(card) == 16
     assert pii._iban_rest(pii._iban("DE89370400440532013000", "v0")) == 1
     rows = [(i, f"mail a{i}@x.example.com or 555-123-{1000 + i}") for i in range(300)] + [(900, "nothing here"), (901, None), (902, ""), (0, "again a0@x.example.com")]
-    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
     said = defaultdict(set)
     for r in out:
         for e in r["entities"]:
             said[e["kind"], e["original"]].add(e["surrogate"])
     assert len(said) == 600 and all(len(v) == 1 for v in said.values()) and len({(k[0], *v) for k, v in said.items()}) == 600
     assert {r["doc_id"]: r["text"] for r in out if r["doc_id"] >= 900} == {900: "nothing here", 901: None, 902: ""}
-    assert [r["text"] for r in pii.pseudonymize(docs.where("doc_id < 40")).orderBy("doc_id").collect()] == [t for _, t in sorted((i, t) for i, t, *_ in DOCS if i is not None and i < 40)]
+    assert [r["text"] for r in pii.pseudonymize(docs.where("doc_id < 40"), b"k").orderBy("doc_id").collect()] == [t for _, t in sorted((i, t) for i, t, *_ in DOCS if i is not None and i < 40)]
 
 
 def test_pipeline(spark, tmp_path):
@@ -393,7 +407,7 @@ def test_toxicity_thresholds_cover_all_labels(spark, monkeypatch):
 def test_pii_scripts(spark):
     names = ["王小明", "李小龍", "שרה כהן", "Éé", "Élodie Müller", "Ђорђе", "Άρης", "김철수", "Øß", "محمد", "ǅa", "\u212aa", "Ka", "İa", "०१क२", "अम"]
     rows = [(i, f"Dr {n} said") for i, n in enumerate(names)] + [(100, "Maria 王明 came")]
-    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
     assert len(out) == len(rows)
     for i, n in enumerate(names):
         if out[i]["entities"]:
