@@ -3,7 +3,9 @@
 The template writes a turn as `<|turn|>` role `<|text|>` text `<|end|>`. A parser that knows nothing but these marks splits
 the rendered conversation again. A turn whose marks, parsed back, don't give the same role and text is rendered anew with its
 content escaped, and so is any content that escaping could be mistaken for: a tilde becomes `~0`, and the bar of a mark `~1`.
-Escaped content holds no bar behind an angle bracket, so no mark, and undoing the escapes gives the source again.
+Escaped content holds no bar behind an angle bracket, so no mark, and undoing the escapes gives the source again. The whole
+conversation is parsed then and compared with its source; if it differed, all its turns would be escaped, and if that differed
+too, the query would fail rather than give a conversation that can't be read back.
 """
 
 from __future__ import annotations
@@ -45,15 +47,15 @@ def parse(formatted: Column) -> Column:
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text) with their rendered turn: as it is if it parses back to the source, else escaped.
+    """rows (conv_id, turn, role, text) with escaped, their rendering with escapes, and rendered: without, if that parses back.
 
     The unescaped rendering of a turn is kept only if the parser finds exactly one turn in it, with the same role and text.
     """
     source = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = render(F.col("role"), F.col("text"))
+    plain, escaped = render(F.col("role"), F.col("text")), render(escape(F.col("role")), escape(F.col("text")))
     back = parse(plain)
     same = (F.size(back) == 1) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text"))
-    return source.withColumn("rendered", F.when(same, plain).otherwise(render(escape(F.col("role")), escape(F.col("text")))))
+    return source.withColumn("escaped", escaped).withColumn("rendered", F.when(same, plain).otherwise(escaped))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -61,20 +63,24 @@ def conversations(rows: DataFrame) -> DataFrame:
 
     Turns come in the order of turn, ties by role and text, a null turn first; a null role or text counts as empty. Rows
     with a null conv_id are one conversation. Repeated rows are repeated turns. A conversation is one row of the result, so
-    it takes the memory that its text takes. Other columns are ignored. An empty table gives none.
+    it takes the memory that its text takes. Other columns are ignored, whatever their names. An empty table gives none.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    size = F.length("rendered")
-    head = F.length(F.regexp_extract("rendered", f"^(?s).*?{_quoted(TEXT)}", 0))
-    placed = (
-        rendered(rows)
-        .withColumn("before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("nth", F.row_number().over(order))
-        .withColumn("span", F.when(F.col("role") == LEARNED, F.struct((F.col("before") + head).alias("start"), (F.col("before") + size - len(END)).alias("end"))))
-    )
-    held = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "rendered", "span"))).alias("turns"))
-    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull())
-    return held.select("conv_id", F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("formatted"), spans.alias("loss_mask"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def span(x: str) -> Column:
+        size, before = F.length(x), F.coalesce(F.sum(F.length(x)).over(earlier), F.lit(0))
+        head = F.length(F.regexp_extract(x, f"^(?s).*?{_quoted(TEXT)}", 0))
+        return F.when(F.col("role") == LEARNED, F.struct((before + head).alias("start"), (before + size - len(END)).alias("end")))
+
+    placed = rendered(rows).select("conv_id", F.row_number().over(order).alias("nth"), F.struct("role", "text").alias("source"), "rendered", "escaped", span("rendered").alias("span"), span("escaped").alias("escaped_span"))
+    held = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "source", "rendered", "escaped", "span", "escaped_span"))).alias("turns"))
+    each = lambda name: F.transform("turns", lambda t: t[name])
+    spans = lambda name: F.filter(each(name), lambda s: s.isNotNull())
+    made = held.select("conv_id", "turns", F.array_join(each("rendered"), "").alias("plain")).withColumn("same", parse(F.col("plain")) == each("source"))
+    escaped = F.array_join(each("escaped"), "")
+    checked = F.when(parse(escaped) == each("source"), escaped).otherwise(F.raise_error(F.lit("a conversation can't be read back from its rendering")).cast("string"))
+    return made.select("conv_id", F.when(F.col("same"), F.col("plain")).otherwise(checked).alias("formatted"), F.when(F.col("same"), spans("span")).otherwise(spans("escaped_span")).alias("loss_mask"))
 
 
 def report(made: DataFrame) -> DataFrame:
@@ -92,6 +98,7 @@ def report(made: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of all conversations and of one that holds another template's control strings."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.inline(F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", LEARNED))))))
