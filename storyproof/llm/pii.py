@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from storyproof.llm.common import arrow_map, materialize, payloads
 
-KEY = b"storyproof surrogate key"
+#: The session's setting that holds the key of op10_pii, and the key of synthetic tables, which protects nothing.
+KEY_SETTING, EXAMPLE_KEY = "spark.storyproof.pii.key", "for synthetic tables only"
 ROUNDS = 8
 ENTITY = "array<struct<kind:string,start:int,end:int,original:bigint,surrogate:bigint>>"
 
@@ -64,7 +65,7 @@ def _iban_rest(text: str) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def _round(tweak: str, i: int, half: int, bits: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}/{i}/{bits}/{half}".encode(), key=KEY, digest_size=64).digest() * (bits // 512 + 1)) & ((1 << bits) - 1)
+    return int.from_bytes(hashlib.blake2b(f"{tweak}/{i}/{bits}/{half}".encode(), digest_size=64).digest() * (bits // 512 + 1)) & ((1 << bits) - 1)
 
 
 def _permuted(x: int, bits: int, tweak: str, back: bool = False) -> int:
@@ -83,7 +84,7 @@ def moved(x: int, n: int, tweak: str) -> int:
     if n < 2:
         return x
     bits = max(1, ((n - 1).bit_length() + 1) // 2)
-    shift = 1 + int.from_bytes(hashlib.blake2b(f"shift/{tweak}/{n}".encode(), key=KEY).digest()) % (n - 1)
+    shift = 1 + int.from_bytes(hashlib.blake2b(f"shift/{tweak}/{n}".encode()).digest()) % (n - 1)
 
     def walk(y: int, back: bool = False) -> int:
         y = _permuted(y, bits, tweak, back)
@@ -212,9 +213,16 @@ def _family(name: str, tweak: str) -> str:
     return shuffled(stem, f"{tweak}/family/{end[0][:2] if end and stem != name else ''}") + name[len(stem) :]
 
 
+def _unlisted(name: str, tweak: str) -> str:
+    """A given name that isn't on the lists keeps an ending that tells the gender in many languages."""
+    end = name[-1] if len(name) > 2 and name[-1] in "aoаяα" else ""
+    stem = name[: len(name) - len(end)]
+    return shuffled(stem, f"{tweak}/unlisted/{end}") + end
+
+
 def _person(found: re.Match, tweak: str) -> str:
     names = (found["names"] or f"{found['given']} {found['family']}").split(" ")
-    first = _given(names[0], tweak) if len(names) > 1 or found["title"] is None else None
+    first = _given(names[0], tweak) or _unlisted(names[0], tweak) if len(names) > 1 or found["title"] is None else None
     made = [first if i == 0 and first else _family(n, tweak) for i, n in enumerate(names)]
     return found[0][: len(found[0]) - len(" ".join(names))] + " ".join(made)
 
@@ -258,8 +266,8 @@ def detect(text: str, raw: bytes) -> list[tuple[int, int, int, re.Match]]:
     return out
 
 
-def _hash(kind: str, value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}/{value}".encode("utf-8", "replace"), digest_size=8, key=KEY).digest(), signed=True)
+def _hash(kind: str, value: str, tweak: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{tweak}/hash/{kind}/{value}".encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
 
 
 def replaced(text: str, raw: bytes, tweak: str) -> tuple[str, list[dict]]:
@@ -271,7 +279,7 @@ def replaced(text: str, raw: bytes, tweak: str) -> tuple[str, list[dict]]:
         again = pattern.fullmatch(made)
         size += start - at
         out += [text[at:start], made]
-        entities.append({"kind": kind, "start": size, "end": size + len(made), "original": _hash(kind, normal(m)), "surrogate": _hash(kind, normal(again) if again else made)})
+        entities.append({"kind": kind, "start": size, "end": size + len(made), "original": _hash(kind, normal(m), tweak), "surrogate": _hash(kind, normal(again) if again else made, tweak)})
         size, at = size + len(made), -end
     return "".join([*out, text[at:]]), entities
 
@@ -282,14 +290,23 @@ def collisions(made: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("original") == F.col("surrogate")).cast("int")).alias("same")).where("n > 1 or same = 1")
 
 
-def pseudonymize(docs: DataFrame) -> DataFrame:
+def secret_tweak(key: bytes, attempt: int = 0) -> str:
+    """What all permutations and hashes of one attempt are keyed with; it doesn't give the key away."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    return hashlib.blake2b(f"v{attempt}".encode(), key=hashlib.blake2b(key).digest(), digest_size=32).hexdigest()
+
+
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, text with surrogates, entities.
 
+    Who knows the key can undo the surrogates; equal keys give equal surrogates in every run, so that corpora can be joined.
     A null text stays null and has no entities; empty texts and texts without entities stay as they are. Texts are read
-    whole. Repeated rows keep their rows. Other columns are ignored; an empty table gives none.
+    whole. Repeated rows keep their rows and get the same surrogates; a null doc_id is carried along. Other columns are
+    ignored, whatever their names; an empty table gives none.
     """
     for attempt in range(16):
-        tweak = f"v{attempt}"
+        tweak = secret_tweak(key, attempt)
 
         def run(batches: Iterator[pa.RecordBatch], tweak: str = tweak) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("original", pa.int64()), ("surrogate", pa.int64())]))
@@ -305,7 +322,8 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """pseudonymize() over documents with the key of the session's setting, else with the one for synthetic tables."""
+    made = pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode())
     count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
     return made.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *(count(r[0]) for r in RULES), spans.alias("spans"), "text")
