@@ -16,14 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import Words, arrow_map, payloads, slices
+from storyproof.llm.common import Words, arrow_map, bounded, payloads, slices
 
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 BUCKETS = (1 << 15, 1 << 13, 1 << 13)  # of whole words, beginnings, endings
 BEGINNING, ENDING = 4, 4
 SLICE = 400_000
-#: The bound of the training sample: labelled rows of each class, those with the smallest hash of their doc_id.
-ROWS_PER_CLASS = 3000
+#: The bounds of the training sample: labelled rows of each class, those with the smallest hash of their doc_id, and the bytes of their whole texts.
+ROWS_PER_CLASS, BYTES_PER_CLASS = 3000, 24 << 20
+#: Of crc32(doc_id) modulo 5, the remainders of rows that are held out from everything, and of those that thresholds are chosen on.
+HELD_OUT, CALIBRATION = 0, 1
+#: A language has a threshold of its own if so many calibration rows of either label are in it, else 0.5.
+LEAST = 25
+#: Calibration labels are sent to where texts are read while there are so many; more meet the scores of all texts.
+LABELS = 1_000_000
 #: Bins of scores that thresholds are chosen between; of all labelled rows, only counts by bin reach the driver.
 BINS = 1000
 
@@ -184,43 +190,63 @@ def threshold(clean: np.ndarray, toxic: np.ndarray) -> float:
 def calibrate(model: Model, docs: DataFrame, labels: DataFrame) -> None:
     """Sets the thresholds by language from all rows of labels (doc_id, toxic), by their counts in each bin of scores.
 
-    All docs are scored before they meet the labels, so no text is shuffled whatever the number of labels.
+    Texts are never shuffled: few labels come to the texts, many to the scores of all of them.
     """
-    scored = score(docs.select("doc_id", "text", "lang").where("lang is not null"), model).select("doc_id", "lang", "score").join(labels, "doc_id")
+    rows, few = docs.select("doc_id", "text", "lang").where("lang is not null"), bounded(labels, LABELS, 0)
+    scored = score(rows.join(F.broadcast(labels), "doc_id"), model, "score") if few else score(rows, model, "score").drop("text").join(labels, "doc_id")
     at = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
     counts: dict[str, np.ndarray] = {}
     for r in scored.groupBy("lang", "toxic", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * BINS rows a language
         counts.setdefault(r["lang"], np.zeros((2, BINS), dtype=np.int64))[int(r["toxic"]), r["bin"]] += r["n"]
-    model.thresholds.update({lang: threshold(*counts[lang]) for lang in sorted(counts)})
+    model.thresholds.update({lang: threshold(*c) for lang, c in sorted(counts.items()) if min(c.sum(1)) >= LEAST})
+
+
+def fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """Fits a model to labelled rows that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> Model:
+    """Fits a model to labelled rows that are neither held out nor for calibration, then calibrates it on all of the latter.
 
-    The sample is bounded by rows_per_class for each label: those with the smallest hash of doc_id. Labels that are null or
-    neither 0 nor 1 are ignored. The prior is the share of label 1 among all labelled rows that aren't held out. Thresholds
-    are calibrated on all of those.
+    The sample is bounded for each label by rows_per_class, those with the smallest hash of doc_id, and of these to
+    bytes_per_class of whole texts: one that would go beyond is left out. Labels that are null or neither 0 nor 1 are ignored.
+    The prior is the share of label 1 among all labelled rows that aren't held out. Repeated labels count as often as they come.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = usable.where("toxic = 1").orderBy(*by_hash).limit(rows_per_class).unionByName(usable.where("toxic = 0").orderBy(*by_hash).limit(rows_per_class))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(sample), "doc_id").orderBy(*by_hash, "toxic").limit(2 * rows_per_class).collect()
+    to_fit = usable.where(fold(F.col("doc_id")) != CALIBRATION)
+    sample = to_fit.where("toxic = 1").orderBy(*by_hash).limit(rows_per_class).unionByName(to_fit.where("toxic = 0").orderBy(*by_hash).limit(rows_per_class))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    sizes = texts.select("doc_id", size.alias("size")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).orderBy(*by_hash, "toxic").collect()
+    chosen, held = [], {0: 0, 1: 0}
+    for r in sizes:
+        if held[r["toxic"]] + r["size"] <= bytes_per_class:
+            held[r["toxic"]] += r["size"]
+            chosen.append((r["doc_id"], r["toxic"]))
+    kept = docs.sparkSession.createDataFrame(chosen, to_fit.schema)
+    rows = texts.join(F.broadcast(kept), "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["text"] or b"")))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     model = fit([bytes(r["text"] or b"") for r in rows], [r["toxic"] for r in rows], prior)
-    calibrate(model, docs, usable)
+    calibrate(model, docs, usable.where(fold(F.col("doc_id")) == CALIBRATION))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, 0 to 1, appended; null or empty texts get the score of a text without words. Whole texts are read."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name, 0 to 1, appended; one that docs has already is replaced.
+
+    Null or empty texts get the score of a text without words. Whole texts are read. Repeated rows keep their rows, an empty
+    table gives none; all other columns stay as they are.
+    """
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.schema.fieldNames().index("text")
-    name = "score"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +263,7 @@ def limit(model: Model) -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all documents by a model of labels that aren't held out; threshold and flagged go by the language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     made = score(docs.select("doc_id", "text", "lang"), model)

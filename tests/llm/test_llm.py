@@ -249,8 +249,8 @@ def test_toxicity(spark, docs):
     made = toxicity.score(df.select("doc_id", "text", "lang"), model).collect()
     held = [x for x in made if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
     assert sum((x["score"] >= 0.5) == (x["doc_id"] % 4 == 0) for x in held) / len(held) >= 0.95
-    out = toxicity.score(docs.select("doc_id", "text"), model)
-    assert out.count() == len(DOCS) and out.where("score is null or score < 0 or score > 1").count() == 0
+    out = toxicity.score(docs, model)  # its column score is replaced
+    assert out.columns == [*(c for c in docs.columns if c != "score"), "score"] and out.count() == len(DOCS) and out.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.train(df, labels.limit(0)).score([b"x", b""]).shape == (2,)
 
 
@@ -393,7 +393,11 @@ def test_toxicity_thresholds_cover_all_labels(spark, monkeypatch):
     model = toxicity.Model(np.zeros(1), np.zeros(1), np.zeros(1), 0.0)
     monkeypatch.setattr(toxicity, "arrow_map", lambda df, run, schema: df.withColumn("score", F.col("text").cast("double")))
     toxicity.calibrate(model, docs, labels)
-    assert 0.8 < model.thresholds["en"] <= 0.95 and model.thresholds["de"] == 0.5
+    assert 0.8 < model.thresholds["en"] <= 0.95 and "de" not in model.thresholds
+    monkeypatch.setattr(toxicity, "LABELS", 1)
+    again = toxicity.Model(np.zeros(1), np.zeros(1), np.zeros(1), 0.0)
+    toxicity.calibrate(again, docs, labels)
+    assert again.thresholds == model.thresholds
     clean, toxic = np.zeros(toxicity.BINS), np.zeros(toxicity.BINS)
     clean[600], toxic[600], toxic[700] = 8, 1, 5
     assert 0.6 < toxicity.threshold(clean, toxic) <= 0.7
@@ -401,7 +405,27 @@ def test_toxicity_thresholds_cover_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels, prior: seen.append(len(texts)) or model)
     monkeypatch.setattr(toxicity, "calibrate", lambda m, d, y: seen.append(y.count()))
     toxicity.train(docs, labels, 5)
-    assert seen[0] <= 10 and seen[1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
+    assert seen[0] <= 10 and seen[1] == sum(zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows)
+    toxicity.train(docs, labels, 50, 20)
+    assert 0 < seen[2] <= 2 * 20 // 4  # texts of three bytes and one for each
+
+
+def test_toxicity_thresholds_at_a_small_share(spark):
+    r = random.Random(5)
+    word = lambda: f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randrange(200)}"
+
+    def text(toxic):
+        return " ".join([word() for _ in range(25)] + [f"vile{r.randrange(12)}" for _ in range(2 * toxic)] + ["vile1"] * (r.random() < 0.02))
+
+    rows = [(i, text(i % 40 == 0), "en", "s") for i in range(6000)]
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkey, toxicity.LEAST = toxicity.LEAST, 10
+    model = toxicity.train(df, labels, 500)
+    toxicity.LEAST = monkey
+    score = model.score([t.encode() for _, t, *_ in rows[4000:]])
+    wrong = lambda cut: sum((s >= cut) != (i % 40 == 0) for i, s in enumerate(score, 4000))
+    assert wrong(model.thresholds["en"]) <= wrong(0.5) + 2
 
 
 def test_pii_scripts(spark):
