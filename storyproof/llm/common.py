@@ -134,6 +134,14 @@ def freed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like the given one that df doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def payloads(column: pa.Array) -> list[bytes]:
     """Each string of an Arrow column in UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -185,7 +193,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers with their bits mixed, in place."""
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -213,7 +222,7 @@ class Words:
         with np.errstate(over="ignore"):
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-            part = lambda s, e: _mixed((sums[e] - sums[s]) * down[s])
+            part = lambda s, e: mixed((sums[e] - sums[s]) * down[s])
             self.hash = part(self.start, self.end)
             self.prefix = part(self.start, np.minimum(self.start + prefix, self.end)) if prefix else None
             self.suffix = part(np.maximum(self.end - suffix, self.start), self.end) if suffix else None

@@ -30,6 +30,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes, as a signed integer."""
     counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
@@ -68,16 +73,22 @@ def close_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return a.join(b, ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
 
 
+def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of the distinct fingerprints fp that link to another: what close pairs connect."""
+    return components(close_pairs(prints, distance))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest doc_id reachable by links, its own included).
 
     Null or empty texts have fingerprint zero and link like others. Equal fingerprints are one node, so a group of copies
     of any size costs one row in the joins. Repeated rows keep their rows. A null doc_id never names a component; a
-    component without any doc_id has a null component_id. Other columns of docs are ignored.
+    component without any doc_id has a null component_id. Other columns of docs are ignored, whatever their names; an empty
+    table gives none. Texts of any length are read whole.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(close_pairs(classes.select("fp"), distance))
+    roots = groups(classes.select("fp"), distance)
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     heads = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp").groupBy("root").agg(F.min("least").alias("head"))
     known = named.join(heads, "root", "left").select("fp", F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"))
@@ -85,5 +96,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents: 3-word shingles, links at 3 or fewer differing bits of 64."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
