@@ -4,7 +4,7 @@ Unit vectors are rotated and split into blocks of few dimensions. Two vectors wi
 most sqrt(2 - 2 * threshold) apart, so in some block their squared distance is within the block's proportional share of that
 budget. Each block is range-joined on a grid: a vector stands in the cell of its point, and looks into all cells that the
 ball around it touches. Points and balls of one cell travel in tiles, so that the join is of tiles and the distances of a pair
-of tiles are one matrix product. The union of the candidates is verified on the whole vectors in double precision.
+of tiles are one matrix product; the tiles of a full cell are split among tasks. The union of the candidates is verified on the whole vectors in double precision.
 
 Equal vectors are one class: a group of copies of any size is one point in the joins and counts by its size in the links.
 """
@@ -20,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from storyproof.llm.common import arrow_map, materialize
 from storyproof.llm.components import components
 
 THRESHOLD = 0.98
 BLOCK_DIMS, GRID_DIMS, TILE = 8, 3, 1024
-#: Classes that one task deals into tiles.
-CLASSES_PER_TASK = 20_000
+#: Classes that one task deals into tiles, a block after the other.
+CLASSES_PER_TASK = 100_000
+#: Tiles of either side of a cell that one task compares; the tiles of a cell with more are split among several.
+TILES_PER_TASK = 16
 SLACK = 1e-4  # of the squared-distance budget, for the single precision of block coordinates
 SEED = 11
 
@@ -38,11 +41,18 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _precision(vectors: DataFrame) -> str:
+    """How a component is stored: in single precision if the source has no more."""
+    kind = vectors.schema["embedding"].dataType
+    return "<f4" if isinstance(kind, types.ArrayType) and isinstance(kind.elementType, types.FloatType) else "<f8"
+
+
 def prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, vec): vec the components as float64 bytes, key that of label and vec; both null for what links with nothing.
+    """(vec_id, key, vec): vec the bytes of the components, key that of label and vec; both null for what links with nothing.
 
     That is a null label, a null, empty or zero vector, or one with null or non-finite components.
     """
+    precision = _precision(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,113 +69,133 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     keys.append(None)
                     vecs.append(None)
                     continue
-                v = (v + 0.0).tobytes()  # -0.0 is 0.0
-                keys.append(hashlib.blake2b(v, digest_size=16, key=hashlib.blake2b(str(label).encode()).digest()).hexdigest())
+                v = (v + 0.0).astype(precision).tobytes()  # -0.0 is 0.0
+                keys.append(hashlib.blake2b(v, digest_size=16, key=hashlib.blake2b(str(label).encode()).digest()).digest())
                 vecs.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
 
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    return materialize(arrow_map(source, run, "vec_id long, label string, key string, vec binary"), "vectors")
+    return materialize(arrow_map(source, run, "vec_id long, label string, key binary, vec binary"), "vectors")
 
 
-def _dealt(classes: DataFrame, threshold: float) -> DataFrame:
-    """Tiles (label, block, cell, ball, keys, points): ball says whether its vectors look into the cell or stand in it."""
-    names = ["label", "block", "cell", "ball", "keys", "points"]
+def _radius(threshold: float, part: int, dims: int) -> float:
+    """How far apart two vectors may be in a block of so many of all dimensions."""
+    return float(np.sqrt((2 - 2 * threshold) * part / dims + SLACK))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple[bytes, bytes]]] = {}
-        full: list[tuple] = []
 
-        def tiles(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _cells(part: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For points of a block their numbers and cells, and the numbers and cells of all cells that the balls around them touch.
 
-        def add(at: tuple, keys: list[bytes], points: np.ndarray) -> None:
-            now = held.setdefault(at, [])
-            for k, p in zip(keys, points, strict=True):
-                now.append((k, p.tobytes()))
-                if len(now) == TILE:
-                    full.append((*at, b"".join(x for x, _ in now), b"".join(x for _, x in now)))
-                    now.clear()
+    Cells are a little wider than balls, so a ball touches two in each dimension of the grid at most.
+    """
+    grid = part[:, :GRID_DIMS].astype(np.float64)
+    width = max(2 * radius * (1 + 1e-6), 1e-3)
+    own, low, high = (np.floor((grid + d) / width).astype(np.int64) for d in (0, -radius, radius))
+    number = lambda cell: ((cell + (1 << 19)) << (20 * np.arange(cell.shape[1]))).sum(1)
+    all_of, cells = [], []
+    for corner in itertools.product((False, True), repeat=grid.shape[1]):
+        there = np.flatnonzero(((high > low) | ~np.array(corner)).all(1))
+        all_of.append(there)
+        cells.append(number(np.where(corner, high[there], low[there])))
+    return np.arange(len(part)), number(own), np.concatenate(all_of), np.concatenate(cells)
+
+
+def _dealt(classes: DataFrame, threshold: float, precision: str) -> DataFrame:
+    """Tiles (label, block, cell, ball, ids, points) of classes: ball says whether its vectors look into the cell or stand in it."""
+    names = ["label", "block", "cell", "ball", "ids", "points"]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+
+    def tiles(group: str, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        dims = x.shape[1]
+        for block, lo in enumerate(range(0, dims, BLOCK_DIMS)):
+            part = x[:, lo : lo + BLOCK_DIMS]
+            stand, own, look, touched = _cells(part, _radius(threshold, part.shape[1], dims))
+            for ball, rows, cells in ((False, stand, own), (True, look, touched)):
+                order = np.argsort(cells, kind="stable")
+                rows, cells = rows[order], cells[order]
+                for first in np.flatnonzero(np.diff(cells, prepend=-1)).tolist():
+                    last = int(np.searchsorted(cells, cells[first], side="right"))
+                    for i in range(first, last, TILE):
+                        some = rows[i : min(i + TILE, last)]
+                        yield group, block, int(cells[first]), ball, ids[some].tobytes(), part[some].tobytes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, int], tuple[list, list]] = {}
         for b in batches:
-            groups: dict[tuple[str, int], tuple[list, list]] = {}
-            for label, key, vec in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, vecs = groups.setdefault((label, len(vec) // 8), ([], []))
-                ids.append(bytes.fromhex(key))
+            for label, cid, vec in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, vecs = groups.setdefault((label, len(vec)), ([], []))
+                ids.append(cid)
                 vecs.append(vec)
-            for (label, dims), (ids, vecs) in groups.items():
-                x = np.frombuffer(b"".join(vecs), dtype="<f8").reshape(-1, dims)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dims)
-                group = f"{label}/{dims}"
-                for block, lo in enumerate(range(0, dims, BLOCK_DIMS)):
-                    part = x[:, lo : lo + BLOCK_DIMS].astype("<f4")
-                    radius = np.sqrt((2 - 2 * threshold) * part.shape[1] / dims + SLACK)
-                    grid = part[:, :GRID_DIMS].astype(np.float64)
-                    width = max(2 * radius, 1e-3)
-                    own, low, high = (np.floor((grid + d) / width).astype(np.int64) for d in (0, -radius, radius))
-                    looked: dict[tuple, list[int]] = {}
-                    stood: dict[tuple, list[int]] = {}
-                    for i, (o, a, z) in enumerate(zip(own.tolist(), low.tolist(), high.tolist(), strict=True)):
-                        stood.setdefault(tuple(o), []).append(i)
-                        for cell in itertools.product(*(range(p, q + 1) for p, q in zip(a, z, strict=True))):
-                            looked.setdefault(cell, []).append(i)
-                    for ball, cells in ((False, stood), (True, looked)):
-                        for cell, rows in cells.items():
-                            add((group, block, ",".join(map(str, cell)), ball), [ids[i] for i in rows], part[rows])
-                if len(full) >= 64:
-                    yield tiles(full)
-                    full = []
-        full += [(*at, b"".join(x for x, _ in now), b"".join(x for _, x in now)) for at, now in held.items() if now]
-        for i in range(0, len(full), 256):
-            yield tiles(full[i : i + 256])
+        while groups:
+            (label, size), (ids, vecs) = groups.popitem()
+            x = np.frombuffer(b"".join(vecs), dtype=precision).reshape(len(ids), -1).astype(np.float64)
+            x = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])).astype("<f4")
+            made, held = [], 0
+            for tile in tiles(f"{label}/{x.shape[1]}", np.array(ids, dtype="<i8"), x):
+                made.append(tile)
+                held += len(tile[5])
+                if held >= 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+                    made, held = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
 
     n = max(1, -(-classes.count() // CLASSES_PER_TASK))
-    return materialize(arrow_map(classes.select("label", "key", "vec").coalesce(n), run, "label string, block int, cell string, ball boolean, keys binary, points binary"), "tiles")
+    return materialize(arrow_map(classes.select("label", "cid", "vec").coalesce(n), run, "label string, block int, cell long, ball boolean, ids binary, points binary"), "tiles")
+
+
+def _split(tiles: DataFrame) -> DataFrame:
+    """Pairs of tiles of a cell, (label, ia, pa, ib, pb): a tile that stands there with one that looks into it.
+
+    A cell with more than TILES_PER_TASK tiles of a side is split: its tiles are dealt to a grid of shares, and each tile of
+    one side goes to all shares of the other, so that no task meets more than that number of either.
+    """
+    at = ["label", "block", "cell"]
+    shares = lambda ball: F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("ball") == ball, 1)) / TILES_PER_TASK)).cast("int")
+    full = materialize(tiles.groupBy(*at).agg(shares(False).alias("np"), shares(True).alias("nb")).where("np > 1 or nb > 1"), "full-cells")
+    known = tiles.join(full, at, "left").withColumns({"np": F.coalesce("np", F.lit(1)), "nb": F.coalesce("nb", F.lit(1))})
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    points = known.where("not ball").withColumn("i", own("np")).withColumn("j", every("nb")).select(*at, "i", "j", F.col("ids").alias("ia"), F.col("points").alias("pa"))
+    balls = known.where("ball").withColumn("j", own("nb")).withColumn("i", every("np")).select(*at, "i", "j", F.col("ids").alias("ib"), F.col("points").alias("pb"))
+    return points.join(balls, [*at, "i", "j"]).select("label", "ia", "pa", "ib", "pb")
 
 
 def _candidates(tiles: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs a < b of keys that are within the budget of some block."""
+    """Distinct pairs a < b of classes that are within the budget of some block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for group, ka, pa_, kb, pb in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ka, kb = np.frombuffer(ka, dtype="S16"), np.frombuffer(kb, dtype="S16")
-                x, y = np.frombuffer(pa_, dtype="<f4").reshape(len(ka), -1), np.frombuffer(pb, dtype="<f4").reshape(len(kb), -1)
-                budget = (2 - 2 * threshold) * x.shape[1] / int(group.rpartition("/")[2]) + SLACK
+            for group, ia, pa_, ib, pb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ia, ib = np.frombuffer(ia, dtype="<i8"), np.frombuffer(ib, dtype="<i8")
+                x, y = np.frombuffer(pa_, dtype="<f4").reshape(len(ia), -1), np.frombuffer(pb, dtype="<f4").reshape(len(ib), -1)
+                budget = _radius(threshold, x.shape[1], int(group.rpartition("/")[2])) ** 2
                 near = (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T <= budget
                 i, j = np.nonzero(near)
-                ordered = ka[i] < kb[j]
-                i, j = i[ordered], j[ordered]
-                raw = [pa.array([k.ljust(16, b"\0").hex() for k in keys.tolist()], pa.string()) for keys in (ka[i], kb[j])]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays(raw, ["a", "b"])
+                a, c = ia[i], ib[j]
+                if (a < c).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a < c]), pa.array(c[a < c])], ["a", "b"])
 
-    at = ["label", "block", "cell"]
-    points = tiles.where("not ball").select(*at, F.col("keys").alias("ka"), F.col("points").alias("pa"))
-    balls = tiles.where("ball").select(*at, F.col("keys").alias("kb"), F.col("points").alias("pb"))
-    met = points.join(balls, at).select("label", "ka", "pa", "kb", "pb")
-    return arrow_map(met, run, "a string, b string").distinct()
+    return arrow_map(_split(tiles), run, "a long, b long").distinct()
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of classes whose cosine, in double precision on whole vectors, is at least the threshold; each once."""
+def links(classes: DataFrame, threshold: float = THRESHOLD, precision: str = "<f8") -> DataFrame:
+    """Pairs (a, b) of classes (cid) whose cosine, in double precision on whole vectors, is at least the threshold; each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            if not r.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(r.column(i).to_pylist()), dtype="<f8").reshape(r.num_rows, -1) if len({len(v) for v in r.column(i).to_pylist()}) == 1 else None for i in (2, 3))
-            if x is not None and y is not None:
-                cos = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            else:  # vectors of several lengths in one batch
-                pairs = [tuple(np.frombuffer(v, dtype="<f8") for v in p) for p in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
-                cos = np.array([(p * q).sum() / (np.linalg.norm(p) * np.linalg.norm(q)) for p, q in pairs])
-            yield r.select(["a", "b"]).filter(pa.array(cos >= threshold))
+            left, right = (r.column(i).to_pylist() for i in (2, 3))
+            close = np.zeros(r.num_rows, dtype=bool)
+            sizes = np.array([len(v) for v in left])  # classes that meet are equally long
+            for size in np.unique(sizes):
+                some = np.flatnonzero(sizes == size)
+                x, y = (np.frombuffer(b"".join(side[i] for i in some), dtype=precision).reshape(len(some), -1).astype(np.float64) for side in (left, right))
+                close[some] = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= threshold
+            yield r.select(["a", "b"]).filter(pa.array(close))
 
-    pairs = _candidates(_dealt(classes, threshold), threshold)
-    whole = pairs.join(classes.select(F.col("key").alias("a"), F.col("vec").alias("va")), "a").join(classes.select(F.col("key").alias("b"), F.col("vec").alias("vb")), "b")
-    return materialize(arrow_map(whole.select("a", "b", "va", "vb"), run, "a string, b string"), "cosine-links")
+    pairs = _candidates(_dealt(classes, threshold, precision), threshold)
+    whole = pairs.join(classes.select(F.col("cid").alias("a"), F.col("vec").alias("va")), "a").join(classes.select(F.col("cid").alias("b"), F.col("vec").alias("vb")), "b")
+    return materialize(arrow_map(whole.select("a", "b", "va", "vb"), run, "a long, b long"), "cosine-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,22 +203,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Only vectors of equal labels and lengths link. What links with nothing is its own component. Repeated rows are vectors of
     their own, linked with each other. A null vec_id never names a component unless it is alone there. Other columns are
-    ignored; an empty table gives none.
+    ignored, whatever their names; an empty table gives none.
     """
     rows = prepared(vectors)
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "classes")
-    pairs = links(classes, threshold)
+    named = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    classes = materialize(named.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    pairs = links(classes, threshold, _precision(vectors))
+    slim = classes.select("cid", "n", "least")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("key").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "key")
-    roots = components(pairs).withColumnRenamed("node", "key")
-    heads = roots.join(classes.select("key", "least"), "key").groupBy("root").agg(F.min("least").alias("head"))
-    known = classes.select("key", "n", "least").join(others, "key", "left").join(roots, "key", "left").join(heads, "root", "left").select("key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("head", "least").alias("head"))
+    others = both.join(slim.select(F.col("cid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "cid")
+    roots = components(pairs).withColumnRenamed("node", "cid")
+    heads = roots.join(slim, "cid").groupBy("root").agg(F.min("least").alias("head"))
+    known = classes.select("key", "cid", "n", "least").join(others, "cid", "left").join(roots, "cid", "left").join(heads, "root", "left").select("key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("head", "least").alias("head"))
     out = rows.select("vec_id", "key").join(known, "key", "left")
     component = F.coalesce("head", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all embeddings at a cosine of 0.98."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

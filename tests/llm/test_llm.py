@@ -108,14 +108,17 @@ def unit(*x):
     return [float(v) for v in np.array(x) / np.linalg.norm(x)]
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_embeddings(spark, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "TILES_PER_TASK", 2 if tile == 4 else 16)
     gen = np.random.default_rng(1)
     rows = []
     for i in range(120):
         base = gen.normal(size=20)
         rows += [(4 * i + k, (base + gen.normal(size=20) * s).tolist(), i % 3) for k, s in enumerate((0, 0.1, 0.15, 0.3))]
     rows += [(900, rows[0][1], 0), (900, rows[0][1], 0), (901, rows[0][1], None), (902, None, 0), (903, [0.0] * 20, 0), (904, [float("nan")] + [1.0] * 19, 0), (905, rows[0][1][:10], 0), (906, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("key", "n", "cid", "least", "vec")})
     ok = [r[2] is not None and r[1] and np.isfinite(r[1]).all() and any(r[1]) for r in rows]
     cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
     links = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and cos(rows[i][1], rows[j][1]) >= 0.98}
