@@ -5,6 +5,8 @@ Java's classes are ASCII unless asked otherwise; patterns start with (?U) where
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ def words_in(values: list[str] | tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def among(x: Column, values: list[str] | tuple[str, ...]) -> Column:
+    """Whether x is one of some fixed values, by a hash set."""
+    return x.isin(*values)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def text_or_empty(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
@@ -76,7 +88,7 @@ def bucket(position: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Parts of a text that end a sentence, closing quotes or brackets included, or a line."""
-    return F.filter(F.split(text_or_empty(x), r"(?U)(?:(?<=[.?!])|(?<=[.?!][\"”’)\]]))\s+|\n+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(text_or_empty(x), r"(?U)(?=\s)(?:(?<=[.?!])|(?<=[.?!][\"”’)\]]))\s+|\n+"), lambda s: F.trim(s) != "")
 
 
 def sentence_spans(x: Column) -> Column:
@@ -86,9 +98,9 @@ def sentence_spans(x: Column) -> Column:
 
 def clauses(sentence: Column) -> Column:
     """Parts of a sentence between marks and joining words; commas don't split."""
-    marks = r"(?iU)\s*(?:;|:|\(|\)|—|–| - |" + "|".join(rf"\b{w}\b" for w in lexicon.CLAUSE_WORDS) + r")\s*"
-    parts = F.filter(F.transform(F.split(clean(sentence), marks), clean), lambda c: c != "")
-    return F.when(F.size(parts) == 0, F.array(clean(sentence))).otherwise(parts)
+    marks = r"(?iU)(?:[;:()—–]| - |\b(?:" + "|".join(lexicon.CLAUSE_WORDS) + r")\b)\s*"
+    parts = lambda c: F.filter(F.transform(F.split(c, marks), lambda p: F.trim(p)), lambda p: p != "")
+    return let(clean(sentence), lambda c: let(parts(c), lambda p: F.when(F.size(p) == 0, F.array(c)).otherwise(p)))
 
 
 def facty(clause: Column) -> Column:
@@ -97,9 +109,12 @@ def facty(clause: Column) -> Column:
 
 def worth_keeping(clause: Column) -> Column:
     """Facts always; others of four words or more that aren't mostly stop words, if short."""
-    parts = F.split(clause, " ")
-    share = F.size(F.filter(parts, lambda w: F.array_contains(words_in(lexicon.STOPWORDS), F.lower(w)))) / F.greatest(F.lit(1), F.size(parts))
-    return facty(clause) | ((F.size(parts) >= 4) & ((F.size(parts) > 10) | (share <= 0.6)))
+
+    def telling(words: Column) -> Column:
+        stop = F.size(F.filter(words, lambda w: among(F.lower(w), lexicon.STOPWORDS)))
+        return (F.size(words) >= 4) & ((F.size(words) > 10) | (stop / F.size(words) <= 0.6))
+
+    return let(F.split(clause, " "), telling) | facty(clause)  # the dearer test only where it decides
 
 
 def ended(clause: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyproof.config import Chunking
 from storyproof.functions import lexicon
-from storyproof.functions.text import bucket, text_or_empty, title_code, words_in
+from storyproof.functions.text import among, bucket, let, text_or_empty, title_code
 
 
 def chapters(texts: DataFrame, pattern: str = Chunking.chapter_regex) -> DataFrame:
@@ -17,12 +17,33 @@ def chapters(texts: DataFrame, pattern: str = Chunking.chapter_regex) -> DataFra
     one chapter ch000. A null text counts as empty.
     """
     text = text_or_empty(F.col("text"))
-    parts = F.split(text, _ahead(pattern))
-    pieces = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("text"), F.regexp_extract(p, _anchored(pattern), 0).alias("title"))), lambda p: p["title"] != "")
-    numbered = F.transform(pieces, lambda p, i: F.struct(F.format_string("ch%03d", i + 1).alias("chapter_id"), F.trim(p["title"]).alias("chapter_title"), p["text"].alias("chapter_text"), (F.length(text) - F.length(F.array_join(F.transform(F.slice(pieces, i + 1, F.size(pieces)), lambda q: q["text"]), ""))).alias("chapter_start")))
-    whole = F.array(F.struct(F.lit("ch000").alias("chapter_id"), F.lit("NO_CHAPTER").alias("chapter_title"), text.alias("chapter_text"), F.lit(0).alias("chapter_start")))
+    parts = F.transform(F.split("_text", _ahead(pattern)), lambda p: F.struct(p.alias("text"), F.regexp_extract(p, _anchored(pattern), 0).alias("title"), F.length(p).alias("n")))
+    sizes = F.transform("_parts", lambda p: p["n"])
+    placed = F.transform("_parts", lambda p, i: F.struct(p["title"].alias("title"), p["text"].alias("text"), _before(i).alias("start")))
+    made = F.filter("_placed", lambda p: p["title"] != "")
+    numbered = F.transform("_made", lambda p, i: F.struct(F.format_string("ch%03d", i + 1).alias("chapter_id"), F.trim(p["title"]).alias("chapter_title"), p["text"].alias("chapter_text"), p["start"].alias("chapter_start")))
+    whole = F.array(F.struct(F.lit("ch000").alias("chapter_id"), F.lit("NO_CHAPTER").alias("chapter_title"), F.col("_text").alias("chapter_text"), F.lit(0).alias("chapter_start")))
     kept = [c for c in texts.columns if c != "text"]
-    return texts.select(*kept, F.length(text).alias("full_len"), F.inline(F.when(F.size(pieces) > 0, numbered).otherwise(whole)))
+    cut = texts.select(*kept, text.alias("_text")).withColumn("_parts", parts).withColumn("_sizes", sizes).withColumn("_sums", _block_sums("_sizes")).withColumn("_placed", placed).withColumn("_made", made)
+    return cut.select(*kept, F.length("_text").alias("full_len"), F.inline(F.when(F.size("_made") > 0, numbered).otherwise(whole)))
+
+
+BLOCK = 128
+
+
+def _added(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+
+def _block_sums(sizes: str) -> Column:
+    """The sums of each BLOCK numbers in a row, so that a sum of the first i needs few steps."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda b: _added(F.slice(sizes, b * BLOCK + 1, BLOCK)))
+
+
+def _before(i: Column) -> Column:
+    """The sum of the first i of _sizes."""
+    blocks = F.floor(i / BLOCK).cast("int")
+    return _added(F.slice("_sums", F.lit(1), blocks)) + _added(F.slice("_sizes", blocks * BLOCK + 1, i - blocks * BLOCK))
 
 
 def _flags(pattern: str) -> tuple[str, str]:
@@ -80,31 +101,45 @@ def windows(parts: DataFrame, code: Column, cfg: Chunking | None = None) -> Data
     )
 
 
+def ranked_words(found: Column, most: int) -> Column:
+    """The most frequent of some words as array<struct<low,word>>, low the negative number; ties in the order of the words.
+
+    The words are sorted once; where the runs of equal ones begin gives the numbers, so the work is that of sorting.
+    """
+
+    def runs(words: Column) -> Column:
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def of_runs(words: Column, starts: Column) -> Column:
+        counted = F.transform(starts, lambda at, k: F.struct((at - F.coalesce(F.get(starts, k + 1), F.size(words))).alias("low"), F.get(words, at).alias("word")))
+        return F.slice(F.sort_array(counted), 1, most)
+
+    return let(F.sort_array(found), lambda words: let(runs(words), lambda starts: of_runs(words, starts)))
+
+
 def counted(rows: DataFrame, keys: list[str], found: Column, most: int, name: str) -> DataFrame:
     """For each row of keys the most frequent of some words, ties in their order: (keys, rank, name, n).
 
     Counting, ranking and cutting happen inside the row, whose words are at hand; nothing is shuffled.
     """
-    distinct = F.array_distinct("_found")
-    ranked = F.slice(F.array_sort(F.transform(distinct, lambda w: F.struct((-F.size(F.filter("_found", lambda x: x == w))).alias("low"), w.alias("word")))), 1, most)
-    out = rows.select(*keys, found.alias("_found")).select(*keys, F.posexplode(ranked).alias("_at", "_hit"))
+    out = rows.select(*keys, F.posexplode(ranked_words(found, most)).alias("_at", "_hit"))
     return out.select(*keys, (F.col("_at") + 1).alias("rank"), F.col("_hit.word").alias(name), (-F.col("_hit.low")).alias("n"))
 
 
 def entity_words(text: Column) -> Column:
     """Capitalised words of three letters or more that aren't on the list of those that are no entities."""
-    return F.filter(F.regexp_extract_all(text_or_empty(text), F.lit(r"(?U)\b[A-Z][a-z]{2,}\b"), F.lit(0)), lambda w: ~F.array_contains(words_in(lexicon.NOT_ENTITIES), w))
+    return F.filter(F.regexp_extract_all(text_or_empty(text), F.lit(r"(?U)\b[A-Z][a-z]{2,}\b"), F.lit(0)), lambda w: ~among(w, lexicon.NOT_ENTITIES))
 
 
 def keyword_words(text: Column) -> Column:
     """Words of four letters or more that are no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"\p{L}[\p{L}\p{M}\-']+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~F.array_contains(words_in(lexicon.STOPWORDS), w))
+    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"\p{L}[\p{L}\p{M}\-']+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~among(w, lexicon.STOPWORDS))
 
 
 def most_frequent(found: Column, most: int) -> Column:
     """The same ranking as an array of words."""
-    ranked = F.array_sort(F.transform(F.array_distinct(found), lambda w: F.struct((-F.size(F.filter(found, lambda x: x == w))).alias("low"), w.alias("word"))))
-    return F.transform(F.slice(ranked, 1, most), lambda r: r["word"])
+    return F.transform(ranked_words(found, most), lambda r: r["word"])
 
 
 def chunks(novels: DataFrame, cfg: Chunking | None = None, run_id: str = "") -> DataFrame:

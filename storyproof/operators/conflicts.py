@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyproof.config import Logic
 from storyproof.functions import lexicon
-from storyproof.functions.text import jaccard, negated, token_set
+from storyproof.functions.text import negated, token_set
 from storyproof.schemas import VIOLATION
+from storyproof.sources.store import materialize
 
 SOLVER = "claim_nli_rule_engine_v1"
+#: Statements of an id with the same token that one task pairs with the others.
+STATEMENTS_PER_TASK = 2000
 
 
 def violation(rule: Column, triples: Column, confidence: Column, severity: str) -> Column:
@@ -29,29 +34,39 @@ def structural(edges: DataFrame) -> DataFrame:
     return several_objects(edges, lexicon.UNIQUE_RELATIONS, unique, "HARD").unionByName(several_objects(edges, ("MarriedTo",), spouse, "SOFT"))
 
 
-def candidate_pairs(statements: DataFrame, cfg: Logic | None = None) -> DataFrame:
+def candidate_pairs(statements: DataFrame, cfg: Logic | None = None, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, negations.
 
     Any pair that is kept has a Jaccard similarity of at least t = 0.6 * min_jaccard, so with tokens in one order, here the
     rarest of an id first, the two share one of the first n - ceil(t * n) + 1 of each. Only those prefixes meet, in a join on
-    (id, token), which leaves out the most frequent tokens; tokens of one statement only and pairs of too unlike sizes go
-    too. Whole token sets are compared for what is left. Of each id the max_pairs with most shared tokens are kept, ties by
-    i and j.
+    (id, token), which leaves out the most frequent tokens; a token of many statements is split among tasks. The tokens that
+    two prefixes share are counted, and a pair whose other tokens can't make up for what is missing goes. Whole token sets are
+    compared for what is left. Of each id the max_pairs with most shared tokens are kept, ties by i and j. Tokens are
+    compared by 64-bit hashes; keep stores their sets, which several joins read.
     """
     cfg = cfg or Logic()
     least = cfg.min_jaccard * 0.6
-    sets = statements.select("id", "pos", token_set(F.col("text")).alias("tokens"))
-    postings = sets.select("id", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    told = statements.select("id", "pos", token_set(F.col("text")).alias("_tokens"))
+    postings = told.select("id", "pos", negated(F.col("_tokens")).alias("negated"), F.explode(F.transform("_tokens", lambda t: F.xxhash64(t))).alias("token"))
     known = postings.join(postings.groupBy("id", "token").agg(F.count(F.lit(1)).alias("df")), ["id", "token"])
-    rarest = F.row_number().over(Window.partitionBy("id", "pos").orderBy("df", "token"))
-    prefix = known.withColumn("_r", rarest).where((F.col("_r") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
-    i, j = (prefix.select("id", "token", F.col("pos").alias(x), F.col("n").alias(f"n{x}")) for x in "ij")
+    sets = keep(known.groupBy("id", "pos", "negated").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered")), "token-sets")
+    n = F.size("ordered")
+    rest = (F.ceil(least * n - 1e-9) - 1).cast("int")
+    prefix = sets.select("id", "pos", n.alias("n"), rest.alias("rest"), F.inline(F.filter(F.slice("ordered", F.lit(1), n - rest), lambda t: t["df"] > 1)))
+    prefix = prefix.withColumn("_shares", F.ceil(F.col("df") / STATEMENTS_PER_TASK).cast("int"))
+    sets = sets.select("id", "pos", "negated", F.transform("ordered", lambda t: t["token"]).alias("tokens"))
+    i = prefix.select("id", "token", F.pmod(F.xxhash64("pos"), F.col("_shares")).cast("int").alias("share"), F.col("pos").alias("i"), F.col("n").alias("ni"), F.col("rest").alias("ri"))
+    j = prefix.select("id", "token", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.col("pos").alias("j"), F.col("n").alias("nj"), F.col("rest").alias("rj"))
     sizes = F.least("ni", "nj") >= least * F.greatest("ni", "nj") - 1e-9
-    met = i.join(j, ["id", "token"]).where((F.col("i") < F.col("j")) & sizes).select("id", "i", "j").distinct()
-    of = lambda x: sets.select("id", F.col("pos").alias(x), F.col("tokens").alias(f"t{x}"))
+    counted = i.join(j, ["id", "token", "share"]).where((F.col("i") < F.col("j")) & sizes).groupBy("id", "i", "j", "ni", "nj", "ri", "rj").agg(F.count(F.lit(1)).alias("met"))
+    # tokens behind the prefix that ends first are all that can be shared besides
+    most = F.col("met") + F.greatest("ri", "rj")
+    met = counted.where((most >= least / (1 + least) * (F.col("ni") + F.col("nj")) - 1e-9) & (most >= cfg.min_shared_tokens)).select("id", "i", "j")
+    of = lambda x: sets.select("id", F.col("pos").alias(x), F.col("tokens").alias(f"t{x}"), F.col("negated").alias(f"negated_{x}"))
     full = met.join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"]).withColumn("shared", F.size(F.array_intersect("ti", "tj")).cast("long")).where(F.col("shared") >= cfg.min_shared_tokens)
-    unlike = negated(F.col("ti")) != negated(F.col("tj"))
-    measured = full.select("id", "i", "j", "shared", jaccard(F.col("ti"), F.col("tj")).alias("jaccard"), unlike.alias("unlike"))
+    unlike = F.col("negated_i") != F.col("negated_j")
+    similarity = F.when((F.size("ti") == 0) | (F.size("tj") == 0), F.lit(0.0)).otherwise(F.col("shared") / (F.size("ti") + F.size("tj") - F.col("shared")))
+    measured = full.select("id", "i", "j", "shared", similarity.alias("jaccard"), unlike.alias("unlike"))
     near = measured.where((F.col("jaccard") >= cfg.min_jaccard) | (F.col("unlike") & (F.col("jaccard") >= least)))
     order = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cfg.max_pairs).drop("_n")

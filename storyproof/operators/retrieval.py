@@ -1,25 +1,28 @@
 """BM25 over an inverted index, a corpus at a time, and top-K under constraints.
 
-The index is postings, document lengths and corpus statistics as tables. A query joins its distinct terms with the postings
-of its corpus, so terms that no query has are dropped before anything is shuffled by document. Documents without any query term
-score 0; the pool needs at most as many of those as it has places, so just the first of each corpus are joined in.
+The index is postings, document lengths and corpus statistics as stored tables: texts are read once, when it is built. A query
+joins its distinct terms with the postings of its corpus, so terms that no query has are dropped before anything is shuffled by
+document. Documents without any query term score 0; the pool needs at most as many of those as it has places, so just the first
+of each corpus are joined in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyproof.config import Retrieval
 from storyproof.functions.lexicon import BUCKETS
 from storyproof.functions.text import tokens
+from storyproof.sources.store import materialize
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (corpus, term, doc, f, dl), terms (corpus, term, df, idf) and corpora (corpus, n, avgdl) of docs (corpus, doc)."""
+    """docs (corpus, doc and whatever else but the text), postings (corpus, term, doc, f, dl), terms (corpus, term, df, idf) and corpora (corpus, n, avgdl)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -27,15 +30,35 @@ class Index:
     corpora: DataFrame
 
 
-def build(docs: DataFrame, text: str = "text") -> Index:
-    """The index of docs (corpus, doc, text and whatever else); building again gives a new one."""
+def build(docs: DataFrame, text: str = "text", keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Index:
+    """The index of docs (corpus, doc, text and whatever else); building again gives a new one.
+
+    keep stores a table and gives it back as stored; texts are read for the postings alone.
+    """
     counted = docs.select("corpus", "doc", tokens(F.col(text)).alias("_tokens"))
-    lengths = counted.select("corpus", "doc", F.size("_tokens").alias("dl"))
-    corpora = lengths.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.select("corpus", "doc", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term")).groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("f"))
+    words = counted.select("corpus", "doc", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
+    postings = keep(words.groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("f")), "postings")
+    there = docs.drop(text)
+    lengths = postings.groupBy("corpus").agg(F.sum("f").alias("_words"))
+    corpora = there.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).join(lengths, "corpus", "left").select("corpus", "n", (F.coalesce("_words", F.lit(0)) / F.col("n")).alias("avgdl"))
     df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.join(F.broadcast(corpora), "corpus").select("corpus", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(docs, postings, terms, corpora)
+    terms = df.join(corpora, "corpus").select("corpus", "term", "df", _idf().alias("idf"))
+    return Index(there, postings, terms, corpora)
+
+
+def save(index: Index, folder: str) -> None:
+    """Writes an index, postings in the order of their terms, so that a search reads only the parts that can hold its terms."""
+    index.postings.repartitionByRange("corpus", "term").sortWithinPartitions("corpus", "term").write.mode("overwrite").parquet(f"{folder}/postings")
+    for name in ("docs", "terms", "corpora"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "terms", "corpora")))
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def weight(k1: float, b: float) -> Column:
@@ -52,12 +75,10 @@ def scores(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Da
     cfg = cfg or Retrieval()
     asked = queries.select("query", "corpus", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = asked.select("corpus", "term").distinct()
-    # only postings of terms that are asked for are counted and weighed
-    counted = index.docs.select("corpus", "doc", tokens(F.col("text")).alias("_tokens")).select("corpus", "doc", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    postings = counted.join(F.broadcast(wanted) if _few(wanted) else wanted, ["corpus", "term"], "left_semi").groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("f"))
+    # only postings of terms that are asked for are weighed
+    postings = index.postings.join(F.broadcast(wanted) if _few(wanted) else wanted, ["corpus", "term"], "left_semi")
     df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = postings.join(df, ["corpus", "term"]).join(index.corpora, "corpus").withColumn("idf", idf).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
+    weighed = postings.join(df, ["corpus", "term"]).join(index.corpora, "corpus").withColumn("idf", _idf()).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
     return asked.join(weighed, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum("w"), 9).alias("score"))
 
 

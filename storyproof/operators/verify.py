@@ -97,7 +97,7 @@ def sentence_scores(passages: DataFrame, keys: list[str], top: int) -> DataFrame
     passages has keys, passage, claim_text and plain aliases. A sentence has 2 for an alias, 0.6 for each anchor up to 2, and its
     length / 600 up to 0.4. A passage without sentences gives its first 400 characters.
     """
-    spans = F.filter(F.transform(T.sentence_spans(F.col("passage")), F.trim), lambda s: s != "")
+    spans = F.filter(F.transform(T.sentence_spans(F.col("passage")), lambda s: F.trim(s)), lambda s: s != "")
     found = F.when(F.size(spans) > 0, spans).otherwise(F.array(F.trim(F.substring(F.col("passage"), 1, 400))))
     rows = passages.select(*keys, normal.wider(F.col("aliases")).alias("_aliases"), T.tokens(F.col("claim_text")).alias("_claim"), F.posexplode(found).alias("pos", "sentence"))
     rows = rows.withColumn("_anchors", normal.anchors(F.col("_claim"), F.col("_aliases"), words_in(lexicon.NEGATIONS))).withColumn("_plain", normal.plain(F.col("sentence")))

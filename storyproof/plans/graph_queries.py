@@ -10,6 +10,7 @@ from storyproof.functions import lexicon
 from storyproof.functions.text import mention_key
 from storyproof.operators import conflicts, graph
 from storyproof.plans.registry import query, quoted, table
+from storyproof.sources.readers import spread
 
 CFG = Logic()
 
@@ -75,7 +76,7 @@ pairs AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, i,
 
 
 def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("pos"), F.concat(F.lit("t_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("triple_id"), "text", (F.col("doc_id") % 100 / 100.0).alias("confidence"))
+    return spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(F.col("source").alias("id"), F.col("doc_id").alias("pos"), F.concat(F.lit("t_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("triple_id"), "text", (F.col("doc_id") % 100 / 100.0).alias("confidence"))
 
 
 @query(f"WITH {SETS} SELECT id, i, j, shared, round(jac, 6) AS jaccard, unlike FROM pairs WHERE nth <= 400")

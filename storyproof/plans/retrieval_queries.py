@@ -11,6 +11,7 @@ from storyproof.config import Retrieval
 from storyproof.functions.text import bucket, tokens
 from storyproof.operators import retrieval
 from storyproof.plans.registry import query, table
+from storyproof.sources.readers import spread
 from storyproof.streaming import asof
 
 CFG = Retrieval(max_per_chapter=3)
@@ -41,7 +42,7 @@ NORM = "round(CASE WHEN high > low THEN (score - low) / (high - low) ELSE 0 END,
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = (F.col("doc_id") * 7919 % 1000) / 1000.0
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text", F.col("source").alias("chapter"), bucket(place).alias("bucket"))
+    return spread(table(spark, sf_dir, "documents").select("lang", "doc_id", "text", "source")).select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text", F.col("source").alias("chapter"), bucket(place).alias("bucket"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,4 @@ def retrieval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{TOP} SELECT query, corpus, doc, round(score, 6) AS score, {NORM} AS score_norm, rank FROM kept WHERE rank <= 12")
 def retrieve_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a micro-batch of the stream of claims is answered with."""
-    return _ranked(asof.answered(queries(spark, sf_dir), docs(spark, sf_dir), CFG))
+    return _ranked(asof.answered(queries(spark, sf_dir), retrieval.build(docs(spark, sf_dir)), CFG))

@@ -10,6 +10,7 @@ from storyproof.functions import lexicon, names, normal
 from storyproof.functions import text as T
 from storyproof.operators import chunking, statements, verify
 from storyproof.plans.registry import query, quoted, table
+from storyproof.sources.readers import spread
 
 CFG = Chunking(window_words=60, overlap_words=10, min_chunk_words=20, chapter_regex="(?m)^[A-ZÀ-Ý][^ \\n]* [^\\n]*the[^\\n]*$")
 STEP = CFG.step
@@ -24,7 +25,7 @@ def marked(x: str) -> str:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n_tokens, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9'']+'), 1, 20), ' ') AS head FROM documents")

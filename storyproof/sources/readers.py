@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from storyproof import schemas
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, unless it comes from fewer files than there are cores and is too small for full splits of them.
+
+    Such a table may be one row group, which one task reads; it is dealt to all cores then. A large table never is.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quoted fields may hold commas, doubled quotes and line ends; columns are found by name, empty fields are null."""
     options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False}

@@ -12,25 +12,26 @@ from storyproof.config import Retrieval
 from storyproof.operators import retrieval
 
 
-def answered(queries: DataFrame, docs: DataFrame, cfg: Retrieval | None = None) -> DataFrame:
-    """The batch answer of queries (query, corpus, terms) over docs (corpus, doc, text, chapter, bucket)."""
-    return retrieval.top_k(retrieval.pool(retrieval.build(docs), queries, cfg), cfg)
+def answered(queries: DataFrame, index: retrieval.Index, cfg: Retrieval | None = None) -> DataFrame:
+    """The batch answer of queries (query, corpus, terms) from an index of documents with chapter and bucket."""
+    return retrieval.top_k(retrieval.pool(index, queries, cfg), cfg)
 
 
-def answer_stream(claims: DataFrame, snapshot: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, cfg: Retrieval | None = None, strict: bool = False, fallback: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+def answer_stream(claims: DataFrame, snapshot: Callable[[], retrieval.Index], write: Callable[[DataFrame, int], None], checkpoint: str, cfg: Retrieval | None = None, strict: bool = False, fallback: Callable[[], retrieval.Index] | None = None) -> StreamingQuery:
     """Starts answering a stream of queries, micro-batch by micro-batch.
 
-    snapshot() gives the documents as of a batch. If it fails, fallback() is asked unless strict. write(answers, batch) must
-    be idempotent by batch number, since a batch may be repeated after a failure.
+    snapshot() gives the index as of a batch, such as the one stored last; no batch reads the corpus. If it fails, fallback()
+    is asked unless strict. write(answers, batch) must be idempotent by batch number, since a batch may be repeated after a
+    failure.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         try:
-            docs = snapshot()
+            index = snapshot()
         except Exception:
             if strict or fallback is None:
                 raise
-            docs = fallback()
-        write(answered(batch, docs, cfg).withColumn("batch", F.lit(number)), number)
+            index = fallback()
+        write(answered(batch, index, cfg).withColumn("batch", F.lit(number)), number)
 
     return claims.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from storyproof.config import Chunking, Retrieval, Settings
-from storyproof.operators import measures
+from storyproof.operators import measures, retrieval
 from storyproof.plans import pipeline
 from storyproof.sources import readers
 from storyproof.streaming import asof
@@ -62,14 +62,15 @@ def test_stream(spark, tmp_path):
     asked = spark.createDataFrame([(1, "x", ["b"]), (2, "x", ["d"])], "query int, corpus string, terms array<string>")
     asked.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(asked.schema).json(str(tmp_path / "in"))
+    retrieval.save(retrieval.build(docs), str(tmp_path / "index"))
     failing = iter([True])
 
     def snapshot():
         if next(failing, False):
             raise OSError("gone")
-        return docs
+        return retrieval.load(spark, str(tmp_path / "index"))
 
-    q = asof.answer_stream(stream, snapshot, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), str(tmp_path / "cp"), Retrieval(k=1), fallback=lambda: docs)
+    q = asof.answer_stream(stream, snapshot, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), str(tmp_path / "cp"), Retrieval(k=1), fallback=lambda: retrieval.build(docs))
     q.awaitTermination(120)
     got = {r["query"]: r["doc"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: 0, 2: 2}
