@@ -7,10 +7,8 @@ import contextlib
 import ctypes
 import io
 import os
-import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -20,68 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyproof.sources.store import materialize, shared_dir  # noqa: F401
+
 #: Bounds of an Arrow batch: rows, and bytes beyond which no further row is added.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or what was given to setCheckpointDir.
-
-    Only a local session, where driver and executors are one process, may do without: it gets a folder of this machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="storyproof-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    return re.sub("^file:/(?!/)", "file:///", found).rstrip("/")
-
-
-_written: dict[str, tuple] = {}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses; what is there when this process ends is removed then."""
-    if not _written:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
-    return path
-
-
-def remove(path: str) -> None:
-    """Deletes one of those paths, if it can be reached."""
-    jvm, conf = _written.pop(path)
-    with contextlib.suppress(Exception):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
-def _clean() -> None:
-    for path in list(_written):
-        remove(path)
-
-
-def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: lineage ends there, and lost executors lose nothing.
-
-    replaces is a table made here before that nothing needs any more once the new one is there; it is removed.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    if old := getattr(replaces, "_stored_at", None):
-        remove(old)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that their Python workers can import it."""
     sc = spark.sparkContext
