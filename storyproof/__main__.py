@@ -1,27 +1,44 @@
-"""python -m storyproof --train train.csv --test test.csv --novel a.txt --novel b.txt --out folder"""
+"""python -m storyproof run --train train.csv --test test.csv --novel a.txt --novel b.txt --out folder
+python -m storyproof evaluate --labels gold.csv --out folder"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import shutil
 
 from pyspark.sql import SparkSession
 
 from storyproof.config import load
+from storyproof.plans.evaluation import MAPPING, evaluate
 from storyproof.plans.pipeline import execute
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="storyproof", description="Checks summaries of characters against novels.")
-    p.add_argument("--train", required=True)
-    p.add_argument("--test", required=True)
-    p.add_argument("--novel", action="append", required=True, help="a text file; its name is the book's; may be repeated")
-    p.add_argument("--out", required=True)
-    p.add_argument("--config", help="a YAML file")
-    p.add_argument("--run-id")
+    commands = p.add_subparsers(dest="command", required=True)
+    run = commands.add_parser("run", help="a whole run with its files")
+    run.add_argument("--train", required=True)
+    run.add_argument("--test", required=True)
+    run.add_argument("--novel", action="append", required=True, help="a text file; its name is the book's; may be repeated, the order counts")
+    run.add_argument("--copy-results", help="a path that the results are copied to besides")
+    told = commands.add_parser("evaluate", help="compares a run with labels")
+    told.add_argument("--labels", required=True)
+    told.add_argument("--aggregation", default="max_conf", choices=("max_conf", "vote"))
+    told.add_argument("--int-label-map", default=MAPPING)
+    for c in (run, told):
+        c.add_argument("--out", required=True)
+        c.add_argument("--config", help="a YAML file")
+        c.add_argument("--run-id")
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("storyproof").getOrCreate()
-    print(json.dumps(execute(spark, a.train, a.test, a.novel, a.out, load(a.config), a.run_id), indent=2))
+    spark, cfg = SparkSession.builder.appName("storyproof").getOrCreate(), load(a.config)
+    if a.command == "run":
+        made = execute(spark, a.train, a.test, a.novel, a.out, cfg, a.run_id)
+        if a.copy_results:
+            shutil.copytree(made["results"], a.copy_results, dirs_exist_ok=True)
+    else:
+        made = evaluate(spark, a.labels, a.out, a.run_id, a.aggregation, a.int_label_map, cfg)
+    print(json.dumps(made, indent=2))
 
 
 if __name__ == "__main__":

@@ -89,6 +89,14 @@ def symmetric(judged: DataFrame) -> DataFrame:
     return judged.groupBy("id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("entail").alias("entail"), F.max("contradict").alias("contradict"))
 
 
+def judged(pairs: DataFrame, statements: DataFrame, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (id, i, j) judged in both directions: (id, i, j, entail, contradict), for statements (id, pos, text)."""
+    of = lambda x: statements.select("id", F.col("pos").alias(x), F.col("text").alias(f"text_{x}"))
+    told = pairs.select("id", "i", "j").join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"])
+    both = told.select("id", "i", "j", F.inline(F.array(*(F.struct(F.col(f"text_{a}").alias("premise"), F.col(f"text_{b}").alias("hypothesis")) for a, b in ("ij", "ji")))))
+    return both.withColumn("_j", judge(F.col("premise"), F.col("hypothesis"))).select("id", "i", "j", "_j.entail", "_j.contradict")
+
+
 def by_model(pairs: DataFrame, judged: DataFrame, statements: DataFrame, cfg: Logic | None = None) -> DataFrame:
     """(id, violation) from a model's probabilities: duplicates first, then hard, then soft contradictions."""
     cfg = cfg or Logic()
@@ -100,8 +108,8 @@ def by_model(pairs: DataFrame, judged: DataFrame, statements: DataFrame, cfg: Lo
     soft = (F.col("contradict") >= cfg.soft_contradiction) & ((F.col("jaccard") >= 0.30) | F.col("unlike"))
     found = (
         F.when(same, violation(F.lit("DuplicateClaims(A): near-identical supported claims"), triples, F.greatest(best, "entail"), "SOFT"))
-        .when(hard, violation(F.lit("ContradictoryClaims(A): supported claims contradict each other"), triples, 0.6 * F.col("contradict") + 0.4 * best, "HARD"))
-        .when(soft, violation(F.lit("ContradictoryClaims(A): supported claims may contradict each other"), triples, 0.5 * F.col("contradict") + 0.5 * best, "SOFT"))
+        .when(hard, violation(F.lit("ContradictoryClaims(A): NLI contradiction between supported claims"), triples, 0.6 * F.col("contradict") + 0.4 * best, "HARD"))
+        .when(soft, violation(F.lit("ContradictoryClaims(A): possible contradiction among similar supported claims"), triples, 0.5 * F.col("contradict") + 0.5 * best, "SOFT"))
     )
     return full.select("id", found.alias("violation")).where("violation is not null")
 

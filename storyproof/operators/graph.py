@@ -32,7 +32,8 @@ def resolved(rows: DataFrame, aliases: DataFrame, mention: str, only: Column | N
 def triples(facts: DataFrame, chunks: DataFrame, evidence: DataFrame, aliases: DataFrame, least: float = 0.65, run_id: str = "") -> DataFrame:
     """The triple table of facts with enough confidence; what a fact lacks comes from the evidence of its claim and chunk."""
     meta = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", F.col("book_name").alias("_book"), "time_bucket", "chapter_id", "chunk_pos", F.col("chunk_text").alias("_text"))
-    told = evidence.groupBy("claim_id", "chunk_id").agg(F.max("label").alias("_label"), F.max("confidence").alias("_conf"), F.max("evidence_text").alias("_said"))
+    # of several rows of one claim and chunk one whole row counts, that of the largest id
+    told = evidence.groupBy("claim_id", "chunk_id").agg(F.max(F.struct("id", "confidence", "label", "evidence_text")).alias("_row")).select("claim_id", "chunk_id", F.col("_row.label").alias("_label"), F.col("_row.confidence").alias("_conf"), F.col("_row.evidence_text").alias("_said"))
     rows = facts.where(F.coalesce("fact_confidence", "confidence") >= least).join(meta, "chunk_id", "left").join(told, ["claim_id", "chunk_id"], "left")
     full = lambda *c: F.coalesce(*(F.nullif(F.trim(F.col(x)), F.lit("")) for x in c), F.lit(""))
     rows = rows.withColumns({"support_label": full("label", "_label"), "evidence_confidence": F.coalesce("confidence", "_conf", F.lit(0.0)), "_said": full("excerpt", "_said"), "_text": F.coalesce("_text", F.lit("")), "book_name": F.coalesce("_book", "book_name")})

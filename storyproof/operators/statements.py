@@ -41,8 +41,11 @@ def remap_titles(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """
     known = titles.select(F.col("book_name").alias("_pretty"), T.title_key(F.col("book_name")).alias("_key"), F.col("position").alias("_position")).where("_key <> ''")
     keyed = rows.select("book_name").distinct().withColumn("_own", T.title_key(F.col("book_name")))
-    near = (F.col("_own") != "") & ((F.col("_own") == F.col("_key")) | F.contains("_own", "_key") | F.contains("_key", "_own"))
-    best = keyed.join(F.broadcast(known), near, "left").groupBy("book_name").agg(F.min_by("_pretty", F.struct((F.col("_own") != F.col("_key")), "_position")).alias("_pretty"))
+    first = lambda df: df.groupBy("book_name").agg(F.min_by("_pretty", "_position").alias("_pretty"))
+    same = first(keyed.join(known, F.col("_own") == F.col("_key")))
+    # only names that no title equals are searched for one that holds them or is held
+    rest = keyed.where("_own <> ''").join(same, "book_name", "left_anti")
+    best = same.unionByName(first(rest.join(known, F.contains("_own", "_key") | F.contains("_key", "_own"))))
     return rows.withColumn("raw_book_name", F.col("book_name")).join(best, "book_name", "left").withColumn("book_name", F.coalesce("_pretty", "book_name")).drop("_pretty")
 
 

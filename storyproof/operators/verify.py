@@ -6,6 +6,8 @@ model can take its place through the same interface.
 
 from __future__ import annotations
 
+import importlib.util
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -91,6 +93,23 @@ def hugging_face(model_name: str, max_length: int = 512, batch_size: int = 16, d
     return ModelJudge(model_name, load)
 
 
+def judge_of(cfg: Verifier) -> Judge:
+    """The judge that the settings name: lexical, or mnli:model for a model of the transformers library.
+
+    Where that library or its torch isn't installed there is a warning, and the lexical judge takes its place.
+    """
+    kind, _, model = cfg.backend.partition(":")
+    if kind == "lexical":
+        return LexicalJudge()
+    if kind != "mnli" or not model:
+        raise ValueError(f"unknown verifier {cfg.backend!r}; use lexical or mnli:model")
+    missing = [m for m in ("torch", "transformers") if importlib.util.find_spec(m) is None]
+    if missing:
+        warnings.warn(f"{', '.join(missing)} can't be imported; statements are compared by their tokens", stacklevel=2)
+        return LexicalJudge()
+    return hugging_face(model)
+
+
 def sentence_scores(passages: DataFrame, keys: list[str], top: int) -> DataFrame:
     """The most telling sentences of each passage: keys, pos, sentence, sent_score; ties keep their order.
 
@@ -127,11 +146,11 @@ def chosen_sentence(cfg: Verifier) -> Column:
 def evidence(candidates: DataFrame, claims: DataFrame, chunks: DataFrame, judge: Judge | None = None, cfg: Verifier | None = None, run_id: str = "") -> DataFrame:
     """The evidence table with passage, claim columns and predicate_form kept for facts().
 
-    candidates (id, claim_id, book_name, chunk_id, score_lex_norm) meet their claims, of which the last of an id counts, and
-    the text of their chunks, empty where it is missing.
+    candidates (id, claim_id, book_name, chunk_id, score_lex_norm) meet their claims, of several of one claim_id one whole
+    row, that of the test split first, and the text of their chunks, empty where it is missing.
     """
     cfg, judge = cfg or Verifier(), judge or LexicalJudge()
-    told = claims.withColumn("_row", F.monotonically_increasing_id()).groupBy("claim_id").agg(*(F.max_by(c, "_row").alias(c) for c in ("claim_text", "char", "char_aliases", "predicate_form")))
+    told = claims.groupBy("claim_id").agg(F.max(F.struct(F.col("split") == "test", "claim_text", "char", "char_aliases", "predicate_form")).alias("_last")).select("claim_id", "_last.claim_text", "_last.char", "_last.char_aliases", "_last.predicate_form")
     texts = chunks.select("chunk_id", F.col("chunk_text").alias("passage")).dropDuplicates(["chunk_id"])
     work = candidates.select("id", "claim_id", "book_name", "chunk_id", "score_lex_norm").join(told, "claim_id").join(texts, "chunk_id", "left")
     work = work.withColumn("passage", F.coalesce("passage", F.lit("")))

@@ -28,7 +28,7 @@ sums AS (SELECT id, round(coalesce(sum(confidence) FILTER (label = 'SUPPORT'), 0
   round(coalesce(sum(confidence) FILTER (label = 'CONTRADICT'), 0), 6) AS contradict_weight, count(*) FILTER (label = 'CONTRADICT') AS contradict_n FROM evidence GROUP BY id),
 states AS (SELECT o_custkey AS id, CASE WHEN max(o_totalprice) > 499000 THEN 'UNSAT' WHEN max(o_totalprice) > 450000 THEN 'SOFT_VIOLATIONS' ELSE 'SAT' END AS status,
   round(max(o_totalprice) / 599999.0::DOUBLE, 9) AS logic_conf FROM orders GROUP BY o_custkey),
-ids AS (SELECT id FROM sums UNION SELECT c_custkey FROM customer WHERE c_custkey <= 400),
+ids AS (SELECT id FROM sums UNION SELECT c_custkey FROM customer),
 feats AS (SELECT i.id, coalesce(support_weight, 0) AS support_weight, coalesce(support_n, 0) AS support_n, coalesce(neutral_weight, 0) AS neutral_weight, coalesce(neutral_n, 0) AS neutral_n,
   coalesce(contradict_weight, 0) AS contradict_weight, coalesce(contradict_n, 0) AS contradict_n, coalesce(status, 'SAT') AS status, coalesce(logic_conf, 0) AS logic_conf,
   CAST(coalesce(status, 'SAT') = 'UNSAT' AS INT) AS hard_violations, CAST(coalesce(status, 'SAT') = 'SOFT_VIOLATIONS' AS INT) AS soft_violations, l.quality AS y,
@@ -62,9 +62,9 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of all users with events and of the first customers, rounded so that the order of addends doesn't matter."""
+    """Features of all users with events and of all customers, rounded so that the order of addends doesn't matter."""
     found = evidence(spark, sf_dir)
-    ids = found.select("id").union(table(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.col("c_custkey").alias("id"))).distinct()
+    ids = found.select("id").union(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))).distinct()
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     made = decide.features(ids, found, constraints(spark, sf_dir), labels, CFG)
     made = made.withColumns({c: F.round(c, 6) for c in ("support_weight", "neutral_weight", "contradict_weight")})

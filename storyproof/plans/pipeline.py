@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -50,7 +51,7 @@ def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str)
     queries = claims.select(F.col("claim_id").alias("query"), key.alias("corpus"), retrieval.query_terms(claims).alias("terms"))
     best = retrieval.top_k(retrieval.pool(retrieval.build(docs), queries, cfg.retrieval, ("chapter", "bucket", "chunk_pos", "title")), cfg.retrieval)
     ids = claims.select("id", F.col("claim_id").alias("query"), "split", F.col("book_name").alias("_asked"))
-    found = best.join(ids, "query").select(
+    found = best.join(ids, "query").orderBy("query", "rank").select(
         "id", F.col("query").alias("claim_id"), F.col("title").alias("book_name"), F.col("doc").alias("chunk_id"), F.col("chapter").alias("chapter_id"), "chunk_pos", F.col("bucket").alias("time_bucket"), F.lit("bm25").alias("retrieval_stage"),
         F.lit(None).cast("double").alias("score_vec"), F.col("score").alias("score_lex"), F.lit(None).cast("double").alias("score_rerank"), F.col("score_norm").alias("score_lex_norm"), F.col("rank").cast("int").alias("rank"), F.lit(False).alias("is_disjoint"), F.lit(run_id).alias("run_id"),
     )
@@ -61,12 +62,18 @@ def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str)
     return found, covered
 
 
-def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates: DataFrame, evidence: DataFrame, facts: DataFrame, train: DataFrame, cfg: Settings, run_id: str, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> dict[str, DataFrame]:
-    """The steps from facts on; any run can be taken up here from stored tables."""
+def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates: DataFrame, evidence: DataFrame, facts: DataFrame, train: DataFrame, cfg: Settings, run_id: str, keep: Callable[[str, DataFrame], DataFrame] = checkpointed, judge: verify.Judge | None = None) -> dict[str, DataFrame]:
+    """The steps from facts on; any run can be taken up here from stored tables. A model as judge compares statements, too."""
     aliases = graph.alias_table(claims, run_id)
     triples = keep("triples", graph.triples(facts, chunks, evidence, aliases, cfg.kg.min_fact_conf, run_id))
     stated = triples.where("p = 'Claim' and support_label = 'SUPPORT'").select("id", F.col("triple_id").alias("pos"), "triple_id", F.col("o").alias("text"), "confidence")
-    found = conflicts.structural(triples).unionByName(conflicts.lexical(conflicts.candidate_pairs(stated, cfg.logic), stated, cfg.logic))
+    pairs = conflicts.candidate_pairs(stated, cfg.logic)
+    if judge is None or isinstance(judge, verify.LexicalJudge):
+        unlike = conflicts.lexical(pairs, stated, cfg.logic)
+    else:
+        pairs = keep("statement_pairs", pairs)
+        unlike = conflicts.by_model(pairs, conflicts.judged(pairs, stated, judge), stated, cfg.logic)
+    found = conflicts.structural(triples).unionByName(unlike)
     constraints = keep("constraints", conflicts.constraints(ids, found, triples, run_id))
     labels = train.select("id", T.truth(F.col("label")).alias("y")).where("y is not null")
     feats = decide.features(ids, evidence, constraints, labels, cfg.aggregation)
@@ -76,12 +83,13 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
 
 
 def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> Run:
-    """All tables of a run of train and test rows over novels (book_name, text).
+    """All tables of a run of train and test rows over novels (book_name, text, position where their order counts).
 
     keep(name, df) gives back what later steps read in place of a table that several of them need.
     """
     cfg = cfg or Settings()
-    titles = novels.select("book_name").withColumn("position", F.col("book_name"))
+    judge = judge or verify.judge_of(cfg.verifier)
+    titles = novels.select("book_name", "position" if "position" in novels.columns else F.col("book_name").alias("position"))
     chunks = keep("chunks", chunking.chunks(novels, cfg.chunking, run_id))
     both = [statements.claims(statements.remap_titles(rows, titles), split, run_id) for rows, split in ((train, "train"), (test, "test"))]
     claims = keep("claims", both[0].unionByName(both[1]))
@@ -90,7 +98,7 @@ def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | N
     evidence = keep("evidence", verify.evidence(candidates, claims, chunks, judge, cfg.verifier, run_id))
     facts = keep("facts", verify.facts(evidence, cfg.verifier))
     ids = train.select("id").union(test.select("id")).distinct()
-    rest = after_facts(ids, claims, chunks, candidates, evidence, facts, train, cfg, run_id, keep)
+    rest = after_facts(ids, claims, chunks, candidates, evidence, facts, train, cfg, run_id, keep, judge)
     kept = [c.split()[0] for c in schemas.EVIDENCE.split(", ")]
     return Run(novels=novels, chunks=chunks, claims=claims, candidates=candidates, coverage=covered, evidence=evidence.select(*kept), facts=facts, **rest)
 
@@ -108,12 +116,16 @@ def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str],
         df.drop("run_id").write.mode("overwrite").parquet(path)
         return spark.read.schema(df.drop("run_id").schema).parquet(path).withColumn("run_id", F.lit(run_id))
 
-    run = plan(train_df, test_df, readers.novels(spark, *novel_paths), cfg, run_id, keep=stored)
+    order = spark.createDataFrame([(Path(p).stem, i) for i, p in enumerate(novel_paths)], "book_name string, position int").dropDuplicates(["book_name"])
+    run = plan(train_df, test_df, readers.novels(spark, *novel_paths).join(order, "book_name", "left"), cfg, run_id, keep=stored)
     writers.csv(train_df, f"{bronze}/train")
     writers.csv(test_df, f"{bronze}/test")
     for name in ("coverage", "aliases", "grounded"):
         stored(name, getattr(run, name))
-    stored("novel_registry", run.novels.drop("text"))
+    stored("novel_registry", run.novels.drop("text", "position"))
+    (bronze / "novels").mkdir(parents=True, exist_ok=True)
+    for p in novel_paths:
+        shutil.copyfile(p, bronze / "novels" / Path(p).name)
     decided = run.decisions
     top = gold / f"run_id={run_id}"
     top.mkdir(parents=True, exist_ok=True)

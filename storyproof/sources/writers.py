@@ -23,7 +23,7 @@ def parquet(df: DataFrame, path: str, *partitions: str) -> None:
 def csv(df: DataFrame, path: str) -> None:
     """CSV with a header; nested columns become JSON."""
     nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def jsonl(df: DataFrame, path: str) -> None:

@@ -1,13 +1,15 @@
 """A whole run over two tiny novels, its files, and the stream."""
 
 import dataclasses
+import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from storyproof.config import Chunking, Retrieval, Settings
-from storyproof.operators import measures, retrieval
-from storyproof.plans import pipeline
+from storyproof.config import Chunking, Retrieval, Settings, Verifier
+from storyproof.operators import conflicts, measures, retrieval, verify
+from storyproof.plans import evaluation, pipeline
 from storyproof.sources import readers
 from storyproof.streaming import asof
 
@@ -33,6 +35,11 @@ def test_run(spark, tmp_path):
     assert "**claim:** Edmond married Mercédès in the old church." in text and "| SUPPORT |" in text
     registry = {r["book_name"]: r["encoding"] for r in spark.read.parquet(str(tmp_path / "out/silver/novel_registry")).collect()}
     assert registry == {"Castaways of Time": "utf-8", "Monte": "latin-1"}
+    assert (tmp_path / "out/bronze/novels/Monte.txt").exists()
+    told = evaluation.evaluate(spark, train, str(tmp_path / "out"), "r1")
+    metrics = json.loads(open(told["metrics"]).read())
+    assert metrics["n_eval"] == 2 and metrics["source"] == "gold_decision_scores" and 0 <= metrics["accuracy"] <= 1
+    assert "Train Evaluation" in open(told["run_report"]).read()
     # a later step starts from stored tables
     chunks = spark.read.parquet(str(tmp_path / "out/silver/chunks")).where(F.col("run_id") == "r1")
     assert {r["chapter_id"] for r in chunks.collect()} == {"ch001", "ch002"}
@@ -46,6 +53,19 @@ def test_nothing_found(spark):
     assert run.evidence.count() == 0 and [tuple(r) for r in run.decisions.select("id", "prediction", "status").collect()] == [(1, 0, "SAT")]
 
 
+def test_a_model_judges_statements(spark):
+    judge = verify.ModelJudge("toy", lambda: lambda p, h: [(0.95, 0.01, 0.04) if set(y.split()) <= set(x.split()) else (0.02, 0.9, 0.08) for x, y in zip(p, h, strict=True)])
+    stated = spark.createDataFrame([(1, i, f"t{i}", t, 0.8) for i, t in enumerate(["John sailed south alone", "John sailed south", "John sailed south never alone again"])], "id long, pos int, triple_id string, text string, confidence double")
+    pairs = conflicts.candidate_pairs(stated)
+    found = conflicts.by_model(pairs, conflicts.judged(pairs, stated, judge), stated).select("violation.*").collect()
+    assert (("t0", "t1"), "SOFT") in {(tuple(r["supporting_triples"]), r["severity"]) for r in found}
+    assert isinstance(verify.judge_of(Verifier()), verify.LexicalJudge)
+    with pytest.warns(UserWarning, match="tokens"):
+        assert isinstance(verify.judge_of(Verifier(backend="mnli:none")), verify.LexicalJudge)
+    with pytest.raises(ValueError, match="unknown verifier"):
+        verify.judge_of(Verifier(backend="oracle"))
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text('id,book_name,extra\n1,"a, ""b""\nc",9\nx,,8\n')
