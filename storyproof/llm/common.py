@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyproof.sources.readers import spread
 from storyproof.sources.store import materialize, shared_dir  # noqa: F401
 
 #: Bounds of an Arrow batch: rows, and bytes beyond which no further row is added.
@@ -85,6 +86,11 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table of documents; one that is a single small file is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def payloads(column: pa.Array) -> list[bytes]:
     """Each string of an Arrow column in UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import Words, arrow_map, materialize, payloads, slices
+from storyproof.llm.common import Words, arrow_map, documents, materialize, payloads, slices
 
 WINDOW, SLOP, SHARE = 10, 2, 0.8
 #: The windows, and pairs of a window and an item, that one search holds: about 100 bytes each in every task.
@@ -345,4 +345,4 @@ def digest(items: list[str]) -> str:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report() of documents against benchmark: a row a document, null and empty texts with zeros."""
-    return report(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return report(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

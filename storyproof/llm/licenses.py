@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyproof.functions.text import let
+from storyproof.llm.common import documents
 from storyproof.llm.license_rules import rules
 
 # The phrases of the contract and their labels.
@@ -45,17 +47,20 @@ def _prefilter(low: Column) -> Column:
 def _matches(line: Column, rule: Column) -> Column:
     """The intervals [start, end) of words where a rule matches the line, whose first word is a sentinel."""
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    hits, gaps = F.regexp_extract_all(line, pattern, F.lit(0)), F.split(line, pattern)
     none = F.array().cast("array<struct<start:int,end:int,rule:int,priority:int,weight:double,label:string>>")
 
-    def add(held: Column, i: Column) -> Column:
-        start = held["at"] + _spaces(gaps[i])
-        end = start + _spaces(hits[i]) + 1
-        one = F.struct((start - 1).alias("start"), (end - 1).alias("end"), rule["rule"].alias("rule"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), rule["label"].alias("label"))
-        return F.struct((end - 1).alias("at"), F.array_append(held["out"], one).alias("out"))
+    def placed(hits: Column, gaps: Column) -> Column:
+        def add(held: Column, i: Column) -> Column:
+            start = held["at"] + _spaces(gaps[i])
+            end = start + _spaces(hits[i]) + 1
+            one = F.struct((start - 1).alias("start"), (end - 1).alias("end"), rule["rule"].alias("rule"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), rule["label"].alias("label"))
+            return F.struct((end - 1).alias("at"), F.array_append(held["out"], one).alias("out"))
 
-    places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda held: held["out"])
+        places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda held: held["out"])
+
+    # the text is searched and split once, however many matches it has
+    return let(F.regexp_extract_all(line, pattern, F.lit(0)), lambda hits: let(F.split(line, pattern), lambda gaps: placed(hits, gaps)))
 
 
 def _unsuppressed(found: Column) -> Column:
@@ -82,7 +87,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, found.
 
     found are the unsuppressed detections, array<struct<start,end,label,weight>> in words. A null text counts as empty: no
-    words, no places, empty strings. Whole texts are scanned. Repeated rows keep their rows; other columns are ignored.
+    words, no places, empty lists. Whole texts of any length are scanned. Repeated rows keep their rows, a null doc_id is carried
+    along, an empty table gives none; other columns are ignored, whatever their names.
     """
     low = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low"))
     line = F.when(_prefilter(F.col("low")), F.concat(F.lit(". "), F.trim(F.regexp_replace("low", GAP, " ")), F.lit(" ")))
@@ -106,7 +112,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """scan() over documents; the score is the weight of the strongest detection."""
+    found = scan(documents(spark, sf_dir))
     labels = F.array_sort(F.array_union("base_labels", F.transform("found", lambda m: m["label"])))
     weight = F.coalesce(F.array_max(F.transform("found", lambda m: m["weight"])), F.lit(0.0))
     return found.select(

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import arrow_map, materialize
+from storyproof.llm.common import arrow_map, documents, materialize
 
 CAPACITY, EOD = 2048, 0
 CACHED_WORDS = 200_000
@@ -258,4 +258,4 @@ def tokenizer_path() -> str:
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pack() over documents with 2048 tokens a sequence; null and empty texts are the closing id alone."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return pack(documents(spark, sf_dir), tokenizer_path())

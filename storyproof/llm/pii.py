@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import arrow_map, materialize, payloads
+from storyproof.llm.common import arrow_map, documents, materialize, payloads
 
 #: The session's setting that holds the key of op10_pii, and the key of synthetic tables, which protects nothing.
 KEY_SETTING, EXAMPLE_KEY = "spark.storyproof.pii.key", "for synthetic tables only"
@@ -323,7 +323,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pseudonymize() over documents with the key of the session's setting, else with the one for synthetic tables."""
-    made = pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode())
+    made = pseudonymize(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode())
     count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
     return made.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *(count(r[0]) for r in RULES), spans.alias("spans"), "text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import arrow_map, payloads
+from storyproof.llm.common import arrow_map, documents, payloads
 
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -193,7 +193,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scan() over documents, digested; null and empty texts have zeros, the digest of nothing and no spans."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in KINDS[:BASE]]))
     line = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

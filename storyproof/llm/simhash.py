@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import arrow_map, materialize, payloads
+from storyproof.llm.common import arrow_map, documents, materialize, payloads
 from storyproof.llm.components import components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
@@ -97,5 +97,5 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of all documents: 3-word shingles, links at 3 or fewer differing bits of 64."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import Words, arrow_map, bounded, payloads, slices
+from storyproof.llm.common import Words, arrow_map, bounded, documents, payloads, slices
 
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 BUCKETS = (1 << 15, 1 << 13, 1 << 13)  # of whole words, beginnings, endings
@@ -264,7 +264,7 @@ def limit(model: Model) -> Column:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of all documents by a model of labels that aren't held out; threshold and flagged go by the language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     made = score(docs.select("doc_id", "text", "lang"), model)
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), limit(model).alias("threshold"), (F.col("score") >= limit(model)).alias("flagged"))
