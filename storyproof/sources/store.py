@@ -54,14 +54,15 @@ def _clean() -> None:
         remove(path)
 
 
-def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None, compression: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends there, and lost executors lose nothing.
 
-    replaces is a table made here before that nothing needs any more once the new one is there; it is removed.
+    replaces is a table made here before that nothing needs any more once the new one is there; it is removed. compression is
+    that of the files, where it should not be the session's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if old := getattr(replaces, "_stored_at", None):
         remove(old)
     out = spark.read.schema(df.schema).parquet(path)
