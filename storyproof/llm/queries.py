@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, pii, secrets, simhash, toxicity, warc
+from storyproof.llm import chat, decontaminate, embeddings, licenses, packing, pii, ranking, resampling, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
+    "op11_repeats": suffixes.op11_repeats,
+    "op12_rank": ranking.op12_rank,
+    "op13_resample": resampling.op13_resample,
 }
 
 SQL: dict[str, str] = {
     "op3_embeddings": embeddings.SQL,
     "op6_warc": warc.SQL,
     "op9_chat": chat.SQL,
+    "op11_repeats": suffixes.SQL,
+    "op12_rank": ranking.SQL,
+    "op13_resample": resampling.SQL,
 }
