@@ -15,8 +15,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from storyproof.sources.readers import spread
 from storyproof.sources.store import materialize, shared_dir  # noqa: F401
@@ -42,11 +43,12 @@ def ship(spark: SparkSession) -> None:
     sc._storyproof_shipped = True
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow(f, schema) in batches of bounded rows and bytes, so that a worker holds few texts at once.
 
     The bounds are settings of the session; they are lowered to BATCH where they are higher. Workers outlive their tasks; what a
-    task has freed goes back to the system at its end.
+    task has freed goes back to the system at its end. f sees the names of df and yields columns in the order of the schema; in
+    between, columns go by place, so they may have any names, with dots or backticks in them, too.
     """
     spark = df.sparkSession
     ship(spark)
@@ -54,14 +56,24 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         now = spark.conf.get(name, None)
         if now is None or not 0 < _bytes(now) <= most:
             spark.conf.set(name, str(most))
+    names, schema = df.columns, StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    places = [f"c{i}" for i in range(len(schema))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batches)
+            for made in f(b.rename_columns(names) for b in batches):
+                yield made.rename_columns(places)
         finally:
             freed()
 
-    return df.mapInArrow(run, schema)
+    by_place = StructType([StructField(p, x.dataType, x.nullable) for p, x in zip(places, schema.fields, strict=True)])
+    made = df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, by_place)
+    return made.toDF(*schema.names)
+
+
+def column(name: str) -> Column:
+    """The column of a name that may hold dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _bytes(setting: str) -> int:

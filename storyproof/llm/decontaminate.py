@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from storyproof.llm.common import Words, arrow_map, documents, materialize, payloads, slices
+from storyproof.llm.common import Words, arrow_map, column, documents, materialize, payloads, slices
 
 WINDOW, SLOP, SHARE = 10, 2, 0.8
 #: The windows, and pairs of a window and an item, that one search holds: about 100 bytes each in every task.
@@ -110,8 +111,8 @@ def _postings(terms: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return term, size
 
 
-def _with(schema: str, df: DataFrame, columns: list[str]) -> str:
-    return ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)])
+def _with(schema: str, df: DataFrame, columns: list[str]) -> StructType:
+    return StructType([*StructType.fromDDL(schema), *(df.schema[c] for c in columns)])
 
 
 class Plan:
@@ -294,7 +295,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
     are. Repeated rows keep their rows. An empty table gives none; an empty bench finds nothing. Other columns are ignored,
     unless keep is set: then all columns of docs follow, named kept_ and their place.
     """
-    others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(docs.columns)] if keep else []
+    others = [column(c).alias(f"kept_{i}") for i, c in enumerate(docs.columns)] if keep else []
     docs = docs.select(F.lit(None).cast("long").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     cut = windows(bench, window)
     n, pairs = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()

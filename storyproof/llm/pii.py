@@ -25,6 +25,8 @@ from storyproof.llm.common import arrow_map, documents, materialize, payloads
 #: The session's setting that holds the key of op10_pii, and the key of synthetic tables, which protects nothing.
 KEY_SETTING, EXAMPLE_KEY = "spark.storyproof.pii.key", "for synthetic tables only"
 ROUNDS = 8
+#: Letters or digits that are moved together.
+BLOCK = 64
 ENTITY = "array<struct<kind:string,start:int,end:int,original:bigint,surrogate:bigint>>"
 
 # Given names by script and gender, and the titles that announce a name.
@@ -36,12 +38,17 @@ GIVEN = {
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Παναγιώτης Ιωάννης".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Madame Mme Mademoiselle Mlle Frau Señora Señorita Sra Srta Lady Госпожа Κυρία".split(), "m": "Mr Mister Sir Monsieur Herr Señor Sr Lord Господин Κύριος".split(), "n": "Dr Prof Professor Doctor Captain Capitaine Doktor".split()}
+TITLES = {"f": "Mrs Ms Miss Madame Mme Mademoiselle Mlle Frau Señora Señorita Sra Srta Lady Госпожа Κυρία".split(), "m": "Mr Mister Sir Monsieur Herr Señor Sr Lord Господин Κύριος M".split(), "n": "Dr Prof Professor Doctor Captain Capitaine Doktor".split()}
+PARTICLES = "de du des da di do dos del della la le van von der den ten ter zu bin ibn al el".split()
 LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
 KINDS = [*(x for pair in LETTERS.values() for x in pair), "0123456789"]
 KIND_OF = {c: k for k in KINDS for c in k}
 
-_NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ω][^\W\d_]+"
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яёα-ω]"
+_NAME = _CAPITAL + r"[^\W\d_]+"
+#: A name as it is written together: Dupont, O'Brien, d'Artagnan, Jean-Luc.
+_WORD = rf"(?:(?:{_CAPITAL}|[dl])['’])?{_NAME}(?:[-'’]{_NAME})*"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
 _GIVEN = {n: (script, gender, i) for (script, gender), names in GIVEN.items() for i, n in enumerate(names)}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
@@ -50,7 +57,8 @@ IPV4 = re.compile(r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25
 CARD = re.compile(r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:\d{3})?(?![\w-])", re.ASCII)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
-PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.? +(?P<names>{_NAME}(?: {_NAME})?)|(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) (?P<family>{_NAME}))(?!\w)")
+PERSON = re.compile(rf"(?<!\w)(?:(?:(?P<title>M(?=\.)|{'|'.join(sorted(set(_TITLE_GENDER) - {'M'}, key=len, reverse=True))})\.? +)+(?P<names>{_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD})?)|(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) (?P<family>{_PARTICLES}{_WORD}))(?!\w)")
+_MENTION = re.compile(rf"(?<![\w'’-]){_WORD}(?![\w-])")
 
 
 def _luhn(digits: str) -> int:
@@ -65,7 +73,8 @@ def _iban_rest(text: str) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def _round(tweak: str, i: int, half: int, bits: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}/{i}/{bits}/{half}".encode(), digest_size=64).digest() * (bits // 512 + 1)) & ((1 << bits) - 1)
+    digest = hashlib.blake2b(f"{tweak}/{i}/{bits}/".encode() + half.to_bytes(bits // 8 + 1), digest_size=64).digest()
+    return int.from_bytes(digest * (bits // 512 + 1)) & ((1 << bits) - 1)
 
 
 def _permuted(x: int, bits: int, tweak: str, back: bool = False) -> int:
@@ -84,7 +93,7 @@ def moved(x: int, n: int, tweak: str) -> int:
     if n < 2:
         return x
     bits = max(1, ((n - 1).bit_length() + 1) // 2)
-    shift = 1 + int.from_bytes(hashlib.blake2b(f"shift/{tweak}/{n}".encode()).digest()) % (n - 1)
+    shift = 1 + int.from_bytes(hashlib.blake2b(f"shift/{tweak}/".encode() + n.to_bytes(n.bit_length() // 8 + 1)).digest()) % (n - 1)
 
     def walk(y: int, back: bool = False) -> int:
         y = _permuted(y, bits, tweak, back)
@@ -127,17 +136,26 @@ def _kind(c: str) -> str | None:
 
 
 def shuffled(text: str, tweak: str) -> str:
-    """text with every letter or digit moved within its kind and case; what belongs to no kind stays."""
+    """text with every letter or digit moved within its kind and case; what belongs to no kind stays.
+
+    Long texts are moved BLOCK letters or digits at a time. Each block's tweak holds the surrogates before it, which whoever
+    undoes them knows, so the whole map is one to one, too, and its work is linear in the text.
+    """
     places = [(i, kind) for i, c in enumerate(text) if (kind := _kind(c))]
-    x, n = 0, 1
-    for i, kind in places:
-        x, n = x * len(kind) + kind.index(_low(text[i])), n * len(kind)
     of = dict(places)
     shape = "".join("." if i not in of else str(KINDS.index(of[i])) if of[i] in KINDS else f"[{ord(of[i][0]):x}]" for i in range(len(text)))
-    y, out = moved(x, n, f"{tweak}/{shape}"), list(text)
-    for i, kind in reversed(places):
-        y, d = divmod(y, len(kind))
-        out[i] = kind[d].upper() if _low(text[i]) != text[i] else kind[d]
+    out, key = list(text), f"{tweak}/{shape}"
+    for lo in range(0, len(places), BLOCK):
+        part = places[lo : lo + BLOCK]
+        x, n = 0, 1
+        for i, kind in part:
+            x, n = x * len(kind) + kind.index(_low(text[i])), n * len(kind)
+        y = moved(x, n, key)
+        for i, kind in reversed(part):
+            y, d = divmod(y, len(kind))
+            out[i] = kind[d].upper() if _low(text[i]) != text[i] else kind[d]
+        if lo + BLOCK < len(places):
+            key = hashlib.blake2b("".join([key, "/", *(out[i] for i, _ in part)]).encode("utf-8", "replace")).hexdigest()
     return "".join(out)
 
 
@@ -208,6 +226,8 @@ def _given(name: str, tweak: str) -> str | None:
 
 def _family(name: str, tweak: str) -> str:
     """A Cyrillic surname keeps the ending that shows its gender; both forms of one surname get both forms of one surrogate."""
+    if name[0] in "dl" and name[1:2] in ("'", "’"):  # d'Artagnan
+        return name[:2] + _family(name[2:], tweak)
     end = re.search(r"(?:ов|ев|ёв|ин|ск)(?:а|ая|ий|ой)?$", name)
     stem = name[: end.start()] if end and end.start() > 1 else name
     return shuffled(stem, f"{tweak}/family/{end[0][:2] if end and stem != name else ''}") + name[len(stem) :]
@@ -220,11 +240,22 @@ def _unlisted(name: str, tweak: str) -> str:
     return shuffled(stem, f"{tweak}/unlisted/{end}") + end
 
 
+def _parts(found: re.Match) -> tuple[list[str], int]:
+    """The words of a name, and the place of the first that is part of the family name."""
+    words = (found["names"] or f"{found['given']} {found['family']}").split(" ")
+    names = [i for i, w in enumerate(words) if w not in PARTICLES]
+    return words, 0 if len(names) < 2 else names[0] + 1
+
+
+def _first(name: str, tweak: str) -> str:
+    """A given name, each part of one with hyphens on its own."""
+    return "-".join(_given(x, tweak) or _unlisted(x, tweak) for x in name.split("-"))
+
+
 def _person(found: re.Match, tweak: str) -> str:
-    names = (found["names"] or f"{found['given']} {found['family']}").split(" ")
-    first = _given(names[0], tweak) or _unlisted(names[0], tweak) if len(names) > 1 or found["title"] is None else None
-    made = [first if i == 0 and first else _family(n, tweak) for i, n in enumerate(names)]
-    return found[0][: len(found[0]) - len(" ".join(names))] + " ".join(made)
+    words, family = _parts(found)
+    made = [w if w in PARTICLES else _first(w, tweak) if i < family else _family(w, tweak) for i, w in enumerate(words)]
+    return found[0][: len(found[0]) - len(" ".join(words))] + " ".join(made)
 
 
 def _valid_card(text: str) -> bool:
@@ -242,22 +273,35 @@ RULES: Sequence[Rule] = (
     ("ssn", SSN, lambda t: True, lambda m, k: _ssn(m[0], k), lambda m: re.sub(r"\D", "", m[0])),
     ("phone", PHONE, lambda t: 7 <= sum(map(str.isdecimal, t)) <= 15, lambda m, k: _phone(m[0], k), lambda m: "".join(str(int(c)) for c in m[0] if c.isdecimal())),
     ("person", PERSON, lambda t: True, lambda m, k: _person(m, k), lambda m: m["names"] or f"{m['given']} {m['family']}"),
+    ("person", _MENTION, lambda t: True, lambda m, k: _family(m[0], k), lambda m: m[0]),
 )
+ANNOUNCED, MENTIONED = len(RULES) - 2, len(RULES) - 1
 _NO_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
-_NAMED = re.compile("|".join(sorted({*_TITLE_GENDER, *_GIVEN}, key=len, reverse=True)))
+_NAMED = re.compile("|".join(sorted({"M.", *_TITLE_GENDER, *_GIVEN} - {"M"}, key=len, reverse=True)))
 
 
 def detect(text: str, raw: bytes) -> list[tuple[int, int, int, re.Match]]:
     """(start, -end, number of the rule, match), sorted; where some overlap, the first and longest stays.
 
-    A rule runs only over texts that hold what it needs: an at sign, enough digits, a title or a known given name.
+    A rule runs only over texts that hold what it needs: an at sign, enough digits, a title or a known given name. The family
+    names of the persons that were announced are then looked for in the whole text, so that a mention without a title is replaced
+    like one with it.
     """
     digits = len(raw.translate(None, _NO_DIGITS)) >= 4 or not text.isascii() and any(map(str.isdecimal, text))
     found = []
-    for i, (kind, pattern, valid, _, _) in enumerate(RULES):
+    for i, (kind, pattern, valid, _, _) in enumerate(RULES[:MENTIONED]):
         needs = b"@" in raw if kind == "email" else _NAMED.search(text) is not None if kind == "person" else digits
         if needs:
             found += [(m.start(), -m.end(), i, m) for m in pattern.finditer(text) if valid(m[0])]
+    found = _apart(found)
+    families = {w for _, _, i, m in found if i == ANNOUNCED for words, first in [_parts(m)] for w in words[first:] if w not in PARTICLES}
+    if families:
+        found = _apart(found + [(m.start(), -m.end(), MENTIONED, m) for m in _MENTION.finditer(text) if m[0] in families])
+    return found
+
+
+def _apart(found: list[tuple[int, int, int, re.Match]]) -> list[tuple[int, int, int, re.Match]]:
+    """Those that overlap none before them."""
     out, free = [], 0
     for start, end, i, m in sorted(found, key=lambda x: x[:3]):
         if start >= free:
@@ -326,4 +370,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pseudonymize(documents(spark, sf_dir), spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode())
     count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
-    return made.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *(count(r[0]) for r in RULES), spans.alias("spans"), "text")
+    return made.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *(count(r[0]) for r in RULES[:MENTIONED]), spans.alias("spans"), "text")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from storyproof.llm.common import Words, arrow_map, bounded, documents, payloads, slices
 
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.schema.fieldNames().index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double"
+    schema = StructType([*docs.schema, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
