@@ -1,5 +1,7 @@
 """python -m storyproof run --train train.csv --test test.csv --novel a.txt --novel b.txt --out folder
-python -m storyproof evaluate --labels gold.csv --out folder"""
+python -m storyproof evaluate --labels gold.csv --out folder
+python -m storyproof index --chunks chunks.parquet --index folder [--merge]
+python -m storyproof stream --claims folder --index folder --out folder [--every "10 seconds"]"""
 
 from __future__ import annotations
 
@@ -7,11 +9,29 @@ import argparse
 import json
 import shutil
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from storyproof import schemas
 from storyproof.config import load
 from storyproof.plans.evaluation import MAPPING, evaluate
-from storyproof.plans.pipeline import execute
+from storyproof.plans.pipeline import execute, index_rows, query_rows
+from storyproof.streaming import asof, segments
+
+
+def add(spark: SparkSession, chunks: str, index: str, merge: bool = False) -> dict[str, int]:
+    version = segments.append(spark, index, index_rows(spark.read.parquet(chunks)))
+    return {"version": segments.merge(spark, index) if merge else version}
+
+
+def answer(spark: SparkSession, claims: str, index: str, out: str, config: str | None = None, every: str | None = None) -> dict[str, str]:
+    """Answers to claims as batch=N folders of Parquet under out/answers; out/checkpoint knows which claims were answered."""
+    arriving = query_rows(spark.readStream.schema(schemas.CLAIM).json(claims))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.drop("batch").write.mode("overwrite").parquet(f"{out}/answers/batch={batch}")
+
+    asof.answer_stream(arriving, lambda: segments.load(spark, index), write, f"{out}/checkpoint", load(config).retrieval, strict=True, every=every).awaitTermination()
+    return {"answers": f"{out}/answers"}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -30,7 +50,21 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("--out", required=True)
         c.add_argument("--config", help="a YAML file")
         c.add_argument("--run-id")
+    grown = commands.add_parser("index", help="adds a table of chunks to a stored index, as a new version")
+    grown.add_argument("--chunks", required=True, help="Parquet files of chunks, such as those of a run")
+    grown.add_argument("--merge", action="store_true", help="make one segment of all afterwards")
+    asked = commands.add_parser("stream", help="answers claims as they arrive, each from the index as it is then")
+    asked.add_argument("--claims", required=True, help="a folder that JSON lines of claims arrive in")
+    asked.add_argument("--out", required=True)
+    asked.add_argument("--config", help="a YAML file")
+    asked.add_argument("--every", help='ask for new claims so often, such as "10 seconds"; without, answer what is there and end')
+    for c in (grown, asked):
+        c.add_argument("--index", required=True)
     a = p.parse_args(argv)
+    if a.command in ("index", "stream"):
+        spark = SparkSession.builder.appName("storyproof").getOrCreate()
+        print(json.dumps(add(spark, a.chunks, a.index, a.merge) if a.command == "index" else answer(spark, a.claims, a.index, a.out, a.config, a.every), indent=2))
+        return
     spark, cfg = SparkSession.builder.appName("storyproof").getOrCreate(), load(a.config)
     if a.command == "run":
         made = execute(spark, a.train, a.test, a.novel, a.out, cfg, a.run_id)

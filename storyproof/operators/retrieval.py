@@ -1,8 +1,9 @@
 """BM25 over an inverted index, a corpus at a time, and top-K under constraints.
 
-The index is postings, document lengths and corpus statistics as stored tables: texts are read once, when it is built. A query
-joins its distinct terms with the postings of its corpus, so terms that no query has are dropped before anything is shuffled by
-document. Documents without any query term score 0; the pool needs at most as many of those as it has places, so just the first
+The index is postings in blocks and the blocks' sizes as stored tables: texts are read once, when it is built. A block is some
+thousand documents of one corpus; one row of it holds a term's postings in the block. All counts are sums over blocks, so an
+index can grow by segments that each have blocks of their own. A search keeps only the blocks' rows of terms that some query
+has. Documents without any query term score 0; the pool needs at most as many of those as it has places, so just the first
 of each corpus are joined in.
 """
 
@@ -11,50 +12,105 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from storyproof.config import Retrieval
 from storyproof.functions.lexicon import BUCKETS
 from storyproof.functions.text import tokens
 from storyproof.sources.store import materialize
 
+#: Documents and bytes of text of a block, on average, and queries that one task holds against a block.
+BLOCK_DOCS, BLOCK_BYTES, QUERIES_PER_TASK = 2048, 16 << 20, 500
+
 
 @dataclass(frozen=True)
 class Index:
-    """docs (corpus, doc and whatever else but the text), postings (corpus, term, doc, f, dl), terms (corpus, term, df, idf) and corpora (corpus, n, avgdl)."""
+    """docs (corpus, doc and whatever else but the text), blocks (corpus, block, term, df, words, entries array of doc, f, dl) and sizes (corpus, block, n, words).
+
+    df of a row of blocks is the number of the block's documents that hold the term, words that of its occurrences there.
+    """
 
     docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    corpora: DataFrame
+    blocks: DataFrame
+    sizes: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """(corpus, doc, term, f, dl)."""
+        return self.blocks.select("corpus", "term", F.inline("entries")).select("corpus", "doc", "term", "f", "dl")
+
+    @property
+    def corpora(self) -> DataFrame:
+        """(corpus, n, avgdl)."""
+        return self.sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+
+    def weights(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(corpus, term, df, idf, avgdl) of all terms, or of those wanted (corpus, term)."""
+        terms = self.blocks.select("corpus", "term", "df")
+        terms = terms if wanted is None else terms.join(wanted, ["corpus", "term"], "left_semi")
+        return terms.groupBy("corpus", "term").agg(F.sum("df").alias("df")).join(self.corpora, "corpus").select("corpus", "term", "df", _idf().alias("idf"), "avgdl")
 
 
-def build(docs: DataFrame, text: str = "text", keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Index:
+def build(docs: DataFrame, text: str = "text", keep: Callable[[DataFrame, str], DataFrame] = materialize, segment: int = 0) -> Index:
     """The index of docs (corpus, doc, text and whatever else); building again gives a new one.
 
-    keep stores a table and gives it back as stored; texts are read for the postings alone.
+    keep stores a table and gives it back as stored. Texts are read once more for their sizes, which say into how many blocks of
+    at most about BLOCK_DOCS documents and BLOCK_BYTES a corpus is dealt; a block's documents are counted together. The numbers
+    of the blocks begin with that of the segment, so that blocks of several segments can be together.
     """
-    counted = docs.select("corpus", "doc", tokens(F.col(text)).alias("_tokens"))
-    words = counted.select("corpus", "doc", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    postings = keep(words.groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("f")), "postings")
-    there = docs.drop(text)
-    lengths = postings.groupBy("corpus").agg(F.sum("f").alias("_words"))
-    corpora = there.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).join(lengths, "corpus", "left").select("corpus", "n", (F.coalesce("_words", F.lit(0)) / F.col("n")).alias("avgdl"))
-    df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.join(corpora, "corpus").select("corpus", "term", "df", _idf().alias("idf"))
-    return Index(there, postings, terms, corpora)
+    size = F.coalesce(F.sum(F.octet_length(F.col(text).cast("binary"))), F.lit(0))
+    shares = _shares(docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), size.alias("size")), keep)
+    read = docs.join(shares, "corpus").select("corpus", _block(segment), "doc", tokens(F.col(text)).alias("tokens"))
+
+    def of_block(rows: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        lists = rows.column("tokens").combine_chunks()
+        dl = lists.value_lengths().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        key, f = np.unique(coded.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        term, doc = np.divmod(key, max(1, len(dl)))
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        struct = pa.StructArray.from_arrays([rows.column("doc").combine_chunks().take(pa.array(doc)), pa.array(f, pa.int32()), pa.array(dl[doc], pa.int32())], ["doc", "f", "dl"])
+        entries = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)), pa.int32()), struct)
+        words = np.add.reduceat(f, first) if len(first) else f
+        once = pa.array(np.zeros(len(first), dtype=np.int64))
+        same = [rows.column(c).combine_chunks().take(once) for c in ("corpus", "block")]
+        return pa.table([*same, coded.dictionary.take(pa.array(term[first])), pa.array(np.diff(np.append(first, len(term)))), pa.array(words, pa.int64()), entries], ["corpus", "block", "term", "df", "words", "entries"])
+
+    corpus, doc = (docs.schema[c].dataType for c in ("corpus", "doc"))
+    entry = StructType([StructField("doc", doc), StructField("f", IntegerType()), StructField("dl", IntegerType())])
+    schema = StructType([StructField("corpus", corpus), StructField("block", LongType()), StructField("term", StringType()), StructField("df", LongType()), StructField("words", LongType()), StructField("entries", ArrayType(entry))])
+    return _with_sizes(docs.drop(text), shares, keep(read.groupBy("corpus", "block").applyInArrow(of_block, schema), "blocks"), keep, segment)
+
+
+def blocked(postings: DataFrame, docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialize, segment: int = 0) -> Index:
+    """The index of postings (corpus, doc, term, f, dl) of docs (corpus, doc and whatever else); texts aren't needed any more."""
+    words = postings.groupBy("corpus").agg((F.sum("f") * 8).alias("size"))
+    shares = _shares(docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).join(words, "corpus", "left"), keep)
+    entry = F.struct("doc", F.col("f").cast("int").alias("f"), F.col("dl").cast("int").alias("dl"))
+    listed = postings.join(shares, "corpus").groupBy("corpus", _block(segment), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("words"), F.collect_list(entry).alias("entries"))
+    return _with_sizes(docs, shares, keep(listed, "blocks"), keep, segment)
+
 
+def _shares(counted: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(corpus, _shares), the number of blocks of each corpus of so many documents n and bytes."""
+    return keep(counted.select("corpus", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.coalesce("size", F.lit(0)) / BLOCK_BYTES)).alias("_shares")), "shares")
 
-def save(index: Index, folder: str) -> None:
-    """Writes an index, postings in the order of their terms, so that a search reads only the parts that can hold its terms."""
-    index.postings.repartitionByRange("corpus", "term").sortWithinPartitions("corpus", "term").write.mode("overwrite").parquet(f"{folder}/postings")
-    for name in ("docs", "terms", "corpora"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
+def _block(segment: int) -> Column:
+    return (F.lit(segment << 32) + F.pmod(F.xxhash64("doc"), F.col("_shares"))).alias("block")
 
-def load(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "terms", "corpora")))
+
+def _with_sizes(docs: DataFrame, shares: DataFrame, blocks: DataFrame, keep: Callable[[DataFrame, str], DataFrame], segment: int) -> Index:
+    of_docs = docs.join(shares, "corpus").groupBy("corpus", _block(segment)).agg(F.count(F.lit(1)).alias("n"))
+    of_words = blocks.groupBy("corpus", "block").agg(F.sum("words").alias("words"))
+    sizes = keep(of_docs.join(of_words, ["corpus", "block"], "left").select("corpus", "block", "n", F.coalesce("words", F.lit(0)).alias("words")), "sizes")
+    return Index(docs, blocks, sizes)
 
 
 def _idf() -> Column:
@@ -66,22 +122,77 @@ def weight(k1: float, b: float) -> Column:
     return F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl))
 
 
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, corpus, term) of queries (query, corpus, terms array), and the distinct (corpus, term), to be broadcast if few."""
+    asked = queries.select("query", "corpus", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = asked.select("corpus", "term").distinct()
+    return asked, F.broadcast(wanted) if _few(wanted) else wanted
+
+
 def scores(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> DataFrame:
     """(query, corpus, doc, score) of every document with a term of the query; queries (query, corpus, terms array).
 
     How often a query has a term doesn't count. Scores are rounded to nine places, so that the order in which a shuffle brings
-    the addends doesn't decide between equal documents.
+    the addends doesn't decide between equal documents. Each query's documents are as many rows; best() is for the first few.
     """
     cfg = cfg or Retrieval()
-    asked = queries.select("query", "corpus", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = asked.select("corpus", "term").distinct()
-    # only postings of terms that are asked for are weighed
-    postings = index.postings.join(F.broadcast(wanted) if _few(wanted) else wanted, ["corpus", "term"], "left_semi")
-    df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = postings.join(df, ["corpus", "term"]).join(index.corpora, "corpus").withColumn("idf", _idf()).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
+    asked, wanted = _asked(queries)
+    known = index.weights(wanted)
+    postings = index.blocks.join(wanted, ["corpus", "term"], "left_semi").select("corpus", "term", F.inline("entries"))
+    weighed = postings.join(known, ["corpus", "term"]).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
     return asked.join(weighed, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
+def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> DataFrame:
+    """Of each block the rows of scores() that can be among a query's candidate_pool best: those and what ties with the last.
+
+    A group is a block with some of the queries that ask its corpus. It adds up a query's scores term by term in one dense array
+    of the block's documents, so only the best of a block become rows, however common the terms are. The groups are bounded by
+    BLOCK_DOCS and QUERIES_PER_TASK, a corpus of any size is so many more of them.
+    """
+    cfg = cfg or Retrieval()
+    asked, wanted = _asked(queries)
+    told = asked.join(index.weights(wanted), ["corpus", "term"]).groupBy("query", "corpus").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"), F.first("avgdl").alias("avgdl"))
+    slices = told.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("_slices"))
+    of_corpus = index.sizes.groupBy("corpus").agg(F.collect_list("block").alias("_blocks")).join(slices, "corpus")
+    left = told.join(of_corpus, "corpus").select("corpus", F.explode("_blocks").alias("block"), F.pmod(F.xxhash64("query"), F.col("_slices")).cast("int").alias("slice"), "query", "terms", "idfs", "avgdl")
+    right = index.blocks.join(wanted, ["corpus", "term"], "left_semi").join(slices, "corpus").select("corpus", "block", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"), "term", "entries")
+    schema = StructType([*(queries.schema[c] for c in ("query", "corpus")), StructField("doc", index.docs.schema["doc"].dataType), StructField("score", DoubleType())])
+    k1, b, most = cfg.k1, cfg.b, cfg.candidate_pool
+
+    def of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        entries = rows.column("entries").combine_chunks()
+        flat = entries.flatten()
+        coded = flat.field("doc").dictionary_encode()
+        at, f, dl = coded.indices.to_numpy(), *(flat.field(c).to_numpy().astype(np.float64) for c in ("f", "dl"))
+        ends = np.cumsum(entries.value_lengths().to_numpy())
+        lists = {t: slice(e - n, e) for t, e, n in zip(rows.column("term").to_pylist(), ends.tolist(), entries.value_lengths().to_pylist(), strict=True)}
+        avgdl = queries.column("avgdl")[0].as_py() if queries.num_rows else 1.0
+        part = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl))
+        which, docs, found = [], [], []
+        for q, (terms, idfs) in enumerate(zip(queries.column("terms").to_pylist(), queries.column("idfs").to_pylist(), strict=True)):
+            total = np.zeros(len(coded.dictionary))
+            for t, idf in zip(terms, idfs, strict=True):
+                if t in lists:
+                    np.add.at(total, at[lists[t]], idf * part[lists[t]])
+            hit = np.flatnonzero(total > 0)
+            if len(hit) > most:  # scores are compared when rounded to nine places
+                hit = hit[total[hit] >= np.partition(total[hit], len(hit) - most)[len(hit) - most] - 2e-9]
+            which.append(np.full(len(hit), q))
+            docs.append(hit)
+            found.append(total[hit])
+        joined = [np.concatenate([np.zeros(0, dtype=k), *x]) for x, k in ((which, np.int64), (docs, np.int64), (found, np.float64))]
+        asked = pa.array(joined[0])
+        return pa.table([queries.column("query").combine_chunks().take(asked), queries.column("corpus").combine_chunks().take(asked), coded.dictionary.take(pa.array(joined[1])), pa.array(joined[2])], ["query", "corpus", "doc", "score"])
+
+    keys = ["corpus", "block", "slice"]
+    made = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(of_block, schema)
+    return made.withColumn("score", F.round("score", 9))
+
+
 FEW = 1_000_000
 
 
@@ -100,7 +211,7 @@ def pool(index: Index, queries: DataFrame, cfg: Retrieval | None = None, meta: t
     first = Window.partitionBy("corpus").orderBy("doc")
     head = index.docs.select("corpus", "doc").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cfg.candidate_pool).drop("_n")
     zero = queries.select("query", "corpus").distinct().join(head, "corpus").withColumn("score", F.lit(0.0))
-    scored = scores(index, queries, cfg)
+    scored = best(index, queries, cfg)
     both = scored.unionByName(zero).groupBy("query", "corpus", "doc").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query", "corpus").orderBy(F.desc("score"), "doc")
     top = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cfg.candidate_pool)

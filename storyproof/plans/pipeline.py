@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyproof import schemas
@@ -17,6 +17,7 @@ from storyproof.config import Settings, load
 from storyproof.functions import text as T
 from storyproof.operators import chunking, conflicts, decide, graph, report, retrieval, statements, verify
 from storyproof.sources import readers, writers
+from storyproof.streaming import segments
 
 
 @dataclass
@@ -44,12 +45,24 @@ def checkpointed(name: str, df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates and coverage of claims; books are matched by trimmed, lower-cased name."""
-    key = F.lower(F.trim("book_name"))
-    docs = chunks.select(key.alias("corpus"), F.col("chunk_id").alias("doc"), F.col("chunk_text").alias("text"), F.col("chapter_id").alias("chapter"), F.col("time_bucket").alias("bucket"), "chunk_pos", F.col("book_name").alias("title"))
-    queries = claims.select(F.col("claim_id").alias("query"), key.alias("corpus"), retrieval.query_terms(claims).alias("terms"))
-    best = retrieval.top_k(retrieval.pool(retrieval.build(docs), queries, cfg.retrieval, ("chapter", "bucket", "chunk_pos", "title")), cfg.retrieval)
+def index_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as the documents of an index; books are matched by trimmed, lower-cased name."""
+    return chunks.select(_key().alias("corpus"), F.col("chunk_id").alias("doc"), F.col("chunk_text").alias("text"), F.col("chapter_id").alias("chapter"), F.col("time_bucket").alias("bucket"), "chunk_pos", F.col("book_name").alias("title"))
+
+
+def query_rows(claims: DataFrame) -> DataFrame:
+    """Claims as queries of their book's index."""
+    return claims.select(F.col("claim_id").alias("query"), _key().alias("corpus"), retrieval.query_terms(claims).alias("terms"))
+
+
+def _key() -> Column:
+    return F.lower(F.trim("book_name"))
+
+
+def retrieved(claims: DataFrame, chunks: DataFrame, cfg: Settings, run_id: str, indexed: Callable[[DataFrame], retrieval.Index] = retrieval.build) -> tuple[DataFrame, DataFrame]:
+    """Candidates and coverage of claims, from the index that indexed makes of the chunks."""
+    queries = query_rows(claims)
+    best = retrieval.top_k(retrieval.pool(indexed(index_rows(chunks)), queries, cfg.retrieval, ("chapter", "bucket", "chunk_pos", "title")), cfg.retrieval)
     ids = claims.select("id", F.col("claim_id").alias("query"), "split", F.col("book_name").alias("_asked"))
     found = best.join(ids, "query").orderBy("query", "rank").select(
         "id", F.col("query").alias("claim_id"), F.col("title").alias("book_name"), F.col("doc").alias("chunk_id"), F.col("chapter").alias("chapter_id"), "chunk_pos", F.col("bucket").alias("time_bucket"), F.lit("bm25").alias("retrieval_stage"),
@@ -82,10 +95,10 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
     return {"aliases": aliases, "triples": triples, "constraints": constraints, "grounded": conflicts.grounded(ids, run_id), "threshold": threshold, "decisions": decisions, "dossiers": report.dossiers(decisions, claims, evidence, candidates, chunks)}
 
 
-def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> Run:
+def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed, indexed: Callable[[DataFrame], retrieval.Index] = retrieval.build) -> Run:
     """All tables of a run of train and test rows over novels (book_name, text, position where their order counts).
 
-    keep(name, df) gives back what later steps read in place of a table that several of them need.
+    keep(name, df) gives back what later steps read in place of a table that several of them need; indexed makes the index.
     """
     cfg = cfg or Settings()
     judge = judge or verify.judge_of(cfg.verifier)
@@ -93,7 +106,7 @@ def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | N
     chunks = keep("chunks", chunking.chunks(novels, cfg.chunking, run_id))
     both = [statements.claims(statements.remap_titles(rows, titles), split, run_id) for rows, split in ((train, "train"), (test, "test"))]
     claims = keep("claims", both[0].unionByName(both[1]))
-    candidates, covered = retrieved(claims, chunks, cfg, run_id)
+    candidates, covered = retrieved(claims, chunks, cfg, run_id, indexed)
     candidates = keep("candidates", candidates)
     evidence = keep("evidence", verify.evidence(candidates, claims, chunks, judge, cfg.verifier, run_id))
     facts = keep("facts", verify.facts(evidence, cfg.verifier))
@@ -116,8 +129,13 @@ def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str],
         df.drop("run_id").write.mode("overwrite").parquet(path)
         return spark.read.schema(df.drop("run_id").schema).parquet(path).withColumn("run_id", F.lit(run_id))
 
+    def indexed(rows: DataFrame) -> retrieval.Index:
+        """Stores the index of this run, where streams of claims can be answered from it and chunks be added."""
+        folder = f"{silver}/index/run_id={run_id}"
+        return segments.load(spark, folder, segments.append(spark, folder, rows, replace=True))
+
     order = spark.createDataFrame([(Path(p).stem, i) for i, p in enumerate(novel_paths)], "book_name string, position int").dropDuplicates(["book_name"])
-    run = plan(train_df, test_df, readers.novels(spark, *novel_paths).join(order, "book_name", "left"), cfg, run_id, keep=stored)
+    run = plan(train_df, test_df, readers.novels(spark, *novel_paths).join(order, "book_name", "left"), cfg, run_id, keep=stored, indexed=indexed)
     writers.csv(train_df, f"{bronze}/train")
     writers.csv(test_df, f"{bronze}/test")
     for name in ("coverage", "aliases", "grounded"):

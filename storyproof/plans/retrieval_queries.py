@@ -12,7 +12,8 @@ from storyproof.functions.text import bucket, tokens
 from storyproof.operators import retrieval
 from storyproof.plans.registry import query, table
 from storyproof.sources.readers import spread
-from storyproof.streaming import asof
+from storyproof.sources.store import new_path
+from storyproof.streaming import asof, segments
 
 CFG = Retrieval(max_per_chapter=3)
 SEEDED = dataclasses.replace(CFG, k=6, max_per_chapter=2, enforce_buckets=True)
@@ -63,12 +64,12 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT corpus, term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs JOIN stats USING (corpus)")
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build(docs(spark, sf_dir)).terms.select("corpus", "term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.build(docs(spark, sf_dir)).weights().select("corpus", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {DOCS} SELECT corpus, doc, term, f, dl FROM postings")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build(docs(spark, sf_dir)).postings.select("corpus", "doc", "term", "f", F.col("dl").cast("long").alias("dl"))
+    return retrieval.build(docs(spark, sf_dir)).postings.select("corpus", "doc", "term", F.col("f").cast("long").alias("f"), F.col("dl").cast("long").alias("dl"))
 
 
 @query(f"WITH {SCORED} SELECT query, corpus, doc, round(score, 6) AS score FROM scored")
@@ -126,3 +127,20 @@ def retrieval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a micro-batch of the stream of claims is answered with."""
     return _ranked(asof.answered(queries(spark, sf_dir), retrieval.build(docs(spark, sf_dir)), CFG))
+
+
+ARRIVED = ("(doc_id * 7919 % 1000) / 1000.0 <= 0.66", "TRUE")
+
+
+def _of_version(version: int) -> str:
+    some = TOP.replace("FROM documents)", f"FROM documents WHERE {ARRIVED[version - 1]})")
+    return f"SELECT {version} AS version, * FROM ({some} SELECT query, corpus, doc, round(score, 6) AS score, {NORM} AS score_norm, rank FROM kept WHERE rank <= 12)"
+
+
+@query(f"{_of_version(1)} UNION ALL {_of_version(2)}")
+def retrieve_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries as of two versions of a stored index: the documents of the bucket LATE arrive after the first answers."""
+    folder, rows, asked = new_path(spark, "growing-index"), docs(spark, sf_dir), queries(spark, sf_dir)
+    made = [segments.append(spark, folder, rows.where("bucket <> 'LATE'")), segments.append(spark, folder, rows.where("bucket = 'LATE'"))]
+    answers = [_ranked(asof.answered(asked, segments.load(spark, folder, v), CFG)).withColumn("version", F.lit(v)) for v in made]
+    return answers[0].unionByName(answers[1])

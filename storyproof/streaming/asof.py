@@ -17,12 +17,13 @@ def answered(queries: DataFrame, index: retrieval.Index, cfg: Retrieval | None =
     return retrieval.top_k(retrieval.pool(index, queries, cfg), cfg)
 
 
-def answer_stream(claims: DataFrame, snapshot: Callable[[], retrieval.Index], write: Callable[[DataFrame, int], None], checkpoint: str, cfg: Retrieval | None = None, strict: bool = False, fallback: Callable[[], retrieval.Index] | None = None) -> StreamingQuery:
+def answer_stream(claims: DataFrame, snapshot: Callable[[], retrieval.Index], write: Callable[[DataFrame, int], None], checkpoint: str, cfg: Retrieval | None = None, strict: bool = False, fallback: Callable[[], retrieval.Index] | None = None, every: str | None = None) -> StreamingQuery:
     """Starts answering a stream of queries, micro-batch by micro-batch.
 
-    snapshot() gives the index as of a batch, such as the one stored last; no batch reads the corpus. If it fails, fallback()
-    is asked unless strict. write(answers, batch) must be idempotent by batch number, since a batch may be repeated after a
-    failure.
+    snapshot() gives the index as of a batch, such as the version of segments.py that is the last then; no batch reads the
+    corpus, and what is added while it runs doesn't show in it. If it fails, fallback() is asked unless strict. write(answers,
+    batch) must be idempotent by batch number, since a batch may be repeated after a failure. The stream ends when it has
+    answered what is there, or asks every so often if told how.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -34,4 +35,5 @@ def answer_stream(claims: DataFrame, snapshot: Callable[[], retrieval.Index], wr
             index = fallback()
         write(answered(batch, index, cfg).withColumn("batch", F.lit(number)), number)
 
-    return claims.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    asked = claims.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (asked.trigger(processingTime=every) if every else asked.trigger(availableNow=True)).start()

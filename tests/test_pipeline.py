@@ -11,7 +11,7 @@ from storyproof.config import Chunking, Retrieval, Settings, Verifier
 from storyproof.operators import conflicts, measures, retrieval, verify
 from storyproof.plans import evaluation, pipeline
 from storyproof.sources import readers
-from storyproof.streaming import asof
+from storyproof.streaming import asof, segments
 
 CFG = dataclasses.replace(Settings(), chunking=Chunking(12, 3, 3))
 
@@ -82,15 +82,57 @@ def test_stream(spark, tmp_path):
     asked = spark.createDataFrame([(1, "x", ["b"]), (2, "x", ["d"])], "query int, corpus string, terms array<string>")
     asked.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(asked.schema).json(str(tmp_path / "in"))
-    retrieval.save(retrieval.build(docs), str(tmp_path / "index"))
+    segments.append(spark, str(tmp_path / "index"), docs)
     failing = iter([True])
 
     def snapshot():
         if next(failing, False):
             raise OSError("gone")
-        return retrieval.load(spark, str(tmp_path / "index"))
+        return segments.load(spark, str(tmp_path / "index"))
 
     q = asof.answer_stream(stream, snapshot, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), str(tmp_path / "cp"), Retrieval(k=1), fallback=lambda: retrieval.build(docs))
     q.awaitTermination(120)
     got = {r["query"]: r["doc"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: 0, 2: 2}
+
+
+def test_index_grows_between_batches(spark, tmp_path):
+    """Chunks arrive between batches of claims; later answers see them, earlier ones stay, merging changes nothing."""
+    from storyproof.__main__ import add, answer
+
+    index, out, claims = (str(tmp_path / x) for x in ("index", "out", "claims"))
+
+    def chunks(name, rows):
+        made = spark.createDataFrame([("Book ", i, t, 0.1, "ch1", "EARLY") for i, t in rows], "book_name string, chunk_id string, chunk_text string, chunk_pos double, chapter_id string, time_bucket string")
+        made.write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    def claim(n):
+        spark.createDataFrame([(f"{n}_c1", "book", "the red fox", "", ["fox"], ["P(x)"])], "claim_id string, book_name string, claim_text string, char string, keywords array<string>, predicate_form array<string>").write.mode("append").json(claims)
+
+    def answers():
+        found = {}
+        for r in spark.read.parquet(f"{out}/answers").orderBy("batch", "query", "rank").collect():
+            found.setdefault((r["batch"], r["query"]), []).append(r["doc"])
+        return found
+
+    assert add(spark, chunks("a", [("c1", "a red hen"), ("c2", "nothing")]), index) == {"version": 1}
+    claim(1)
+    answer(spark, claims, index, out)
+    assert answers() == {(0, "1_c1"): ["c1", "c2"]}
+    assert add(spark, chunks("b", [("c3", "the red fox"), ("c4", "a fox")]), index) == {"version": 2}
+    claim(2)
+    answer(spark, claims, index, out)
+    assert answers() == {(0, "1_c1"): ["c1", "c2"], (1, "2_c1"): ["c3", "c4", "c1", "c2"]}
+    two = segments.load(spark, index, 2)
+    whole = retrieval.build(two.docs.join(spark.createDataFrame([("c1", "a red hen"), ("c2", "nothing"), ("c3", "the red fox"), ("c4", "a fox")], "doc string, text string"), "doc"))
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert sorted_rows(two.weights()) == sorted_rows(whole.weights()) and sorted_rows(two.postings) == sorted_rows(whole.postings)
+    assert segments.merge(spark, index) == 3 and sorted_rows(segments.load(spark, index).weights()) == sorted_rows(whole.weights())
+    assert segments.load(spark, index, 1).docs.count() == 2
+    assert len(segments.vacuum(spark, index, 1)) == 2 and segments.versions(spark, index) == [3] and segments.load(spark, index).docs.count() == 4
+    claim(3)
+    answer(spark, claims, index, out)
+    assert answers()[2, "3_c1"] == ["c3", "c4", "c1", "c2"]
+    with pytest.raises(FileNotFoundError):
+        segments.load(spark, index, 1)
