@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,7 +44,7 @@ def named(plain_passage: Column, aliases: Column) -> Column:
 
     def hit(alias: Column) -> Column:
         words = F.transform(name_words(alias), lambda w: F.regexp_replace(w, "'", "\\\\'"))
-        return (F.size(words) > 0) & F.regexp_like(plain_passage, F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
+        return (F.size(words) > 0) & F.regexp_like(plain_passage, F.concat(F.lit(r"(?U)\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
 
     return F.exists(aliases, hit)
 
@@ -52,3 +53,16 @@ def anchors(claim_tokens: Column, aliases: Column, negations: Column, most: int
     """The telling words of a claim: three letters or more, no negation, no part of an alias; distinct, in order."""
     own = F.flatten(F.transform(aliases, name_words))
     return F.slice(F.array_distinct(F.filter(claim_tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(negations, t) & ~F.array_contains(own, t))), 1, most)
+
+
+def begins(plain_passage: Column, words: Column) -> Callable[[Column], Column]:
+    """Whether an anchor begins a word of a passage, given plain and as its words, each after a space.
+
+    That is a search for the anchor after a space. Only an anchor with an apostrophe, which words are cut at, needs an expression.
+    """
+
+    def hit(anchor: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?U)\b"), F.replace(anchor, F.lit("'"), F.lit("\\'")), F.lit(r"\w*\b"))
+        return F.when(F.contains(anchor, F.lit("'")), F.regexp_like(plain_passage, pattern)).otherwise(F.contains(words, F.concat(F.lit(" "), anchor)))
+
+    return hit

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from storyproof.config import Logic
 from storyproof.functions import lexicon
 from storyproof.functions.text import negated, token_set
 from storyproof.schemas import VIOLATION
-from storyproof.sources.store import materialize
 
 SOLVER = "claim_nli_rule_engine_v1"
-#: Statements of an id with the same token that one task pairs with the others.
-STATEMENTS_PER_TASK = 2000
+#: Statements of an id that are compared with as many others in one group.
+TILE = 1000
 
 
 def violation(rule: Column, triples: Column, confidence: Column, severity: str) -> Column:
@@ -34,42 +35,75 @@ def structural(edges: DataFrame) -> DataFrame:
     return several_objects(edges, lexicon.UNIQUE_RELATIONS, unique, "HARD").unionByName(several_objects(edges, ("MarriedTo",), spouse, "SOFT"))
 
 
-def candidate_pairs(statements: DataFrame, cfg: Logic | None = None, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
-    """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, negations.
+def candidate_pairs(statements: DataFrame, cfg: Logic | None = None) -> DataFrame:
+    """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, unlike.
 
-    Any pair that is kept has a Jaccard similarity of at least t = 0.6 * min_jaccard, so with tokens in one order, here the
-    rarest of an id first, the two share one of the first n - ceil(t * n) + 1 of each. Only those prefixes meet, in a join on
-    (id, token), which leaves out the most frequent tokens; a token of many statements is split among tasks. The tokens that
-    two prefixes share are counted, and a pair whose other tokens can't make up for what is missing goes. Whole token sets are
-    compared for what is left. Of each id the max_pairs with most shared tokens are kept, ties by i and j. Tokens are
-    compared by 64-bit hashes; keep stores their sets, which several joins read.
+    Pairs are kept from a Jaccard similarity of min_jaccard on, from 0.6 of it where just one of the two is negated. The
+    statements of an id are dealt into tiles of about TILE, and two tiles are a group. In a group, one statement after the other
+    adds up what it shares with those of the other tile in one dense array, token by token over the lists of statements that
+    have it, so only pairs that are kept become rows: at most max_pairs of a group, those with most shared tokens, ties by i
+    and j. Of each id as many of all its groups are kept. Tokens are compared by 64-bit hashes. Statements without id or pos are
+    in no pair.
     """
     cfg = cfg or Logic()
-    least = cfg.min_jaccard * 0.6
-    told = statements.select("id", "pos", token_set(F.col("text")).alias("_tokens"))
-    postings = told.select("id", "pos", negated(F.col("_tokens")).alias("negated"), F.explode(F.transform("_tokens", lambda t: F.xxhash64(t))).alias("token"))
-    known = postings.join(postings.groupBy("id", "token").agg(F.count(F.lit(1)).alias("df")), ["id", "token"])
-    sets = keep(known.groupBy("id", "pos", "negated").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered")), "token-sets")
-    n = F.size("ordered")
-    rest = (F.ceil(least * n - 1e-9) - 1).cast("int")
-    prefix = sets.select("id", "pos", n.alias("n"), rest.alias("rest"), F.inline(F.filter(F.slice("ordered", F.lit(1), n - rest), lambda t: t["df"] > 1)))
-    prefix = prefix.withColumn("_shares", F.ceil(F.col("df") / STATEMENTS_PER_TASK).cast("int"))
-    sets = sets.select("id", "pos", "negated", F.transform("ordered", lambda t: t["token"]).alias("tokens"))
-    i = prefix.select("id", "token", F.pmod(F.xxhash64("pos"), F.col("_shares")).cast("int").alias("share"), F.col("pos").alias("i"), F.col("n").alias("ni"), F.col("rest").alias("ri"))
-    j = prefix.select("id", "token", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.col("pos").alias("j"), F.col("n").alias("nj"), F.col("rest").alias("rj"))
-    sizes = F.least("ni", "nj") >= least * F.greatest("ni", "nj") - 1e-9
-    counted = i.join(j, ["id", "token", "share"]).where((F.col("i") < F.col("j")) & sizes).groupBy("id", "i", "j", "ni", "nj", "ri", "rj").agg(F.count(F.lit(1)).alias("met"))
-    # tokens behind the prefix that ends first are all that can be shared besides
-    most = F.col("met") + F.greatest("ri", "rj")
-    met = counted.where((most >= least / (1 + least) * (F.col("ni") + F.col("nj")) - 1e-9) & (most >= cfg.min_shared_tokens)).select("id", "i", "j")
-    of = lambda x: sets.select("id", F.col("pos").alias(x), F.col("tokens").alias(f"t{x}"), F.col("negated").alias(f"negated_{x}"))
-    full = met.join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"]).withColumn("shared", F.size(F.array_intersect("ti", "tj")).cast("long")).where(F.col("shared") >= cfg.min_shared_tokens)
-    unlike = F.col("negated_i") != F.col("negated_j")
-    similarity = F.when((F.size("ti") == 0) | (F.size("tj") == 0), F.lit(0.0)).otherwise(F.col("shared") / (F.size("ti") + F.size("tj") - F.col("shared")))
-    measured = full.select("id", "i", "j", "shared", similarity.alias("jaccard"), unlike.alias("unlike"))
-    near = measured.where((F.col("jaccard") >= cfg.min_jaccard) | (F.col("unlike") & (F.col("jaccard") >= least)))
-    order = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cfg.max_pairs).drop("_n")
+    told = statements.where("id is not null and pos is not null").select("id", "pos", token_set(F.col("text")).alias("_tokens"))
+    sets = told.select("id", "pos", negated(F.col("_tokens")).alias("negated"), F.transform("_tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    tiles = statements.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
+    own = sets.join(tiles, "id").withColumn("own", F.pmod(F.xxhash64("pos"), F.col("_tiles")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    groups = dealt.select("id", F.least("own", "_other").alias("a"), F.greatest("own", "_other").alias("b"), "own", "pos", "negated", "tokens")
+    most, least, enough, floor = cfg.max_pairs, cfg.min_jaccard * 0.6, cfg.min_jaccard, cfg.min_shared_tokens
+
+    def of_tiles(rows: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pos, lists = rows.column("pos").combine_chunks(), rows.column("tokens").combine_chunks()
+        order = pc.rank(pos, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        own, negated = rows.column("own").to_numpy(), rows.column("negated").to_numpy(zero_copy_only=False).astype(bool)
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        twice = rows.column("a")[0].as_py() == rows.column("b")[0].as_py()
+        first = np.ones(len(n), dtype=bool) if twice else own == own.min()
+        second = np.flatnonzero(np.ones(len(n), dtype=bool) if twice else ~first)
+        has = np.repeat(np.arange(len(n)), n)
+        held = np.isin(has, second)
+        by_token = np.flatnonzero(held)[np.argsort(token[held], kind="stable")]
+        start = np.concatenate([[0], np.cumsum(np.bincount(token[held], minlength=token.max(initial=-1) + 1))])
+        kept = [np.zeros((5, 0))]
+
+        def best(found: list[np.ndarray]) -> np.ndarray:
+            joined = np.concatenate(found, axis=1)
+            return joined[:, np.lexsort([joined[1], joined[0], -joined[2]])[:most]]
+
+        for x in np.flatnonzero(first).tolist():
+            mine = token[ends[x] - n[x] : ends[x]]
+            size = start[mine + 1] - start[mine]
+            at = np.repeat(start[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            shared = np.bincount(has[by_token[at]], minlength=len(n))
+            some = np.flatnonzero((shared >= max(1, floor)) & ((order > order[x]) if twice else (order != order[x])))
+            jaccard = shared[some] / (n[x] + n[some] - shared[some])
+            unlike = negated[some] != negated[x]
+            near = (jaccard >= enough) | (unlike & (jaccard >= least))
+            some, low = some[near], order[some[near]] < order[x]
+            places = np.where(low, some, x), np.where(low, x, some)
+            kept.append(np.stack([order[places[0]], order[places[1]], shared[some], jaccard[near], unlike[near]]))
+            if sum(k.shape[1] for k in kept) > 100_000:
+                kept = [best(kept)]
+        i, j, shared, jaccard, unlike = best(kept)
+        value = np.zeros(order.max(initial=0) + 1, dtype=np.int64)
+        value[order] = np.arange(len(order))
+        ids = rows.column("id").combine_chunks().take(pa.array(np.zeros(len(i), dtype=np.int64)))
+        named = [pos.take(pa.array(value[x.astype(np.int64)])) for x in (i, j)]
+        return pa.table([ids, *named, pa.array(shared.astype(np.int64)), pa.array(jaccard), pa.array(unlike.astype(bool))], ["id", "i", "j", "shared", "jaccard", "unlike"])
+
+    kind = {c: statements.schema[c].dataType for c in ("id", "pos")}
+    schema = StructType([StructField("id", kind["id"]), StructField("i", kind["pos"]), StructField("j", kind["pos"]), StructField("shared", LongType()), StructField("jaccard", DoubleType()), StructField("unlike", BooleanType())])
+    near = groups.groupBy("id", "a", "b").applyInArrow(of_tiles, schema)
+    nth = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
+    return near.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= cfg.max_pairs).drop("_n")
 
 
 def lexical(pairs: DataFrame, statements: DataFrame, cfg: Logic | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyproof.config import Decision
 from storyproof.functions import scores
 from storyproof.functions.lexicon import LABELS
+from storyproof.sources.store import materialize
 
 QUANTILES = [round(0.05 + 0.025 * i, 3) for i in range(37)]
 
@@ -36,8 +37,29 @@ def features(ids: DataFrame, evidence: DataFrame, constraints: DataFrame, labels
 
 def thresholds(labelled: DataFrame) -> DataFrame:
     """Candidate thresholds t: the distinct values of 37 quantiles of the scores, with linear interpolation."""
-    grid = labelled.agg(F.percentile("evidence_score", F.array(*map(F.lit, QUANTILES))).alias("grid"))
-    return grid.select(F.explode(F.array_distinct("grid")).alias("t")).where("t is not null")
+    return quantiles(labelled, "evidence_score", QUANTILES).select(F.col("value").alias("t")).distinct()
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """(share, value): exact quantiles of a column's values that aren't null, with linear interpolation; no rows without any.
+
+    Distinct values are counted and dealt into ranges. The sizes of the ranges, a row each, say which range holds each rank
+    that is asked for; only those ranges are numbered through, each in a task of its own, so no task sorts all values.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    ranges = materialize(counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("part").agg(F.sum("c").alias("size"))
+    sizes = sizes.select("part", "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    at = F.col("share") * (F.col("n") - 1)
+    asked = sizes.select("*", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("at", at)
+    ranks = asked.select("share", "at", "part", "before", "size", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")).where("before <= rank and rank < before + size")
+    held = ranges.join(F.broadcast(ranks.select("part").distinct()), "part", "left_semi")
+    numbered = held.withColumn("upto", F.sum("c").over(Window.partitionBy("part").orderBy("value")))
+    found = numbered.join(F.broadcast(ranks), "part").where("rank >= before + upto - c and rank < before + upto")
+    whole = F.floor("at") == F.ceil("at")
+    part = F.when(whole, F.col("value")).when(F.col("rank") == F.floor("at"), (F.ceil("at") - F.col("at")) * F.col("value")).otherwise((F.col("at") - F.floor("at")) * F.col("value"))
+    return found.groupBy("share").agg(F.sum(part).alias("value"))
 
 
 def trials(labelled: DataFrame) -> DataFrame:

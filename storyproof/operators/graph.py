@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from storyproof.functions import lexicon, names
 from storyproof.functions import text as T
+from storyproof.operators import statements
+from storyproof.sources.store import materialize
 
 
 def alias_table(claims: DataFrame, run_id: str = "") -> DataFrame:
@@ -18,7 +20,8 @@ def alias_table(claims: DataFrame, run_id: str = "") -> DataFrame:
 
 def characters(claims: DataFrame) -> DataFrame:
     """(id, char, book_name) of the first claim of each id."""
-    return claims.groupBy("id").agg(F.min_by("char", "claim_id").alias("char"), F.min_by("book_name", "claim_id").alias("book_name"))
+    made = statements.order(claims)
+    return claims.groupBy("id").agg(F.min_by("char", made).alias("char"), F.min_by("book_name", made).alias("book_name"))
 
 
 def resolved(rows: DataFrame, aliases: DataFrame, mention: str, only: Column | None = None) -> DataFrame:
@@ -59,12 +62,9 @@ def numbered(edges: DataFrame) -> DataFrame:
     from the number of rows in the parts before it.
     """
     keys = ["id", "claim_id", "chunk_id", "p", "o"]
-    parts = edges.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33)
-    sizes = {r["part"]: r["n"] for r in parts.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(sizes):
-        before += [F.lit(p), F.lit(total)]
-        total += sizes[p]
-    start = F.create_map(*before)[part] if before else F.lit(0)
-    return parts.withColumn("triple_id", F.format_string("t_%05d", start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)).drop("_at")
+    parts = materialize(edges.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    parts = parts.withColumn("_part", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a part
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(starts), "_part").withColumn("triple_id", F.format_string("t_%05d", nth)).drop("_at", "_part", "_before")

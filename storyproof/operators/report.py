@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyproof.functions import text as T
+from storyproof.operators import statements
 
 
 def claim_sums(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -38,21 +39,21 @@ HEAD = "| label | conf | rank | score_lex_norm | chunk_id | chapter | bucket | e
 def dossiers(decisions: DataFrame, claims: DataFrame, evidence: DataFrame, candidates: DataFrame, chunks: DataFrame, key_claims_per_id: int = 4, rows_per_claim: int = 3) -> DataFrame:
     """(id, prediction, split, markdown) of each decided id that has claims."""
     meta = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "chapter_id", "time_bucket", "chunk_text")
-    told = claims.groupBy("id", "claim_id").agg(*(F.first(c).alias(c) for c in ("claim_text", "claim_type", "t_hint", "keywords", "char")))
+    told = claims.groupBy("id", "claim_id").agg(*(F.min_by(c, statements.order(claims)).alias(c) for c in ("claim_text", "claim_type", "t_hint", "keywords", "char")))
     best = top_evidence(evidence.select("id", "claim_id", "chunk_id", "label", "confidence"), rows_per_claim)
     rows = best.join(candidates.select("id", "claim_id", "chunk_id", "rank", "score_lex_norm"), ["id", "claim_id", "chunk_id"], "left").join(meta, "chunk_id", "left").join(told.select("id", "claim_id", "char", "keywords"), ["id", "claim_id"])
     part = T.cell(T.excerpt(F.col("chunk_text"), F.concat(F.array("char"), F.slice("keywords", 1, 6))))
     empty = lambda c: F.coalesce(c, F.lit(""))
     line = F.concat(
-        F.lit("| "), "label", F.lit(" | "), F.format_string("%.3f", F.col("confidence")), F.lit(" | "), empty(F.col("rank").cast("string")), F.lit(" | "), empty(F.format_string("%.3f", F.col("score_lex_norm"))),
+        F.lit("| "), "label", F.lit(" | "), F.format_string("%.3f", F.col("confidence")), F.lit(" | "), empty(F.col("rank").cast("string")), F.lit(" | "), F.when(F.col("score_lex_norm").isNull(), F.lit("")).otherwise(F.format_string("%.3f", F.col("score_lex_norm"))),
         F.lit(" | `"), "chunk_id", F.lit("` | "), empty(F.col("chapter_id")), F.lit(" | "), empty(F.col("time_bucket")), F.lit(" | "), part, F.lit(" |"),
     )
-    tables = rows.withColumn("_line", F.when(F.col("score_lex_norm").isNull(), F.replace(line, F.lit("null"), F.lit(""))).otherwise(line)).groupBy("id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "_line"))).alias("_lines"))
+    tables = rows.withColumn("_line", line).groupBy("id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "_line"))).alias("_lines"))
     table = F.when(F.col("_lines").isNull(), F.lit("_No evidence found for this claim._\n---\n")).otherwise(F.concat(F.lit(HEAD + "\n"), F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"), F.lit("\n\n---\n")))
     keyed = key_claims(claim_sums(claims, evidence), key_claims_per_id).join(told, ["id", "claim_id"]).join(tables, ["id", "claim_id"], "left")
     section = F.concat(F.lit("### "), "claim_id", F.lit("  \n**type:** "), "claim_type", F.lit(" | **t_hint:** "), "t_hint", F.lit("\n\n**claim:** "), "claim_text", F.lit("\n\n"), table)
     sections = keyed.withColumn("_section", section).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_rank", "_section"))), lambda x: x["_section"]), "\n").alias("_sections"))
-    first = claims.groupBy("id").agg(*(F.min_by(c, "claim_id").alias(c) for c in ("book_name", "char", "caption")))
+    first = claims.groupBy("id").agg(*(F.min_by(c, statements.order(claims)).alias(c) for c in ("book_name", "char", "caption")))
     bold = lambda name, value, end: F.concat(F.lit(f"**{name}:** "), value, F.lit(end))
     caption = F.when(empty(F.col("caption")) != "", bold("caption", F.col("caption"), "  \n")).otherwise(F.lit(""))
     why = F.when(empty(F.col("rationale")) != "", bold("rationale", F.col("rationale"), "\n")).otherwise(F.lit(""))

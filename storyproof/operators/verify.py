@@ -19,6 +19,7 @@ from storyproof.config import Verifier
 from storyproof.functions import lexicon, normal, scores
 from storyproof.functions import text as T
 from storyproof.functions.text import words_in
+from storyproof.operators import statements
 
 
 class Judge(Protocol):
@@ -120,7 +121,8 @@ def sentence_scores(passages: DataFrame, keys: list[str], top: int) -> DataFrame
     found = F.when(F.size(spans) > 0, spans).otherwise(F.array(F.trim(F.substring(F.col("passage"), 1, 400))))
     rows = passages.select(*keys, normal.wider(F.col("aliases")).alias("_aliases"), T.tokens(F.col("claim_text")).alias("_claim"), F.posexplode(found).alias("pos", "sentence"))
     rows = rows.withColumn("_anchors", normal.anchors(F.col("_claim"), F.col("_aliases"), words_in(lexicon.NEGATIONS))).withColumn("_plain", normal.plain(F.col("sentence")))
-    hits = F.size(F.filter("_anchors", lambda a: F.regexp_like(F.col("_plain"), F.concat(F.lit(r"\b"), F.replace(a, F.lit("'"), F.lit("\\'")), F.lit(r"\w*\b")))))
+    rows = rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace("_plain", r"(?U)\W+", " ")))
+    hits = F.size(F.filter("_anchors", normal.begins(F.col("_plain"), F.col("_words"))))
     score = F.when(normal.named(F.col("_plain"), F.col("_aliases")), F.lit(2.0)).otherwise(F.lit(0.0)) + F.least(F.lit(2.0), 0.6 * hits) + F.least(F.lit(0.4), F.length("sentence") / 600.0)
     order = Window.partitionBy(*keys).orderBy(F.desc("sent_score"), "pos")
     return rows.withColumn("sent_score", score).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, top)).select(*keys, "pos", "sentence", "sent_score")
@@ -146,11 +148,11 @@ def chosen_sentence(cfg: Verifier) -> Column:
 def evidence(candidates: DataFrame, claims: DataFrame, chunks: DataFrame, judge: Judge | None = None, cfg: Verifier | None = None, run_id: str = "") -> DataFrame:
     """The evidence table with passage, claim columns and predicate_form kept for facts().
 
-    candidates (id, claim_id, book_name, chunk_id, score_lex_norm) meet their claims, of several of one claim_id one whole
-    row, that of the test split first, and the text of their chunks, empty where it is missing.
+    candidates (id, claim_id, book_name, chunk_id, score_lex_norm) meet their claims, of several of one claim_id the
+    row that was made last, and the text of their chunks, empty where it is missing.
     """
     cfg, judge = cfg or Verifier(), judge or LexicalJudge()
-    told = claims.groupBy("claim_id").agg(F.max(F.struct(F.col("split") == "test", "claim_text", "char", "char_aliases", "predicate_form")).alias("_last")).select("claim_id", "_last.claim_text", "_last.char", "_last.char_aliases", "_last.predicate_form")
+    told = claims.groupBy("claim_id").agg(F.max_by(F.struct("claim_text", "char", "char_aliases", "predicate_form"), statements.order(claims)).alias("_last")).select("claim_id", "_last.*")
     texts = chunks.select("chunk_id", F.col("chunk_text").alias("passage")).dropDuplicates(["chunk_id"])
     work = candidates.select("id", "claim_id", "book_name", "chunk_id", "score_lex_norm").join(told, "claim_id").join(texts, "chunk_id", "left")
     work = work.withColumn("passage", F.coalesce("passage", F.lit("")))

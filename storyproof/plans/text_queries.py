@@ -179,6 +179,32 @@ def sentence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.sentence_scores(rows, ["doc_id"], 3)
 
 
+_NAME_WORDS = r"list_filter(string_split_regex(regexp_replace({}, '[^a-z0-9\s'']', ' ', 'g'), '\s+'), lambda w: w <> '')"
+_ANCHORED = rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS p FROM documents),
+w AS (SELECT *, regexp_extract_all(lower(p), '[a-z0-9'']+') AS toks, regexp_extract_all(lower(substring(p, 1, 80)), '[a-z0-9'']+') AS claim FROM t),
+n AS (SELECT *, CASE WHEN len(toks) >= 4 THEN [toks[3] || ' ' || toks[4]] ELSE [] END AS full_names FROM w),
+a AS (SELECT *, list_distinct(flatten(list_transform(full_names, lambda x: [x] || CASE WHEN len({_NAME_WORDS.format("x")}) >= 2 THEN list_filter([{_NAME_WORDS.format("x")}[1], {_NAME_WORDS.format("x")}[-1]], lambda y: length(y) >= 3) ELSE [] END))) AS names FROM n),
+c AS (SELECT *, list_filter(list_distinct(claim), lambda x: length(x) >= 3 AND NOT list_contains([{quoted(lexicon.NEGATIONS)}], x) AND NOT list_contains(flatten(list_transform(names, lambda y: {_NAME_WORDS.format("y")})), x)) AS anchors,
+  list_filter(list_transform(regexp_extract_all(p, '(?s).*?[.!?]+(?:\s+|$)|.+$'), lambda x: trim(x)), lambda x: x <> '') AS spans FROM a),
+s AS (SELECT doc_id, anchors, names, CASE WHEN len(spans) > 0 THEN spans ELSE [trim(substring(p, 1, 400))] END AS spans FROM c),
+e AS (SELECT doc_id, anchors, names, unnest(range(len(spans))) AS pos, unnest(spans) AS sentence FROM s),
+l AS (SELECT *, trim(regexp_replace(lower(replace(sentence, '`', '''')), '\s+', ' ', 'g')) AS plain FROM e),
+h AS (SELECT doc_id, pos, sentence, len(list_filter(anchors, lambda x: regexp_matches(plain, '\b' || x || '\w*\b'))) AS hits,
+  len(list_filter(names, lambda x: len({_NAME_WORDS.format("x")}) > 0 AND regexp_matches(plain, '\b' || array_to_string({_NAME_WORDS.format("x")}, '\s+') || '\b'))) > 0 AS named FROM l),
+r AS (SELECT *, CASE WHEN named THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + least(2.0::DOUBLE, 0.6::DOUBLE * hits) + least(0.4::DOUBLE, length(sentence) / 600.0::DOUBLE) AS score FROM h)
+SELECT doc_id, pos, sentence, round(score, 9) AS sent_score FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= 3"""
+
+
+@query(_ANCHORED)
+def anchored_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most telling sentences of each document for how it begins, a name being its third and fourth word; other letters than ASCII are spaces."""
+    ascii_text = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("passage"))
+    told = ascii_text.withColumn("_t", T.tokens(F.col("passage"))).withColumn("claim_text", F.substring("passage", 1, 80))
+    name = F.when(F.size("_t") >= 4, F.array(F.concat(F.col("_t")[2], F.lit(" "), F.col("_t")[3]))).otherwise(F.array().cast("array<string>"))
+    found = verify.sentence_scores(told.withColumn("aliases", name), ["doc_id"], 3)
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", F.round("sent_score", 9).alias("sent_score"))
+
+
 @query(f"""WITH told AS (SELECT c_custkey, c_name AS char, CASE c_custkey % 5 WHEN 0 THEN 'his debt grew.' WHEN 1 THEN 'She paid in full.' WHEN 2 THEN 'them all paid.' WHEN 3 THEN 'Mother died.' ELSE c_name || ' paid.' END AS said FROM customer)
 SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN char || '''s debt grew.' WHEN 1 THEN char || ' paid in full.' WHEN 2 THEN char || ' all paid.' WHEN 3 THEN char || '''s Mother died.' ELSE said END AS claim FROM told""")
 def standalone_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
