@@ -25,6 +25,8 @@ from storyproof.llm.common import Words, arrow_map, column, documents, materiali
 WINDOW, SLOP, SHARE = 10, 2, 0.8
 #: The windows, and pairs of a window and an item, that one search holds: about 100 bytes each in every task.
 WINDOWS, PAIRS = 500_000, 1_000_000
+#: Items of a window that are one row.
+ITEMS = 10_000
 #: The terms that an index is limited to; for more, it holds all terms of the texts.
 TERMS = 4_000_000
 SLICE = 500_000
@@ -123,7 +125,7 @@ class Plan:
     """
 
     def __init__(self, rows: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, window: int, share: float):
-        """rows (terms array<long>, items array<string>), as windows() gives them, over the sorted hashes of the vocabulary."""
+        """rows (terms array<long>, items array<string>, head), as windows() gives them, over the sorted hashes of the vocabulary."""
         terms, items = (rows[c].combine_chunks() for c in ("terms", "items"))
         self.vocabulary = vocabulary
         n = rows.num_rows
@@ -134,6 +136,7 @@ class Plan:
         often = np.where(inside, counts[found] if len(counts) else 0, np.iinfo(np.int64).max)
         order = np.argsort(often, axis=1, kind="stable")
         self.terms, self.offsets = np.take_along_axis(found, order, 1), order.astype(np.int16)
+        self.head = rows["head"].to_numpy()
         names = items.flatten().dictionary_encode()
         self.names, self.name_of = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int32)
         self.names_end = np.cumsum(items.value_lengths().to_numpy())
@@ -233,7 +236,7 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
                 document = lambda x: np.searchsorted(base, x, side="right") - 1
                 n_near, near = [0] * (hi - lo), [[] for _ in range(hi - lo)]
                 for d, w, place in proximity(p, line, at, of, document(at), window, slop):
-                    n_near[d] += 1
+                    n_near[d] += int(p.head[w])
                     begin, end = max(place, int(base[d])), min(place + int(p.length[w]), int(base[d] + n_words[lo + d]))
                     near[d] += [{"item": x, "start": begin - int(base[d]), "end": end - int(base[d])} for x in p.items(w)]
                 cover = np.zeros(len(line) + 1, dtype=np.int32)
@@ -254,10 +257,11 @@ def search(postings: DataFrame, plan: Plan, window: int, slop: int) -> DataFrame
 
 
 def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The distinct windows of the items of bench (item_id, text): (terms, items), the hashes of their words and the sorted ids.
+    """The distinct windows of the items of bench (item_id, text): (terms, items, head), the hashes of their words and the sorted ids.
 
     An item of fewer words than a window is one window; one without id or words has none. Items are cut where they are read
-    and meet by window, so an item may have any size.
+    and meet by window, so an item may have any size. A window of more than about ITEMS items is several rows, each with some
+    of them; one of these is the head, which stands for the window where windows are counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +282,12 @@ def windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
     items = bench.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     cut = arrow_map(items, run, "item string, terms array<long>").distinct()
-    return materialize(cut.groupBy("terms").agg(F.array_sort(F.collect_list("item")).alias("items")), "windows")
+    cut = materialize(cut, "cut-windows")
+    often = cut.groupBy("terms").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("least")).where(F.col("n") > ITEMS)
+    shares = often.select("terms", "least", F.ceil(F.col("n") / ITEMS).alias("shares"))
+    share = lambda c: F.pmod(F.xxhash64(c), F.coalesce("shares", F.lit(1)))
+    dealt = cut.join(shares, "terms", "left").withColumns({"share": share("item"), "head": F.coalesce(share("item") == share("least"), F.lit(True))})
+    return materialize(dealt.groupBy("terms", "share", "head").agg(F.array_sort(F.collect_list("item")).alias("items")).select("terms", "items", "head"), "windows")
 
 
 def _vocabulary(terms: DataFrame) -> np.ndarray:
@@ -313,7 +322,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
         return found(cut, postings)
     slim, all_found = postings.select(*postings.columns[: INDEX.count(", ") + 1]), None
     for i in range(parts):
-        some = materialize(found(cut.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == i), slim), "found")
+        some = materialize(found(cut.where(F.pmod(F.xxhash64("terms", "items"), F.lit(parts)) == i), slim), "found")
         all_found = all_found.unionByName(some) if all_found else some
     once = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
     lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("n_near").alias("n_near"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near")]

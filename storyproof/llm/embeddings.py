@@ -29,6 +29,8 @@ THRESHOLD = 0.98
 BLOCK_DIMS, GRID_DIMS, TILE = 8, 3, 1024
 #: Classes that one task deals into tiles, a block after the other.
 CLASSES_PER_TASK = 100_000
+#: Bytes of vectors likewise, however many classes that are.
+BYTES_PER_TASK = 256 << 20
 #: Tiles of either side of a cell that one task compares; the tiles of a cell with more are split among several.
 TILES_PER_TASK = 16
 SLACK = 1e-4  # of the squared-distance budget, for the single precision of block coordinates
@@ -65,10 +67,13 @@ def prepared(vectors: DataFrame) -> DataFrame:
             keys, vecs = [], []
             for label, s, e in zip(b.column(1).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                 v = values[s:e]
-                if label is None or not len(v) or not np.isfinite(v).all() or not (0 < (v @ v) < np.inf):
+                if label is None or not len(v) or not np.isfinite(v).all() or not v.any():
                     keys.append(None)
                     vecs.append(None)
                     continue
+                most = np.abs(v).max()
+                if not 1e-100 < most < 1e100:  # squares would leave the range; a power of two changes no cosine
+                    v = np.ldexp(v, -np.frexp(most)[1])
                 v = (v + 0.0).astype(precision).tobytes()  # -0.0 is 0.0
                 keys.append(hashlib.blake2b(v, digest_size=16, key=hashlib.blake2b(str(label).encode()).digest()).digest())
                 vecs.append(v)
@@ -140,7 +145,8 @@ def _dealt(classes: DataFrame, threshold: float, precision: str) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
 
-    n = max(1, -(-classes.count() // CLASSES_PER_TASK))
+    count, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("vec")), F.lit(0))).first()
+    n = max(1, -(-count // CLASSES_PER_TASK), -(-size // BYTES_PER_TASK))
     return materialize(arrow_map(classes.select("label", "cid", "vec").coalesce(n), run, "label string, block int, cell long, ball boolean, ids binary, points binary"), "tiles")
 
 

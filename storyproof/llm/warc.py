@@ -13,6 +13,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 import pyarrow.fs
@@ -20,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyproof.llm.common import arrow_map, bounded, materialize, shared_dir
+from storyproof.llm.common import arrow_map, bounded, materialize
+from storyproof.sources.store import new_path
 
 # Fixed values of the formats: frame magics and record lines.
 DICTIONARY_FRAME, DATA_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -38,6 +40,8 @@ READ_BYTES = 1 << 16
 SHARED_ROWS, SHARED_BYTES = 500_000, 32 << 20
 #: Numbers in headers: what a 64-bit integer holds.
 NUMBER, MOST = re.compile(r"-?[0-9]{1,19}"), (1 << 63) - 1
+RECORD_ID = re.compile(r"<urn:uuid:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}>")
+WHEN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?Z")
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block_bytes long, file string, problem string"
 
 
@@ -170,6 +174,11 @@ def parse(record: bytes) -> dict:
         fields[name.lower()] = value.strip()
     if missing := [x for x in REQUIRED if x not in fields]:
         raise Damaged(f"no {', '.join(missing)}")
+    if not RECORD_ID.fullmatch(fields["warc-record-id"]) or not RECORD_ID.fullmatch(fields.get("warc-refers-to", fields["warc-record-id"])):
+        raise Damaged("a record id that is no <urn:uuid:…>")
+    for name in ("warc-date", "warc-refers-to-date"):
+        if not _date(fields.get(name, DATE)):
+            raise Damaged(f"{name} is no time in UTC: {fields[name][:40]!r}")
     if _number(fields, "content-length") != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
         raise Damaged("the block isn't as long as Content-Length says")
     kind = fields["warc-type"]
@@ -188,6 +197,17 @@ def parse(record: bytes) -> dict:
     return {"page_id": _number(fields, "x-page-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _number(fields, "x-refers-to-page-id"), "block_bytes": _number(fields, "content-length"), "problem": None}
 
 
+def _date(text: str) -> bool:
+    """Whether a text is a time in UTC as the format writes it, with up to nine digits after the second."""
+    if not WHEN.fullmatch(text):
+        return False
+    try:
+        datetime.strptime(text[:19], "%Y-%m-%dT%H:%M:%S")
+    except ValueError:
+        return False
+    return True
+
+
 def _number(fields: dict[str, str], name: str) -> int | None:
     """The number that a header holds, none if it is absent or empty; Damaged if it is anything else."""
     said = fields.get(name)
@@ -220,12 +240,14 @@ def decide(pages: DataFrame, least: int) -> DataFrame:
 def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
     """Writes archives of pages (page_id, url, html) into a new folder; gives the folder and its manifest (file, records, bytes).
 
+    The folder is in the shared one and goes when this process ends; who wants to keep the archives moves them.
+
     Of rows with equal payloads of at least that many bytes, those with the smallest page_id are responses and the others
     revisits. Rows repeated whole, page_id included, are alike responses or alike revisits. A null html is an empty payload; a
     null page_id is never the smallest, unless no other row has the payload: then all its rows are responses. An empty table
     gives no files. Other columns of pages are ignored, whatever their names.
     """
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = new_path(pages.sparkSession, "warc")
     rows = decide(pages, least).select("page_id", "url", F.when(F.col("first").isNull(), F.col("html")).cast("binary").alias("html"), "sha1", "size", "first", "only")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,8 +155,10 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs).count() == len(DOCS)
 
 
-@pytest.mark.parametrize("windows_at_once", [None, 90])
-def test_contamination(spark, docs, empty, monkeypatch, windows_at_once):
+@pytest.mark.parametrize(("windows_at_once", "items_of_a_row"), [(None, None), (90, None), (None, 1), (90, 1)])
+def test_contamination(spark, docs, empty, monkeypatch, windows_at_once, items_of_a_row):
+    if items_of_a_row:  # windows of several items are several rows
+        monkeypatch.setattr(decontaminate, "ITEMS", items_of_a_row)
     bench = [(1, TEXTS[9]), (2, " ".join(TEXTS[10].split()[3:20])), (3, "w1 w2"), (4, None), (5, ""), (6, TEXTS[9].upper()), (7, "ÉTÉ")]
     if windows_at_once:  # less than one item has, and an index of all terms
         monkeypatch.setattr(decontaminate, "WINDOWS", windows_at_once)

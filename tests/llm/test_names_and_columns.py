@@ -1,12 +1,16 @@
-"""PII of any length and with composed names, and pipeline stages over columns of any name and empty tables."""
+"""PII of any length and with composed names, stages over columns of any name and empty tables, and other mended cases."""
 
+import hashlib
+import pathlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storyproof.llm import pii
+from storyproof.llm import decontaminate, embeddings, pii, warc
+from storyproof.sources import store
 
 r = random.Random(5)
 ODD = ["a.b", "a`b", "x y", "UID", "score", "kept_0", "c0", "spans"]
@@ -98,3 +102,49 @@ def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_matches_of_a_shared_window(spark, monkeypatch):
+    """A near match of a window that many items share is one match, however the items are dealt into rows."""
+    words = [f"a{i}" for i in range(1, 13)]
+    df = spark.createDataFrame([(1, " ".join(words[:4] + ["zz"] + words[5:])), (2, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(words)) for k in range(9)], "item_id string, text string")
+    found = []
+    for items in (10_000, 2):
+        monkeypatch.setattr(decontaminate, "ITEMS", items)
+        found.append([(x["doc_id"], x["n_near"], sorted(map(tuple, x["near"])), x["items"]) for x in decontaminate.contamination(df, bench).orderBy("doc_id").collect()])
+    assert found[0] == found[1] and found[0][1][3] == sorted(f"i{k}" for k in range(9)) and found[0][0][1] > 0
+
+
+def test_vectors_of_any_scale(spark):
+    """Squares of components may leave the range of double precision; components may not."""
+    base = [[1.0, 2.0, -1.0], [1.0, 2.0, -1.01], [3.0, -1.0, 0.5]]
+    rows, scales = [], (1.0, 1e200, 1e-200, 1e300, 5e-324)
+    for k, scale in enumerate(scales):
+        rows += [(10 * k + i, [x * scale for x in v], 7) for i, v in enumerate(base)]
+    rows += [(900, [0.0, -0.0, 0.0], 7), (901, [float("inf"), 1.0, 1.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    scaled = [np.array(v) / np.abs(v).max() for _, v, _ in rows[:-2]]
+    want = {i: sum(float(x @ y / np.sqrt((x @ x) * (y @ y))) >= 0.98 for m, y in enumerate(scaled) if m != k) for k, ((i, _, _), x) in enumerate(zip(rows, scaled, strict=False))} | {900: 0, 901: 0}
+    made = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df).collect()}
+    assert made == want and made[0] >= 7
+
+
+def test_archives_go_with_the_session(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "v", "<p>")], "page_id long, url string, html string")
+    folder, manifest = warc.write(pages)
+    assert folder in store._written and warc.read(manifest).count() == 2
+    kept = dict(store._written)
+    path = pathlib.Path(folder.removeprefix("file://"))
+    assert any(path.iterdir())
+    store.remove(folder)
+    assert not path.exists() and set(kept) - set(store._written) == {folder}
+
+
+@pytest.mark.parametrize(("old", "new"), [("WARC-Date: 2000-01-01T00:00:00Z", "WARC-Date: 2000-13-01T00:00:00Z"), ("WARC-Date: 2000-01-01T00:00:00Z", "WARC-Date: yesterday"), ("WARC-Date: 2000-01-01T00:00:00Z", "WARC-Date: 2000-01-01T00:00:00"), ("<urn:uuid:", "<urn:x:"), ("WARC-Refers-To: <urn:uuid:", "WARC-Refers-To: urn:uuid:")])
+def test_dates_and_ids_of_records(old, new):
+    sha1 = hashlib.sha1(b"x").hexdigest()
+    good = warc.build(8, "u", b"x", sha1, 1, (7, "u", True))
+    assert warc.parse(good) and old.encode() in good and warc.parse(good.replace(b"WARC-Date: 2000-01-01T00:00:00Z", b"WARC-Date: 2000-01-01T00:00:00.25Z"))
+    with pytest.raises(warc.Damaged):
+        warc.parse(good.replace(old.encode(), new.encode()))
