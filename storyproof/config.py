@@ -43,6 +43,8 @@ class Verifier:
     enable_contra_alias_gate: bool = True
     emit_supports_claim_fallback: bool = True
     min_fact_conf: float = 0.40
+    #: A folder that a model's answers are kept in from run to run; without one they are for this run alone.
+    known: str = ""
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from storyproof.config import Logic
 from storyproof.functions import lexicon
 from storyproof.functions.text import negated, token_set
+from storyproof.operators import verify
 from storyproof.schemas import VIOLATION
 
 SOLVER = "claim_nli_rule_engine_v1"
@@ -123,12 +124,12 @@ def symmetric(judged: DataFrame) -> DataFrame:
     return judged.groupBy("id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("entail").alias("entail"), F.max("contradict").alias("contradict"))
 
 
-def judged(pairs: DataFrame, statements: DataFrame, judge: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs (id, i, j) judged in both directions: (id, i, j, entail, contradict), for statements (id, pos, text)."""
+def judged(pairs: DataFrame, statements: DataFrame, judge: Callable[[Column, Column], Column], known: str = "") -> DataFrame:
+    """Pairs (id, i, j) judged in both directions: (id, i, j, entail, contradict), for statements (id, pos, text); known as in verify.judged()."""
     of = lambda x: statements.select("id", F.col("pos").alias(x), F.col("text").alias(f"text_{x}"))
     told = pairs.select("id", "i", "j").join(of("i"), ["id", "i"]).join(of("j"), ["id", "j"])
     both = told.select("id", "i", "j", F.inline(F.array(*(F.struct(F.col(f"text_{a}").alias("premise"), F.col(f"text_{b}").alias("hypothesis")) for a, b in ("ij", "ji")))))
-    return both.withColumn("_j", judge(F.col("premise"), F.col("hypothesis"))).select("id", "i", "j", "_j.entail", "_j.contradict")
+    return verify.judged(both, judge, "premise", "hypothesis", known).select("id", "i", "j", "_j.entail", "_j.contradict")
 
 
 def by_model(pairs: DataFrame, judged: DataFrame, statements: DataFrame, cfg: Logic | None = None) -> DataFrame:

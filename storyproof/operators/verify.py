@@ -7,12 +7,13 @@ model can take its place through the same interface.
 from __future__ import annotations
 
 import importlib.util
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyproof.config import Verifier
@@ -20,6 +21,10 @@ from storyproof.functions import lexicon, normal, scores
 from storyproof.functions import text as T
 from storyproof.functions.text import words_in
 from storyproof.operators import statements
+from storyproof.sources.store import materialize
+
+
+ANSWER = "label string, confidence double, entail double, contradict double, neutral double"
 
 
 class Judge(Protocol):
@@ -46,7 +51,7 @@ class LexicalJudge:
 
 
 class ModelJudge:
-    """A model in Arrow batches. load() runs once in each Python worker and gives f(premises, hypotheses) -> probabilities.
+    """A model in Arrow batches, asked by judged(). load() runs once in each Python worker and gives f(premises, hypotheses) -> probabilities.
 
     Each row of the probabilities is (entail, contradict, neutral); of equal ones the first of entail, contradict, neutral counts.
     """
@@ -57,7 +62,7 @@ class ModelJudge:
     def __call__(self, premise: Column, hypothesis: Column) -> Column:
         load = self.load
 
-        @F.pandas_udf("label string, confidence double, entail double, contradict double, neutral double")
+        @F.pandas_udf(ANSWER)
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             predict = load()
             for premises, hypotheses in batches:
@@ -68,6 +73,40 @@ class ModelJudge:
         return run(premise, hypothesis)
 
 
+def judged(rows: DataFrame, judge: Callable[[Column, Column], Column], premise: str, hypothesis: str, known: str = "") -> DataFrame:
+    """rows with _j, the judge's answer to the texts of two columns.
+
+    A model is asked once for each distinct pair, however many rows have it, in the order of length, so that the texts of a
+    batch are about as long as each other. The answers meet the rows by a hash of the pair. With known, a folder, answers are
+    stored there by model, and only pairs that it doesn't have are asked for; a pair that two runs ask at once has one answer.
+    """
+    if not isinstance(judge, ModelJudge):
+        return rows.withColumn("_j", judge(F.col(premise), F.col(hypothesis)))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pair = F.sha2(F.concat(F.length(text(premise)).cast("string"), F.lit(":"), text(premise), text(hypothesis)), 256)
+    keyed = rows.withColumn("_pair", pair)
+    pairs = keyed.select("_pair", text(premise).alias("premise"), text(hypothesis).alias("hypothesis")).dropDuplicates(["_pair"])
+    folder = f"{known.rstrip('/')}/{re.sub('[^A-Za-z0-9._-]+', '_', judge.name)}" if known else ""
+    old = answers(rows.sparkSession, folder) if folder else None
+    new = pairs if old is None else pairs.join(old.select("_pair"), "_pair", "left_anti")
+    size = F.length("premise") + F.length("hypothesis")
+    found = new.repartitionByRange(size).sortWithinPartitions(size).select("_pair", judge(F.col("premise"), F.col("hypothesis")).alias("_j"))
+    if folder:
+        found.write.mode("append").parquet(folder)
+        found = answers(rows.sparkSession, folder)
+    else:
+        found = materialize(found, "answers")
+    return keyed.join(found, "_pair").drop("_pair")
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(_pair, _j) of the answers that judged() has stored in a folder; nothing if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(f"_pair string, _j struct<{ANSWER}>").parquet(folder).groupBy("_pair").agg(F.min("_j").alias("_j"))
+
+
 def hugging_face(model_name: str, max_length: int = 512, batch_size: int = 16, device: str = "cpu") -> ModelJudge:
     """A sequence classifier of the transformers library, which need not be installed for anything else."""
 
@@ -159,13 +198,13 @@ def evidence(candidates: DataFrame, claims: DataFrame, chunks: DataFrame, judge:
     work = work.withColumn("_joined", F.array_join(F.concat(F.array(F.coalesce("char", F.lit(""))), "char_aliases"), " ¶ ")).withColumn("aliases", F.filter(F.split(normal.plain(F.col("_joined")), " ¶ "), lambda a: F.trim(a) != "")).drop("_joined")
     keys = ["id", "claim_id", "chunk_id"]
     if cfg.sentence_level:
-        judged = sentence_scores(work, keys, cfg.top_sentences).join(told.select("claim_id", "claim_text"), "claim_id")
-        judged = judged.withColumn("_j", judge(F.col("sentence"), F.col("claim_text"))).select(*keys, "pos", "sentence", "_j.label", "_j.confidence")
+        told_of = sentence_scores(work, keys, cfg.top_sentences).join(told.select("claim_id", "claim_text"), "claim_id")
+        told_of = judged(told_of, judge, "sentence", "claim_text", cfg.known).select(*keys, "pos", "sentence", "_j.label", "_j.confidence")
         label, confidence = scores.three_way(F.col("sup"), F.col("con"), F.col("neu"), cfg)
-        found = best_of_each(judged, keys).select(*keys, label.alias("_label"), confidence.alias("_confidence"), chosen_sentence(cfg).alias("evidence_text"))
+        found = best_of_each(told_of, keys).select(*keys, label.alias("_label"), confidence.alias("_confidence"), chosen_sentence(cfg).alias("evidence_text"))
         out = work.join(found, keys)
     else:
-        out = work.withColumn("_j", judge(F.col("passage"), F.col("claim_text"))).withColumns({"_label": F.col("_j.label"), "_confidence": F.col("_j.confidence"), "evidence_text": F.lit("")}).drop("_j")
+        out = judged(work, judge, "passage", "claim_text", cfg.known).withColumns({"_label": F.col("_j.label"), "_confidence": F.col("_j.confidence"), "evidence_text": F.lit("")}).drop("_j")
     out = out.withColumn("_confidence", scores.mixed(F.col("_confidence"), F.col("score_lex_norm"), cfg.score_mix_alpha))
     for on, which in ((cfg.enable_alias_gate, "SUPPORT"), (cfg.enable_contra_alias_gate, "CONTRADICT")):
         if on:

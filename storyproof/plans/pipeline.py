@@ -85,7 +85,7 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
         unlike = conflicts.lexical(pairs, stated, cfg.logic)
     else:
         pairs = keep("statement_pairs", pairs)
-        unlike = conflicts.by_model(pairs, conflicts.judged(pairs, stated, judge), stated, cfg.logic)
+        unlike = conflicts.by_model(pairs, conflicts.judged(pairs, stated, judge, cfg.verifier.known), stated, cfg.logic)
     found = conflicts.structural(triples).unionByName(unlike)
     constraints = keep("constraints", conflicts.constraints(ids, found, triples, run_id))
     labels = train.select("id", T.truth(F.col("label")).alias("y")).where("y is not null")

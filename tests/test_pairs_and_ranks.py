@@ -118,3 +118,37 @@ def test_blocks_give_the_same_answers(spark, monkeypatch, block):
     assert {k: sorted(v)[:5] for k, v in got.items()} == {k: sorted(v)[:5] for k, v in every.items()}
     if block == 3:
         assert index.sizes.count() > 25
+
+
+def test_a_model_is_asked_once_for_each_pair(spark, tmp_path):
+    """Neither order nor repeats change the answers; a second run asks only for new pairs, in batches of like length."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def load():
+        def predict(premises, hypotheses):
+            import uuid
+
+            (asked / uuid.uuid4().hex).write_text("\n".join(f"{p}|{h}" for p, h in zip(premises, hypotheses, strict=True)))
+            return [(0.8, 0.1, 0.1) if h in p else (0.1, len(p) % 7 / 10, 0.3) for p, h in zip(premises, hypotheses, strict=True)]
+
+        return predict
+
+    judge = verify.ModelJudge("counting/toy", load)
+    texts = ["a red fox", "a fox", "the sea " * 30, "", None]
+    rows = [(k, r.choice(texts), r.choice(["fox", "sea", None])) for k in range(300)]
+    schema = "k long, p string, h string"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    count = lambda: sorted(x for f in asked.iterdir() for x in f.read_text().split("\n"))
+    plain = {x["k"]: x["j"] for x in df.select("k", judge(F.col("p"), F.col("h")).alias("j")).collect()}
+    for f in asked.iterdir():
+        f.unlink()
+    distinct = sorted({f"{p or ''}|{h or ''}" for _, p, h in rows})
+    for known in ("", str(tmp_path / "known"), str(tmp_path / "known")):
+        got = {x["k"]: x["_j"] for x in verify.judged(df, judge, "p", "h", known).collect()}
+        assert got == plain
+    assert count() == sorted(distinct * 2)  # once without a folder, once with; the third time nothing
+    more = spark.createDataFrame([*rows, (1000, "a new one", "fox")], schema)
+    assert len(verify.judged(more, judge, "p", "h", str(tmp_path / "known")).collect()) == 301
+    assert count() == sorted(distinct * 2 + ["a new one|fox"])
+    assert verify.judged(more.limit(0), judge, "p", "h").count() == 0
