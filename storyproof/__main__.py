@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +14,7 @@ from storyproof import schemas
 from storyproof.config import load
 from storyproof.plans.evaluation import MAPPING, evaluate
 from storyproof.plans.pipeline import execute, index_rows, query_rows
+from storyproof.sources.paths import Files
 from storyproof.streaming import asof, segments
 
 
@@ -69,7 +69,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "run":
         made = execute(spark, a.train, a.test, a.novel, a.out, cfg, a.run_id)
         if a.copy_results:
-            shutil.copytree(made["results"], a.copy_results, dirs_exist_ok=True)
+            store = Files(spark)
+            for name in store.names(made["results"]):
+                store.copy(f"{made['results']}/{name}", f"{a.copy_results.rstrip('/')}/{name}")
     else:
         made = evaluate(spark, a.labels, a.out, a.run_id, a.aggregation, a.int_label_map, cfg)
     print(json.dumps(made, indent=2))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from storyproof.functions.lexicon import LABELS
 from storyproof.functions.text import normal_label
 from storyproof.operators import measures, report
 from storyproof.sources import readers, writers
+from storyproof.sources.paths import Files
 
 NAMES = ("label", "pred_label", "prediction_label", "final_label", "y_pred", "decision")
 MAPPING = "0=CONTRADICT,1=SUPPORT"
@@ -24,27 +24,27 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
-def predictions(spark: SparkSession, gold: Path, silver: Path, run_id: str, aggregation: str = "max_conf", mapping: str = MAPPING) -> tuple[DataFrame, str]:
+def predictions(spark: SparkSession, gold: str, silver: str, run_id: str, aggregation: str = "max_conf", mapping: str = MAPPING) -> tuple[DataFrame, str]:
     """(claim_id, pred_label) and where they come from: results with labels, else numbered decisions, else labelled evidence.
 
     aggregation says how the evidence of a claim becomes one label: max_conf or vote.
     """
-    results = gold / f"run_id={run_id}" / "results"
-    if results.exists():
-        found = _csv(spark, str(results))
+    store, results = Files(spark), f"{gold}/run_id={run_id}/results"
+    if store.exists(results):
+        found = _csv(spark, results)
         key, label = (next((c for c in names if c in found.columns), None) for names in (("claim_id", "id"), NAMES))
         if key and label:
             return found.select(F.col(key).cast("string").alias("claim_id"), normal_label(F.col(label)).alias("pred_label")), "gold_results"
-    decided = gold / "decisions" / f"run_id={run_id}"
-    if decided.exists():
-        rows = spark.read.parquet(str(decided))
+    decided = f"{gold}/decisions/run_id={run_id}"
+    if store.exists(decided):
+        rows = spark.read.parquet(decided)
         return rows.select(F.col("id").cast("string").alias("claim_id"), measures.code_labels(F.col("prediction"), mapping).alias("pred_label")), "gold_decision_scores"
-    told = silver / "evidence" / f"run_id={run_id}"
-    if not told.exists():
+    told = f"{silver}/evidence/run_id={run_id}"
+    if not store.exists(told):
         raise FileNotFoundError(f"no predictions at {results}, {decided} or {told}")
     if aggregation not in ("max_conf", "vote"):
         raise ValueError("aggregation must be max_conf or vote")
-    rows = spark.read.parquet(str(told)).select("claim_id", "chunk_id", normal_label(F.col("label")).alias("label"), "confidence")
+    rows = spark.read.parquet(told).select("claim_id", "chunk_id", normal_label(F.col("label")).alias("label"), "confidence")
     return (measures.strongest if aggregation == "max_conf" else measures.voted)(rows), f"silver_evidence ({aggregation})"
 
 
@@ -63,8 +63,8 @@ def evaluate(spark: SparkSession, labels: str, out: str, run_id: str | None = No
     Without a run_id the last run by name counts. Labels are of claims or ids, whatever the predictions are of; those without a
     prediction aren't counted. Gives the paths of the files.
     """
-    gold, silver = Path(out) / "gold", Path(out) / "silver"
-    there = sorted(p.name.removeprefix("run_id=") for p in gold.glob("run_id=*"))
+    store, gold, silver = Files(spark), f"{out.rstrip('/')}/gold", f"{out.rstrip('/')}/silver"
+    there = [n.removeprefix("run_id=") for n in store.names(gold) if n.startswith("run_id=")]
     run_id = run_id or (there[-1] if there else "")
     pred, source = predictions(spark, gold, silver, run_id, aggregation, mapping)
     known = readers.gold_labels(spark, labels)
@@ -75,12 +75,10 @@ def evaluate(spark: SparkSession, labels: str, out: str, run_id: str | None = No
     cfg = cfg or load()
     about = {"Generated": f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", "Gold labels": labels, "Pred source": source, "verifier used": cfg.verifier.backend} | {k: str(v) for k, v in asdict(cfg.verifier).items() if "threshold" in k}
     told = report.evaluation_markdown(run_id, metrics, cells, classes, LABELS, about)
-    top = gold / f"run_id={run_id}"
-    top.mkdir(parents=True, exist_ok=True)
-    paths = {"metrics": top / "metrics.json", "report": top / "eval_train_report.md"}
-    paths["metrics"].write_text(json.dumps(metrics | {"run_id": run_id, "source": source, "confusion": cells, "by_class": classes}, indent=2), encoding="utf-8")
-    paths["report"].write_text(told, encoding="utf-8")
-    for path in sorted(top.glob("report_*.md"))[:1]:
-        path.write_text(writers.put_section(path.read_text(encoding="utf-8"), "## Train evaluation (auto)\n\n" + told), encoding="utf-8")
-        paths["run_report"] = path
-    return {k: str(v) for k, v in paths.items()}
+    top = f"{gold}/run_id={run_id}"
+    measures_json = json.dumps(metrics | {"run_id": run_id, "source": source, "confusion": cells, "by_class": classes}, indent=2)
+    paths = {"metrics": store.write(f"{top}/metrics.json", measures_json), "report": store.write(f"{top}/eval_train_report.md", told)}
+    for name in [n for n in store.names(top) if n.startswith("report_") and n.endswith(".md")][:1]:
+        old = store.read(f"{top}/{name}")
+        paths["run_report"] = store.write(f"{top}/{name}", writers.put_section(old, "## Train evaluation (auto)\n\n" + told))
+    return paths

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
-import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from storyproof.config import Settings, load
 from storyproof.functions import text as T
 from storyproof.operators import chunking, conflicts, decide, graph, report, retrieval, statements, verify
 from storyproof.sources import readers, writers
+from storyproof.sources.paths import Files
 from storyproof.streaming import segments
 
 
@@ -117,10 +117,14 @@ def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | N
 
 
 def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str], out: str, cfg: Settings | None = None, run_id: str | None = None) -> dict[str, str]:
-    """A whole run with its files under out: tables, results, reports, manifest and package; gives the paths of the last."""
+    """A whole run with its files under out: tables, results, reports, manifest and package; gives the paths of the last.
+
+    Inputs and out may be in any store that both Spark and the executors' Arrow know, such as file:, hdfs: or s3:.
+    """
     cfg, run_id = cfg or load(), run_id or f"run_{datetime.now(UTC):%Y%m%d_%H%M%S}"
     train_df, test_df = readers.csv(spark, train, schemas.TRAIN), readers.csv(spark, test, schemas.TEST)
-    bronze, silver, gold = (Path(out) / x for x in ("bronze", "silver", "gold"))
+    store, out = Files(spark), out.rstrip("/")
+    bronze, silver, gold = (f"{out}/{x}" for x in ("bronze", "silver", "gold"))
     late = ("constraints", "grounded", "decisions")
 
     def stored(name: str, df: DataFrame) -> DataFrame:
@@ -134,28 +138,25 @@ def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str],
         folder = f"{silver}/index/run_id={run_id}"
         return segments.load(spark, folder, segments.append(spark, folder, rows, replace=True))
 
-    order = spark.createDataFrame([(Path(p).stem, i) for i, p in enumerate(novel_paths)], "book_name string, position int").dropDuplicates(["book_name"])
+    order = spark.createDataFrame([(PurePosixPath(p).stem, i) for i, p in enumerate(novel_paths)], "book_name string, position int").dropDuplicates(["book_name"])
     run = plan(train_df, test_df, readers.novels(spark, *novel_paths).join(order, "book_name", "left"), cfg, run_id, keep=stored, indexed=indexed)
     writers.csv(train_df, f"{bronze}/train")
     writers.csv(test_df, f"{bronze}/test")
     for name in ("coverage", "aliases", "grounded"):
         stored(name, getattr(run, name))
     stored("novel_registry", run.novels.drop("text", "position"))
-    (bronze / "novels").mkdir(parents=True, exist_ok=True)
     for p in novel_paths:
-        shutil.copyfile(p, bronze / "novels" / Path(p).name)
-    decided = run.decisions
-    top = gold / f"run_id={run_id}"
-    top.mkdir(parents=True, exist_ok=True)
+        store.copy(p, f"{bronze}/novels/{PurePosixPath(p).name}")
+    decided, top = run.decisions, f"{gold}/run_id={run_id}"
     for name, rows in (("results", test_df), ("results_train", train_df)):
         writers.csv(decided.join(rows.select("id"), "id", "left_semi").select("id", "prediction").orderBy("id"), f"{top}/{name}")
-    written = writers.files(run.dossiers, f"file://{(top / 'dossier').resolve()}").join(run.dossiers.select(F.col("id").cast("string").alias("name"), "id", "prediction", "split"), "name")
+    dossiers = writers.files(run.dossiers, store.uri(f"{top}/dossier"))
+    written = dossiers.join(run.dossiers.select(F.col("id").cast("string").alias("name"), "id", "prediction", "split"), "name")
     writers.csv(written.select("id", "prediction", "split", F.col("path").alias("dossier_path")).orderBy("id"), f"{top}/dossier_index")
-    dossier_zip = writers.zipped(top / f"dossier_{run_id}.zip", {"dossier": top / "dossier"})
-    inputs = {p: writers.sha256(Path(p)) for p in (train, test, *novel_paths)}
+    dossier_zip = writers.zipped(spark, f"{top}/dossier_{run_id}.zip", {"dossier": f"{top}/dossier"})
+    inputs = {p: store.sha256(p) for p in (train, test, *novel_paths)}
     threshold = run.threshold.first()[0]
-    manifest = writers.manifest(Path(out) / "run_manifests" / f"{run_id}.json", {"run_id": run_id, "inputs": inputs, "config": dataclasses.asdict(cfg), "outputs": {"threshold": threshold, "results": str(top / "results")}})
-    told = top / f"report_{run_id}.md"
-    told.write_text(writers.run_report(run_id, dossier_zip.exists()), encoding="utf-8")
-    package = writers.zipped(top / f"submission_{run_id}.zip", {"results": top / "results", "run_manifest.json": manifest, dossier_zip.name: dossier_zip, told.name: told})
-    return {"results": str(top / "results"), "manifest": str(manifest), "report": str(told), "dossiers": str(dossier_zip), "package": str(package)}
+    manifest = writers.manifest(store, f"{out}/run_manifests/{run_id}.json", {"run_id": run_id, "inputs": inputs, "config": dataclasses.asdict(cfg), "outputs": {"threshold": threshold, "results": f"{top}/results"}})
+    told = store.write(f"{top}/report_{run_id}.md", writers.run_report(run_id, store.exists(dossier_zip)))
+    package = writers.zipped(spark, f"{top}/submission_{run_id}.zip", {"results": f"{top}/results", "run_manifest.json": manifest, PurePosixPath(dossier_zip).name: dossier_zip, PurePosixPath(told).name: told})
+    return {"results": f"{top}/results", "manifest": manifest, "report": told, "dossiers": dossier_zip, "package": package}

@@ -1,18 +1,17 @@
-"""Results as files: tables by Spark, and the few small files of a run by the driver."""
+"""Results as files in any store: tables, dossiers and packages by the executors, the few small files of a run by the driver."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyproof.sources.paths import Files
+
 START, END = "<!-- AUTO:EVAL:START -->", "<!-- AUTO:EVAL:END -->"
 
 
@@ -52,24 +51,49 @@ def files(df: DataFrame, folder: str, name: str = "id", text: str = "markdown",
     return df.select(F.col(name).cast("string"), text).mapInArrow(run, "name string, path string, bytes long")
 
 
-def manifest(path: Path, payload: dict) -> Path:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(payload, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
-    return path
+def manifest(store: Files, path: str, payload: dict) -> str:
+    return store.write(path, json.dumps(payload, indent=2, ensure_ascii=False, default=str))
 
 
-def sha256(path: Path) -> str:
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def zipped(spark: SparkSession, path: str, members: dict[str, str]) -> str:
+    """A zip of files by their names in it, made by one task in the store of the path, a part of a file at a time.
 
+    What isn't there is left out, folders are taken whole, but for files whose names begin with a dot or an underscore. A
+    repeated task writes the same file again. The driver sees nothing of the files.
+    """
+    store = Files(spark)
+    sources, target = {n: store.uri(p) for n, p in members.items()}, store.uri(path)
 
-def zipped(path: Path, members: dict[str, Path]) -> Path:
-    """A zip of files by their names in it; what isn't there is left out, folders are taken whole."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, source in members.items():
-            for f in sorted(source.rglob("*")) if source.is_dir() else [source] if source.exists() else []:
-                if f.is_file():
-                    z.write(f, f"{name}/{f.relative_to(source)}" if source.is_dir() else name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import shutil
+        import zipfile
+
+        import pyarrow.fs
+
+        asked = sum(b.num_rows for b in batches)
+        if not asked:
+            return
+        fs, base = pyarrow.fs.FileSystem.from_uri(target)
+        n = 0
+        with fs.open_output_stream(base) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, uri in sources.items():
+                from_fs, source = pyarrow.fs.FileSystem.from_uri(uri)
+                kind = from_fs.get_file_info(source).type
+                if kind == pyarrow.fs.FileType.File:
+                    found = [(name, source)]
+                elif kind == pyarrow.fs.FileType.Directory:
+                    inside = from_fs.get_file_info(pyarrow.fs.FileSelector(source, recursive=True))
+                    paths = sorted((f.path[len(source) :].strip("/"), f.path) for f in inside if f.type == pyarrow.fs.FileType.File)
+                    found = [(f"{name}/{short}", full) for short, full in paths if not any(x[0] in "._" for x in short.split("/"))]
+                else:
+                    found = []
+                for member, full in found:
+                    with from_fs.open_input_stream(full, compression=None) as data, z.open(member, "w", force_zip64=True) as to:
+                        shutil.copyfileobj(data, to, 1 << 20)
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["members"])
+
+    spark.range(1).coalesce(1).mapInArrow(run, "members long").collect()
     return path
 
 

@@ -1,6 +1,7 @@
 """A whole run over two tiny novels, its files, and the stream."""
 
 import dataclasses
+import hashlib
 import json
 import zipfile
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from storyproof.config import Chunking, Retrieval, Settings, Verifier
 from storyproof.operators import conflicts, measures, retrieval, verify
 from storyproof.plans import evaluation, pipeline
-from storyproof.sources import readers
+from storyproof.sources import readers, writers
+from storyproof.sources.paths import Files
 from storyproof.streaming import asof, segments
 
 CFG = dataclasses.replace(Settings(), chunking=Chunking(12, 3, 3))
@@ -136,3 +138,29 @@ def test_index_grows_between_batches(spark, tmp_path):
     assert answers()[2, "3_c1"] == ["c3", "c4", "c1", "c2"]
     with pytest.raises(FileNotFoundError):
         segments.load(spark, index, 1)
+
+
+def test_run_with_uris(spark, tmp_path):
+    """Inputs and outputs by URIs, in a folder whose name has a space; the package is made by the executors."""
+    (tmp_path / "in put").mkdir()
+    (train, test), novels = inputs(tmp_path / "in put")
+    out = f"file://{tmp_path}/out put"
+    paths = pipeline.execute(spark, f"file://{train}", f"file://{test}", [f"file://{n}" for n in novels], out + "/", CFG, "r2")
+    assert all(p.startswith(out) for p in paths.values())
+    local = lambda p: p.removeprefix("file://")
+    with zipfile.ZipFile(local(paths["package"])) as z:
+        assert z.testzip() is None and {"run_manifest.json", "dossier_r2.zip", "report_r2.md"} < set(z.namelist())
+        assert not [n for n in z.namelist() if n.split("/")[-1][0] in "._"]
+        manifest = json.loads(z.read("run_manifest.json"))
+    assert manifest["inputs"][f"file://{train}"] == hashlib.sha256(open(train, "rb").read()).hexdigest()
+    with zipfile.ZipFile(local(paths["dossiers"])) as z:
+        assert z.namelist() and all(z.read(n) == open(f"{local(out)}/gold/run_id=r2/{n}", "rb").read() for n in z.namelist())
+    store = Files(spark)
+    assert store.read(paths["report"]).startswith("# Run Report") and store.names(out + "/nowhere") == []
+    told = evaluation.evaluate(spark, f"file://{train}", out)
+    assert told["run_report"].startswith(out) and "Train Evaluation" in store.read(told["run_report"])
+    # the index of the run is there for streams of claims
+    assert segments.versions(spark, f"{out}/silver/index/run_id=r2") == [1]
+    empty = writers.zipped(spark, f"{out}/empty.zip", {"nothing": f"{out}/nowhere"})
+    with zipfile.ZipFile(local(empty)) as z:
+        assert z.namelist() == []
