@@ -14,10 +14,11 @@ from storyproof.functions import lexicon
 from storyproof.functions.text import negated, token_set
 from storyproof.operators import verify
 from storyproof.schemas import VIOLATION
+from storyproof.sources.store import materialize
 
 SOLVER = "claim_nli_rule_engine_v1"
-#: Statements of an id that are compared with as many others in one group.
-TILE = 1000
+#: Statements of an id that are compared with as many others in one group, and the tokens that they have.
+TILE, TOKENS = 1000, 1_000_000
 
 
 def violation(rule: Column, triples: Column, confidence: Column, severity: str) -> Column:
@@ -36,23 +37,47 @@ def structural(edges: DataFrame) -> DataFrame:
     return several_objects(edges, lexicon.UNIQUE_RELATIONS, unique, "HARD").unionByName(several_objects(edges, ("MarriedTo",), spouse, "SOFT"))
 
 
-def candidate_pairs(statements: DataFrame, cfg: Logic | None = None) -> DataFrame:
+def candidate_pairs(statements: DataFrame, cfg: Logic | None = None, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, unlike.
 
-    Pairs are kept from a Jaccard similarity of min_jaccard on, from 0.6 of it where just one of the two is negated. The
-    statements of an id are dealt into tiles of about TILE, and two tiles are a group. In a group, one statement after the other
-    adds up what it shares with those of the other tile in one dense array, token by token over the lists of statements that
-    have it, so only pairs that are kept become rows: at most max_pairs of a group, those with most shared tokens, ties by i
-    and j. Of each id as many of all its groups are kept. Tokens are compared by 64-bit hashes. Statements without id or pos are
-    in no pair.
+    Pairs are kept from a Jaccard similarity of min_jaccard on, from 0.6 of it where just one of the two is negated. Of each id
+    the max_pairs with most shared tokens are kept, ties by i and j. That number is a bound, too: of an id with more statements
+    than a tile holds, the largest token sets are compared first. Once max_pairs of them share so many tokens, smaller sets than
+    that can be in no better pair and are left out. Tokens are compared by 64-bit hashes. Statements without id or pos are in no pair.
     """
     cfg = cfg or Logic()
     told = statements.where("id is not null and pos is not null").select("id", "pos", token_set(F.col("text")).alias("_tokens"))
-    sets = told.select("id", "pos", negated(F.col("_tokens")).alias("negated"), F.transform("_tokens", lambda t: F.xxhash64(t)).alias("tokens"))
-    tiles = statements.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
-    own = sets.join(tiles, "id").withColumn("own", F.pmod(F.xxhash64("pos"), F.col("_tiles")).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    groups = dealt.select("id", F.least("own", "_other").alias("a"), F.greatest("own", "_other").alias("b"), "own", "pos", "negated", "tokens")
+    sets = told.select("id", "pos", negated(F.col("_tokens")).alias("negated"), F.transform("_tokens", lambda t: F.xxhash64(t)).alias("tokens")).withColumn("n", F.size("tokens"))
+    sizes = keep(sets.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")), "set-sizes")
+    downwards = Window.partitionBy("id").orderBy(F.desc("n"))
+    held = sizes.withColumn("rows", F.sum("c").over(downwards)).withColumn("words", F.sum(F.col("c") * F.col("n")).over(downwards))
+    fits = (F.col("rows") <= TILE) & (F.col("words") <= TOKENS)
+    # how large a set must be to be among the first, and, where too many are as large as the largest, which share of those is
+    shares = F.max(F.when(F.col("n") == F.col("top"), F.ceil(F.greatest(F.col("rows") / TILE, F.col("words") / TOKENS))))
+    first = held.withColumn("top", F.max("n").over(Window.partitionBy("id"))).groupBy("id").agg(F.bool_and(fits).alias("all"), F.coalesce(F.min(F.when(fits, F.col("n"))), F.max("n")).alias("least"), shares.alias("shares"))
+    first = keep(first.where("not all").select("id", "least", "shares"), "first-sets")
+    bound, kept = sizes.select("id").distinct().withColumn("bound", F.lit(0).cast("long")), sets
+    if not first.isEmpty():
+        some = sets.join(first, "id").where((F.col("n") >= F.col("least")) & (F.pmod(F.xxhash64("pos"), F.col("shares")) == 0)).drop("n", "least", "shares")
+        best = _pairs(some.withColumns({"a": F.lit(0), "b": F.lit(0), "own": F.lit(0)}), cfg)
+        best = best.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("bound")).where(F.col("n") == cfg.max_pairs).select("id", "bound")
+        bound = keep(bound.drop("bound").join(best, "id", "left").na.fill(0, ["bound"]), "bounds")
+        kept = sets.join(bound, "id").where("n >= bound").drop("bound")
+    left = sizes.join(bound, "id").where("n >= bound").groupBy("id")
+    tiles = keep(left.agg(F.greatest(F.ceil(F.sum("c") / TILE), F.ceil(F.sum(F.col("c") * F.col("n")) / TOKENS)).cast("int").alias("_tiles")), "tiles")
+    own = kept.join(tiles, "id").withColumn("own", F.pmod(F.xxhash64("pos"), F.col("_tiles")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.when(F.col("_tiles") > 0, F.sequence(F.lit(0), F.col("_tiles") - 1))))
+    near = _pairs(dealt.select("id", F.least("own", "_other").alias("a"), F.greatest("own", "_other").alias("b"), "own", "pos", "negated", "tokens"), cfg)
+    nth = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
+    return near.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= cfg.max_pairs).drop("_n")
+
+
+def _pairs(groups: DataFrame, cfg: Logic) -> DataFrame:
+    """The max_pairs best pairs of each group (id, a, b) of rows with own (a or b), pos, negated, tokens: of the two tiles a and b, or within one.
+
+    One statement after the other adds up what it shares with those of the other tile in one dense array, token by token over
+    the lists of statements that have it, so only pairs that are kept become rows. Groups are bounded by TILE and TOKENS.
+    """
     most, least, enough, floor = cfg.max_pairs, cfg.min_jaccard * 0.6, cfg.min_jaccard, cfg.min_shared_tokens
 
     def of_tiles(rows: pa.Table) -> pa.Table:
@@ -100,11 +125,9 @@ def candidate_pairs(statements: DataFrame, cfg: Logic | None = None) -> DataFram
         named = [pos.take(pa.array(value[x.astype(np.int64)])) for x in (i, j)]
         return pa.table([ids, *named, pa.array(shared.astype(np.int64)), pa.array(jaccard), pa.array(unlike.astype(bool))], ["id", "i", "j", "shared", "jaccard", "unlike"])
 
-    kind = {c: statements.schema[c].dataType for c in ("id", "pos")}
+    kind = {c: groups.schema[c].dataType for c in ("id", "pos")}
     schema = StructType([StructField("id", kind["id"]), StructField("i", kind["pos"]), StructField("j", kind["pos"]), StructField("shared", LongType()), StructField("jaccard", DoubleType()), StructField("unlike", BooleanType())])
-    near = groups.groupBy("id", "a", "b").applyInArrow(of_tiles, schema)
-    nth = Window.partitionBy("id").orderBy(F.desc("shared"), "i", "j")
-    return near.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= cfg.max_pairs).drop("_n")
+    return groups.groupBy("id", "a", "b").applyInArrow(of_tiles, schema)
 
 
 def lexical(pairs: DataFrame, statements: DataFrame, cfg: Logic | None = None) -> DataFrame:

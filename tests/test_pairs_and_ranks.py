@@ -33,7 +33,7 @@ def brute_pairs(rows, cfg):
         yield from sorted(found, key=lambda p: (-p[3], p[1], p[2]))[: cfg.max_pairs]
 
 
-@pytest.mark.parametrize("tile", [1000, 7])
+@pytest.mark.parametrize("tile", [1000, 7, 40])
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_pairs_in_tiles(spark, monkeypatch, tile, kind):
     monkeypatch.setattr(conflicts, "TILE", tile)
