@@ -17,7 +17,7 @@ def chapters(texts: DataFrame, pattern: str = Chunking.chapter_regex) -> DataFra
     one chapter ch000. A null text counts as empty.
     """
     text = text_or_empty(F.col("text"))
-    parts = F.transform(F.split("_text", _ahead(pattern)), lambda p: F.struct(p.alias("text"), F.regexp_extract(p, _anchored(pattern), 0).alias("title"), F.length(p).alias("n")))
+    parts = F.transform(F.split("_text", ahead(pattern)), lambda p: F.struct(p.alias("text"), F.regexp_extract(p, anchored(pattern), 0).alias("title"), F.length(p).alias("n")))
     sizes = F.transform("_parts", lambda p: p["n"])
     placed = F.transform("_parts", lambda p, i: F.struct(p["title"].alias("title"), p["text"].alias("text"), _before(i).alias("start")))
     made = F.filter("_placed", lambda p: p["title"] != "")
@@ -53,12 +53,12 @@ def _flags(pattern: str) -> tuple[str, str]:
     return "", pattern
 
 
-def _ahead(pattern: str) -> str:
+def ahead(pattern: str) -> str:
     flags, rest = _flags(pattern)
     return f"{flags}(?={rest})"
 
 
-def _anchored(pattern: str) -> str:
+def anchored(pattern: str) -> str:
     flags, rest = _flags(pattern)
     return f"{flags}\\A(?:{rest})"
 
@@ -87,14 +87,19 @@ def windows(parts: DataFrame, code: Column, cfg: Chunking | None = None) -> Data
             F.least(n, i * step + cfg.window_words).cast("long").alias("word_end"),
         ),
     )
+    kept = [c for c in parts.columns if c != "chapter_text"]
+    out = parts.withColumn("_words", words).where("size(_words) > 0").withColumn("_blocks", blocks).select(*kept, F.inline(made))
+    return described(out, code, cfg)
+
+
+def described(windows: DataFrame, code: Column, cfg: Chunking) -> DataFrame:
+    """Windows (nth, chunk_text, characters before it in the chapter, word_start, word_end) with identifiers, places and sizes."""
     size = F.col("word_end") - F.col("word_start")
     start = (F.col("chapter_start") + F.col("before")).cast("long")
     end = start + F.length("chunk_text") + 1
     position = (start + end) / 2 / F.greatest(F.lit(1), F.col("full_len"))
-    kept = [c for c in parts.columns if c != "chapter_text"]
-    out = parts.withColumn("_words", words).where("size(_words) > 0").withColumn("_blocks", blocks).select(*kept, F.inline(made))
     return (
-        out.where((size >= cfg.min_chunk_words) | (F.col("nth") == 0))
+        windows.where((size >= cfg.min_chunk_words) | (F.col("nth") == 0))
         .withColumns({"char_start": start, "char_end": end, "chunk_pos": F.round(position, 6), "time_bucket": bucket(position), "chunk_word_count": size, "token_count": size})
         .withColumn("chunk_id", F.concat_ws("_", code, "chapter_id", F.format_string("w%04d", F.col("nth"))))
         .drop("before", "nth", "chapter_start", "full_len")
@@ -146,5 +151,9 @@ def chunks(novels: DataFrame, cfg: Chunking | None = None, run_id: str = "") ->
     """The chunk table of novels (book_name, text)."""
     cfg = cfg or Chunking()
     made = windows(chapters(novels.select("book_name", "text"), cfg.chapter_regex), title_code(F.col("book_name")), cfg)
+    return with_entities(made, run_id)
+
+
+def with_entities(chunks: DataFrame, run_id: str) -> DataFrame:
     entities = most_frequent(entity_words(F.col("chunk_text")), 12)
-    return made.withColumns({"entities": entities, "entity_mentions": entities, "run_id": F.lit(run_id)})
+    return chunks.withColumns({"entities": entities, "entity_mentions": entities, "run_id": F.lit(run_id)})

@@ -37,6 +37,12 @@ def structural(edges: DataFrame) -> DataFrame:
     return several_objects(edges, lexicon.UNIQUE_RELATIONS, unique, "HARD").unionByName(several_objects(edges, ("MarriedTo",), spouse, "SOFT"))
 
 
+def stated(triples: DataFrame) -> DataFrame:
+    """The statements that are compared: objects of supported claims. Triples without a label of support count as supported."""
+    supported = F.col("support_label") == "SUPPORT" if "support_label" in triples.columns else F.lit(True)
+    return triples.where((F.col("p") == "Claim") & supported).select("id", F.col("triple_id").alias("pos"), "triple_id", F.col("o").alias("text"), "confidence")
+
+
 def candidate_pairs(statements: DataFrame, cfg: Logic | None = None, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Pairs i < j of statements (id, pos, text) of one id that share enough tokens: id, i, j, shared, jaccard, unlike.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from storyproof import schemas
 from storyproof.config import Settings, load
 from storyproof.functions import text as T
-from storyproof.operators import chunking, conflicts, decide, graph, report, retrieval, statements, verify
+from storyproof.operators import chunking, conflicts, decide, graph, long_texts, report, retrieval, statements, verify
 from storyproof.sources import readers, writers
 from storyproof.sources.paths import Files
 from storyproof.streaming import segments
@@ -79,7 +79,7 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
     """The steps from facts on; any run can be taken up here from stored tables. A model as judge compares statements, too."""
     aliases = graph.alias_table(claims, run_id)
     triples = keep("triples", graph.triples(facts, chunks, evidence, aliases, cfg.kg.min_fact_conf, run_id))
-    stated = triples.where("p = 'Claim' and support_label = 'SUPPORT'").select("id", F.col("triple_id").alias("pos"), "triple_id", F.col("o").alias("text"), "confidence")
+    stated = conflicts.stated(triples)
     pairs = conflicts.candidate_pairs(stated, cfg.logic)
     if judge is None or isinstance(judge, verify.LexicalJudge):
         unlike = conflicts.lexical(pairs, stated, cfg.logic)
@@ -95,15 +95,16 @@ def after_facts(ids: DataFrame, claims: DataFrame, chunks: DataFrame, candidates
     return {"aliases": aliases, "triples": triples, "constraints": constraints, "grounded": conflicts.grounded(ids, run_id), "threshold": threshold, "decisions": decisions, "dossiers": report.dossiers(decisions, claims, evidence, candidates, chunks)}
 
 
-def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed, indexed: Callable[[DataFrame], retrieval.Index] = retrieval.build) -> Run:
+def plan(train: DataFrame, test: DataFrame, novels: DataFrame, cfg: Settings | None = None, run_id: str = "run", judge: verify.Judge | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed, indexed: Callable[[DataFrame], retrieval.Index] = retrieval.build, chunks: DataFrame | None = None) -> Run:
     """All tables of a run of train and test rows over novels (book_name, text, position where their order counts).
 
     keep(name, df) gives back what later steps read in place of a table that several of them need; indexed makes the index.
+    Where chunks are given, novels need no text.
     """
     cfg = cfg or Settings()
     judge = judge or verify.judge_of(cfg.verifier)
     titles = novels.select("book_name", "position" if "position" in novels.columns else F.col("book_name").alias("position"))
-    chunks = keep("chunks", chunking.chunks(novels, cfg.chunking, run_id))
+    chunks = keep("chunks", chunking.chunks(novels, cfg.chunking, run_id) if chunks is None else chunks)
     both = [statements.claims(statements.remap_titles(rows, titles), split, run_id) for rows, split in ((train, "train"), (test, "test"))]
     claims = keep("claims", both[0].unionByName(both[1]))
     candidates, covered = retrieved(claims, chunks, cfg, run_id, indexed)
@@ -139,12 +140,13 @@ def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str],
         return segments.load(spark, folder, segments.append(spark, folder, rows, replace=True))
 
     order = spark.createDataFrame([(PurePosixPath(p).stem, i) for i, p in enumerate(novel_paths)], "book_name string, position int").dropDuplicates(["book_name"])
-    run = plan(train_df, test_df, readers.novels(spark, *novel_paths).join(order, "book_name", "left"), cfg, run_id, keep=stored, indexed=indexed)
+    novels = long_texts.registry(spark, *novel_paths).join(order, "book_name", "left")
+    run = plan(train_df, test_df, novels, cfg, run_id, keep=stored, indexed=indexed, chunks=long_texts.chunks(spark, novel_paths, cfg.chunking, run_id))
     writers.csv(train_df, f"{bronze}/train")
     writers.csv(test_df, f"{bronze}/test")
     for name in ("coverage", "aliases", "grounded"):
         stored(name, getattr(run, name))
-    stored("novel_registry", run.novels.drop("text", "position"))
+    stored("novel_registry", run.novels.drop("position"))
     for p in novel_paths:
         store.copy(p, f"{bronze}/novels/{PurePosixPath(p).name}")
     decided, top = run.decisions, f"{gold}/run_id={run_id}"
@@ -154,7 +156,7 @@ def execute(spark: SparkSession, train: str, test: str, novel_paths: list[str],
     written = dossiers.join(run.dossiers.select(F.col("id").cast("string").alias("name"), "id", "prediction", "split"), "name")
     writers.csv(written.select("id", "prediction", "split", F.col("path").alias("dossier_path")).orderBy("id"), f"{top}/dossier_index")
     dossier_zip = writers.zipped(spark, f"{top}/dossier_{run_id}.zip", {"dossier": f"{top}/dossier"})
-    inputs = {p: store.sha256(p) for p in (train, test, *novel_paths)}
+    inputs = long_texts.digests_of(spark, train, test, *novel_paths)
     threshold = run.threshold.first()[0]
     manifest = writers.manifest(store, f"{out}/run_manifests/{run_id}.json", {"run_id": run_id, "inputs": inputs, "config": dataclasses.asdict(cfg), "outputs": {"threshold": threshold, "results": f"{top}/results"}})
     told = store.write(f"{top}/report_{run_id}.md", writers.run_report(run_id, store.exists(dossier_zip)))

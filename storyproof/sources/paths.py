@@ -50,9 +50,6 @@ class Files:
         """A small file's text; Spark reads it, so its store need not be the driver's."""
         return bytes(self.spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
 
-    def sha256(self, path: str) -> str:
-        return self.spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-
     def copy(self, source: str, target: str) -> None:
         """A file into another place, maybe of another store, replacing what is there."""
         (a, old), (b, new) = self._at(source), self._at(target)

@@ -56,13 +56,22 @@ def decoded(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, "\r\n?", "\n"), F.when(utf8, F.lit("utf-8")).otherwise(F.lit("latin-1"))
 
 
+def file_name_of(path: Column) -> Column:
+    """The last part of a path whose special characters are encoded."""
+    return F.element_at(F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/"), -1)
+
+
+def stem_of(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
 def novels(spark: SparkSession, *paths: str) -> DataFrame:
     """One row for each text file: its stem as book_name, what the registry keeps, and the whole text."""
     files = spark.read.format("binaryFile").load(list(paths))
     text, encoding = decoded(F.col("content"))
-    name = F.element_at(F.split(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    name = file_name_of(F.col("path"))
     return files.select(
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("book_name"), name.alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("byte_len"),
+        stem_of(name).alias("book_name"), name.alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("byte_len"),
         F.sha2("content", 256).alias("sha256"), encoding.alias("encoding"), text.alias("text"), F.current_timestamp().alias("ingest_ts"),
     )
 
