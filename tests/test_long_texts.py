@@ -40,11 +40,12 @@ def test_ranges_of_any_size_give_the_chunks_of_whole_texts(spark, tmp_path, monk
     folder = tmp_path / "books"
     texts(folder)
     want = rows(chunking.chunks(readers.novels(spark, str(folder)), CFG, "r"))
-    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     monkeypatch.setattr(long_texts, "CUT", 50)
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", 16)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
         found = long_texts.chunks(spark, [str(folder)], CFG, "r")
         assert rows(found) == want and len(want) > 150
         assert long_texts.ranges(spark, str(folder)).select("file_path", "block").distinct().count() > (15 if size == 400 else 6)
