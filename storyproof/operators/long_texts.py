@@ -129,7 +129,8 @@ def placed(cut: DataFrame) -> DataFrame:
     sums = sums.withColumns({f"before_{k}": F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)) for k in SUMS})
     sums = sums.withColumn("carried", F.last(moved(F.col("_head")), ignorenulls=True).over(earlier))
     sums = sums.withColumns({"full_len": F.sum("_chars").over(of_file) - F.max("missing").over(of_file), "all_heads": F.sum("_heads").over(of_file)})
-    sums = sums.select("file_path", "block", *(f"before_{k}" for k in SUMS), "carried", "full_len", "all_heads")
+    # stored, so that the join knows how small they are before it deals out texts
+    sums = materialize(sums.select("file_path", "block", *(f"before_{k}" for k in SUMS), "carried", "full_len", "all_heads"), "range-sums")
     whole = F.struct(F.lit("NO_CHAPTER").alias("title"), *(F.lit(0).cast("long").alias(k) for k in SUMS[:3]))
     joined = cut.where("count > 0").join(sums, ["file_path", "block"]).withColumn("own", F.coalesce(moved(F.col("head")), "carried", whole)).withColumn("no", F.col("before_heads") + F.col("heads"))
     return joined.where("no > 0 or all_heads = 0").select(
@@ -160,6 +161,13 @@ def windows(within: DataFrame, cfg: Chunking) -> DataFrame:
     return told.withColumn("chapter_id", F.format_string("ch%03d", "no")).drop("_count", "no")
 
 
+def windows_of(spark: SparkSession, paths: list[str], cfg: Chunking) -> DataFrame:
+    """The windows of text files with their book_name, as chunking.described() takes them; the files aren't read after this."""
+    lines = ranges(spark, *paths)
+    cut = materialize(pieces(lines, materialize(encodings(lines), "encodings"), cfg.chapter_regex), "pieces", compression="zstd")
+    return windows(placed(cut), cfg).withColumn("book_name", stem_of(file_name_of(F.col("file_path")))).drop("file_path")
+
+
 def chunks(spark: SparkSession, paths: list[str], cfg: Chunking | None = None, run_id: str = "") -> DataFrame:
     """The chunk table of text files: the rows of chunking.chunks(readers.novels()), but no text of a file or chapter is one row.
 
@@ -167,11 +175,7 @@ def chunks(spark: SparkSession, paths: list[str], cfg: Chunking | None = None, r
     the longest text in memory. A byte order mark is no text. Files without words have no chunks.
     """
     cfg = cfg or Chunking()
-    lines = ranges(spark, *paths)
-    cut = materialize(pieces(lines, materialize(encodings(lines), "encodings"), cfg.chapter_regex), "pieces", compression="zstd")
-    name = stem_of(file_name_of(F.col("file_path")))
-    found = windows(placed(cut), cfg).withColumn("book_name", name).drop("file_path")
-    return with_entities(described(found, title_code(F.col("book_name")), cfg), run_id)
+    return with_entities(described(windows_of(spark, paths, cfg), title_code(F.col("book_name")), cfg), run_id)
 
 
 def registry(spark: SparkSession, *paths: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyproof.config import Verifier
 from storyproof.functions import lexicon
 from storyproof.functions import text as T
-from storyproof.operators import conflicts, long_texts, report, retrieval, verify
+from storyproof.operators import chunking, conflicts, long_texts, report, retrieval, verify
 from storyproof.plans.graph_queries import EDGES, edges
 from storyproof.plans.registry import query, quoted, table
 from storyproof.plans.text_queries import CFG, WINDOWS
@@ -26,9 +26,10 @@ def chunks_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "texts")
     heading = F.concat(F.lit("§§ document "), F.col("doc_id").cast("string"))
     table(spark, sf_dir, "documents").select(F.concat_ws("\n", heading, "text")).write.text(folder)
-    made = long_texts.chunks(spark, [folder], HEADED).withColumn("doc_id", F.regexp_extract("chapter_title", r"\d+$", 0).cast("long"))
-    start = F.min("char_start").over(Window.partitionBy("book_name", "chapter_id"))
-    return made.select("doc_id", F.regexp_extract("chunk_id", r"w(\d+)$", 1).cast("long").alias("nth"), "chunk_text", "word_start", "word_end", (F.col("char_start") - start).alias("char_start"))
+    found = long_texts.windows_of(spark, [folder], HEADED).withColumn("chapter_at", F.col("chapter_start"))
+    store.remove(folder)
+    made = chunking.described(found, F.lit("d"), HEADED)
+    return made.select(F.regexp_extract("chapter_title", r"\d+$", 0).cast("long").alias("doc_id"), F.regexp_extract("chunk_id", r"w(\d+)$", 1).cast("long").alias("nth"), "chunk_text", "word_start", "word_end", (F.col("char_start") - F.col("chapter_at")).alias("char_start"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
