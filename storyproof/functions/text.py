@@ -96,11 +96,11 @@ def sentence_spans(x: Column) -> Column:
     return F.regexp_extract_all(text_or_empty(x), F.lit(r"(?U)(?s).*?[.!?]+(?:\s+|$)|.+$"), F.lit(0))
 
 
-def clauses(sentence: Column) -> Column:
-    """Parts of a sentence between marks and joining words; commas don't split."""
+def clauses(sentence: Column, whole: bool = True) -> Column:
+    """Parts of a sentence between marks and joining words; commas don't split. One that is nothing but those is itself a part if whole, else has none."""
     marks = r"(?iU)(?:[;:()—–]| - |\b(?:" + "|".join(lexicon.CLAUSE_WORDS) + r")\b)\s*"
     parts = lambda c: F.filter(F.transform(F.split(c, marks), lambda p: F.trim(p)), lambda p: p != "")
-    return let(clean(sentence), lambda c: let(parts(c), lambda p: F.when(F.size(p) == 0, F.array(c)).otherwise(p)))
+    return let(clean(sentence), lambda c: let(parts(c), lambda p: F.when(F.size(p) == 0, F.array(c)).otherwise(p)) if whole else parts(c))
 
 
 def facty(clause: Column) -> Column:

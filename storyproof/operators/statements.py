@@ -14,9 +14,9 @@ MOST = 80
 GRAM = 4
 
 
-def statements(content: Column, most: int = MOST) -> Column:
-    """The clauses of a text that are worth keeping, each ended by a mark, in order."""
-    parts = F.flatten(F.transform(T.sentences(F.trim(T.text_or_empty(content))), T.clauses))
+def statements(content: Column, most: int = MOST, whole: bool = True) -> Column:
+    """The clauses of a text that are worth keeping, each ended by a mark, in order; whole says what a sentence of joining words alone is."""
+    parts = F.flatten(F.transform(T.sentences(F.trim(T.text_or_empty(content))), lambda s: T.clauses(s, whole)))
     return F.slice(F.transform(F.filter(parts, T.worth_keeping), T.ended), 1, most)
 
 

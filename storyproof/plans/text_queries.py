@@ -60,7 +60,7 @@ numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos,
 
 @query(f"WITH {CLAUSES} SELECT doc_id, nth, statement FROM numbered WHERE nth <= 80")
 def statement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(statements.statements(F.col("text"))).alias("_at", "statement")).select("doc_id", (F.col("_at") + 1).cast("long").alias("nth"), "statement")
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(statements.statements(F.col("text"), whole=False)).alias("_at", "statement")).select("doc_id", (F.col("_at") + 1).cast("long").alias("nth"), "statement")
 
 
 WINDOWS = rf"""parts AS (SELECT doc_id, length(text) AS full_len, regexp_extract_all(text, '\S+') AS words FROM documents),

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from storyproof.config import Chunking
 from storyproof.functions import names, normal
 from storyproof.functions import text as T
 from storyproof.operators import chunking, statements
+from storyproof.plans import catalog
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -43,6 +45,18 @@ def test_statements(spark):
     assert one(spark, statements.statements(F.col("a")), a=None) == []
 
 
+def test_sentences_of_joining_words(spark, tmp_path):
+    """Runs keep them whole, as the source does; the query and its SQL have no statement of them."""
+    text = " ".join(["And"] * 12)
+    assert one(spark, statements.statements(F.col("a")), a=text) == [f"{text}."]
+    rows = [(1, text), (2, f"He was born. {text}\n; : ( and so\nHe sailed far away to the south")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["statement_split"](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.execute(catalog.SQL["statement_split"]).fetchall()) == [(2, 1, "He was born."), (2, 2, "He sailed far away to the south.")]
+
+
 def test_aliases(spark):
     made = one(spark, names.aliases(F.col("a")), a="Edmond  Dantès")
     assert {"Edmond Dantès", "Edmond", "Dantès", "Mr. Dantès", "Mlle. Dantès", "Count Dantès"} <= set(made)
