@@ -72,7 +72,7 @@ def counted(docs: DataFrame) -> DataFrame:
         if texts:
             yield _shard(texts, pa.array(ids, pa.int64()))
 
-    return materialize(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, COUNTED), "counted")
+    return materialize(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, COUNTED), "counted", wide=True)
 
 
 def length_norm(n: int, total: int, documents: int) -> int:
@@ -103,7 +103,7 @@ class Index:
                     impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[places.to_numpy()])
                     yield _row([("doc_ids", ids, pa.int64()), ("terms", terms, pa.int64()), ("ends", ends, pa.int32()), ("places", places, pa.int32()), ("impacts", impact, pa.int32())])
 
-        self.shards = materialize(arrow_map(rows, run, SHARD), "shards", replaces=rows)
+        self.shards = materialize(arrow_map(rows, run, SHARD), "shards", replaces=rows, wide=True)
 
 
 def asked(items: DataFrame) -> DataFrame:
