@@ -134,13 +134,9 @@ def scores(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Da
 
     How often a query has a term doesn't count. Scores are rounded to nine places, so that the order in which a shuffle brings
     the addends doesn't decide between equal documents. Each query's documents are as many rows; best() is for the first few.
+    Scores are added up within blocks, so neither postings nor scores are shuffled by document.
     """
-    cfg = cfg or Retrieval()
-    asked, wanted = _asked(queries)
-    known = index.weights(wanted)
-    postings = index.blocks.join(wanted, ["corpus", "term"], "left_semi").select("corpus", "term", F.inline("entries"))
-    weighed = postings.join(known, ["corpus", "term"]).select("corpus", "term", "doc", weight(cfg.k1, cfg.b).alias("w"))
-    return asked.join(weighed, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum("w"), 9).alias("score"))
+    return _added(index, queries, cfg or Retrieval(), None)
 
 
 def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> DataFrame:
@@ -151,6 +147,11 @@ def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Data
     BLOCK_DOCS and QUERIES_PER_TASK, a corpus of any size is so many more of them.
     """
     cfg = cfg or Retrieval()
+    return _added(index, queries, cfg, cfg.candidate_pool)
+
+
+def _added(index: Index, queries: DataFrame, cfg: Retrieval, most: int | None) -> DataFrame:
+    """scores(), of each block only what can be among the best so many, or all."""
     asked, wanted = _asked(queries)
     told = asked.join(index.weights(wanted), ["corpus", "term"]).groupBy("query", "corpus").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"), F.first("avgdl").alias("avgdl"))
     slices = told.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("_slices"))
@@ -158,7 +159,7 @@ def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Data
     left = told.join(of_corpus, "corpus").select("corpus", F.explode("_blocks").alias("block"), F.pmod(F.xxhash64("query"), F.col("_slices")).cast("int").alias("slice"), "query", "terms", "idfs", "avgdl")
     right = index.blocks.join(wanted, ["corpus", "term"], "left_semi").join(slices, "corpus").select("corpus", "block", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"), "term", "entries")
     schema = StructType([*(queries.schema[c] for c in ("query", "corpus")), StructField("doc", index.docs.schema["doc"].dataType), StructField("score", DoubleType())])
-    k1, b, most = cfg.k1, cfg.b, cfg.candidate_pool
+    k1, b = cfg.k1, cfg.b
 
     def of_block(queries: pa.Table, rows: pa.Table) -> pa.Table:
         import numpy as np
@@ -166,7 +167,7 @@ def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Data
 
         entries = rows.column("entries").combine_chunks()
         flat = entries.flatten()
-        coded = flat.field("doc").dictionary_encode()
+        coded = flat.field("doc").dictionary_encode("encode")
         at, f, dl = coded.indices.to_numpy(), *(flat.field(c).to_numpy().astype(np.float64) for c in ("f", "dl"))
         ends = np.cumsum(entries.value_lengths().to_numpy())
         lists = {t: slice(e - n, e) for t, e, n in zip(rows.column("term").to_pylist(), ends.tolist(), entries.value_lengths().to_pylist(), strict=True)}
@@ -179,7 +180,7 @@ def best(index: Index, queries: DataFrame, cfg: Retrieval | None = None) -> Data
                 if t in lists:
                     np.add.at(total, at[lists[t]], idf * part[lists[t]])
             hit = np.flatnonzero(total > 0)
-            if len(hit) > most:  # scores are compared when rounded to nine places
+            if most is not None and len(hit) > most:  # scores are compared when rounded to nine places
                 hit = hit[total[hit] >= np.partition(total[hit], len(hit) - most)[len(hit) - most] - 2e-9]
             which.append(np.full(len(hit), q))
             docs.append(hit)
