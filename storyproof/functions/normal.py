@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyproof.functions.text import let
+
 PLAIN = str.maketrans({"’": "'", "‘": "'", "`": "'", "“": '"', "”": '"', "—": " ", "–": " "})
 
 
@@ -43,8 +45,12 @@ def named(plain_passage: Column, aliases: Column) -> Column:
     """Whether a plain passage has one of some plain aliases, its words in a row."""
 
     def hit(alias: Column) -> Column:
-        words = F.transform(name_words(alias), lambda w: F.regexp_replace(w, "'", "\\\\'"))
-        return (F.size(words) > 0) & F.regexp_like(plain_passage, F.concat(F.lit(r"(?U)\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
+        def found(plain_words: Column) -> Column:
+            words = F.transform(plain_words, lambda w: F.regexp_replace(w, "'", "\\\\'"))
+            # an expression is compiled only for a passage that holds the first word
+            return (F.size(plain_words) > 0) & F.contains(plain_passage, F.get(plain_words, F.lit(0))) & F.regexp_like(plain_passage, F.concat(F.lit(r"(?U)\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
+
+        return F.coalesce(let(name_words(alias), found), F.lit(False))
 
     return F.exists(aliases, hit)
 

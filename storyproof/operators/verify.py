@@ -157,9 +157,11 @@ def sentence_scores(passages: DataFrame, keys: list[str], top: int) -> DataFrame
     length / 600 up to 0.4. A passage without sentences gives its first 400 characters.
     """
     spans = F.filter(F.transform(T.sentence_spans(F.col("passage")), lambda s: F.trim(s)), lambda s: s != "")
-    found = F.when(F.size(spans) > 0, spans).otherwise(F.array(F.trim(F.substring(F.col("passage"), 1, 400))))
-    rows = passages.select(*keys, normal.wider(F.col("aliases")).alias("_aliases"), T.tokens(F.col("claim_text")).alias("_claim"), F.posexplode(found).alias("pos", "sentence"))
-    rows = rows.withColumn("_anchors", normal.anchors(F.col("_claim"), F.col("_aliases"), words_in(lexicon.NEGATIONS))).withColumn("_plain", normal.plain(F.col("sentence")))
+    found = T.let(spans, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.trim(F.substring(F.col("passage"), 1, 400)))))
+    # what a passage has once is worked out below the explosion; beside it, it would be worked out for each sentence
+    whole = passages.select(*keys, normal.wider(F.col("aliases")).alias("_aliases"), T.tokens(F.col("claim_text")).alias("_claim"), found.alias("_spans"))
+    whole = whole.select(*keys, "_aliases", normal.anchors(F.col("_claim"), F.col("_aliases"), words_in(lexicon.NEGATIONS)).alias("_anchors"), "_spans")
+    rows = whole.select(*keys, "_aliases", "_anchors", F.posexplode("_spans").alias("pos", "sentence")).withColumn("_plain", normal.plain(F.col("sentence")))
     rows = rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace("_plain", r"(?U)\W+", " ")))
     hits = F.size(F.filter("_anchors", normal.begins(F.col("_plain"), F.col("_words"))))
     score = F.when(normal.named(F.col("_plain"), F.col("_aliases")), F.lit(2.0)).otherwise(F.lit(0.0)) + F.least(F.lit(2.0), 0.6 * hits) + F.least(F.lit(0.4), F.length("sentence") / 600.0)

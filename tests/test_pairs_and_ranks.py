@@ -120,6 +120,23 @@ def test_blocks_give_the_same_answers(spark, monkeypatch, block):
         assert index.sizes.count() > 25
 
 
+def test_scores_are_added_up_within_blocks(spark):
+    """No shuffle by document: after the postings of a block have met its queries, nothing is exchanged."""
+    index = retrieval.build(spark.createDataFrame([("x", "d1", "a b"), ("x", "d2", "a"), ("x", None, "b b")], "corpus string, doc string, text string"))
+    found = retrieval.scores(index, spark.createDataFrame([(1, "x", ["a", "b"])], "query long, corpus string, terms array<string>"))
+    assert sorted((x["doc"] or "") for x in found.collect()) == ["", "d1", "d2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query" not in plan.split("CoGroup")[0] and "CoGroup" in plan
+
+
+def test_passages_are_cut_into_words_once(spark):
+    """Anchors and names of a passage are worked out below the explosion into sentences, not for each sentence."""
+    rows = spark.createDataFrame([(1, "One a. Two b. Three c.", "Two b", ["two b"])], "k int, passage string, claim_text string, aliases array<string>")
+    plan = verify.sentence_scores(rows, ["k"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "claim_text" not in above and "claim_text" in below
+
+
 def test_a_model_is_asked_once_for_each_pair(spark, tmp_path):
     """Neither order nor repeats change the answers; a second run asks only for new pairs, in batches of like length."""
     asked = tmp_path / "asked"
