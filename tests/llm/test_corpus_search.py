@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,39 @@ def test_resample(spark):
     assert keyed(resampling.resample(frame(spark, docs), wanted)) == sorted(brute_resample(docs, target), key=repr)
     assert keyed(resampling.resample(frame(spark, docs), wanted.limit(0))) == sorted(brute_resample(docs, []), key=repr)
     assert resampling.resample(frame(spark, docs).limit(0), wanted).count() == 0
+
+
+@pytest.mark.parametrize("stored", [suffixes.blocks, ranking.counted])
+def test_few_wide_rows_are_in_memory(spark, stored, tmp_path):
+    """A row of megabytes ends its row group soon: a writer holds a row group, and a reader has it in memory at once."""
+    words = "array_join(transform(sequence(0, 399999), i -> conv((id * 104729 + i * 7919L) % 1000003, 10, 36)), ' ')"
+    docs = spark.range(12, numPartitions=1).selectExpr("id AS doc_id", f"{words} AS text")
+    made = stored(docs)
+    groups = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for f in made.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+    assert sum(n for n, _ in groups) == made.count() >= 6
+    assert len(groups) > 1 and max(size for _, size in groups) < 24 << 20
+
+
+def test_flags_of_a_large_bucket(spark):
+    """A bucket of more keys than are sorted at once says of each whether another block has it."""
+    g = np.random.default_rng(5)
+    common = g.integers(0, 1 << 64, 300_000, dtype=np.uint64)
+    keys = {7: common[:200_000], 9: common[100_000:], 20: np.concatenate([common[150_000:150_010], g.integers(0, 1 << 64, 250_000, dtype=np.uint64)])}
+    keys = {b: np.unique(k) for b, k in keys.items()}
+    assert sum(map(len, keys.values())) > suffixes.SORTED
+    path = suffixes.shared(spark.createDataFrame([(0, b, bytearray(k.tobytes())) for b, k in keys.items()], suffixes.SENT), 8)
+    flags, first = suffixes.Flags(path), suffixes.Flags(path, "first")
+    for b, k in keys.items():
+        others = [np.isin(k, o) for c, o in keys.items() if c != b]
+        before = [np.isin(k, o) for c, o in keys.items() if c < b] or [np.zeros(len(k), dtype=bool)]
+        bits = lambda f, n=len(k), b=b: np.unpackbits(np.frombuffer(f.of(b)[0], dtype=np.uint8), count=n).astype(bool)
+        assert (bits(flags) == np.any(others, axis=0)).all()
+        assert (bits(first) == (np.any(others, axis=0) & ~np.any(before, axis=0))).all()
+
+
+def test_resample_makes_buckets_once(spark, monkeypatch):
+    plans = {}
+    kept = resampling.materialize
+    monkeypatch.setattr(resampling, "materialize", lambda df, name, **more: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), kept(df, name, **more))[1])
+    resampling.resample(frame(spark, [(1, "a b c " * 9), (2, None)]), spark.createDataFrame([("b c",)], "text string")).count()
+    assert "crc32" in plans["buckets"] and "crc32" not in plans["scored"]
