@@ -193,7 +193,6 @@ def heads(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     split = many.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     many = materialize(many.join(split, "bucket"), "split")
     if not many.isEmpty():
-        links = links.unionByName(linked(many, texts, similarity))
-        roots = components(links)
+        roots = components(roots.toDF("a", "b").unionByName(linked(many, texts, similarity)))
     grouped = classes.select("cls", "head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root"))
     return grouped.agg(F.min("head").alias("head")).select("head.uid", "head.doc_id")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from storyproof.llm.common import Words, arrow_map, bounded, documents, payloads, slices
+from storyproof.llm.common import Words, arrow_map, bounded, documents, freed, payloads, slices
 
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 BUCKETS = (1 << 15, 1 << 13, 1 << 13)  # of whole words, beginnings, endings
@@ -235,6 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["text"] or b"")))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     model = fit([bytes(r["text"] or b"") for r in rows], [r["toxic"] for r in rows], prior)
+    del rows
+    freed()  # the driver holds nothing of the sample while later steps run
     calibrate(model, docs, usable.where(fold(F.col("doc_id")) == CALIBRATION))
     return model
 
