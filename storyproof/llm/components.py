@@ -9,7 +9,7 @@ from storyproof.llm.common import materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star operation on edges (u, v) with u > v; an edge may come out more than once."""
+    """One star operation on edges (u, v) with u > v; of a small one an edge may come out more than once."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
     moved = both.join(least, "u")
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = moved.select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least.select("u", F.col("w").alias("v")))
     else:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v"))
-    return out.where("u <> v")
+    return out.where("u <> v").distinct() if not small else out.where("u <> v")  # a node of many neighbours would come out as often
 
 
 def _stored(edges: DataFrame, name: str, replaces: DataFrame | None = None) -> tuple[DataFrame, dict]:
