@@ -9,19 +9,21 @@ from storyproof.functions import names
 from storyproof.functions import text as T
 from storyproof.operators.chunking import keyword_words, most_frequent
 
+#: Claims of a summary in a run, the first ones, as in the source.
 MOST = 80
 #: Letters of the runs by which texts that hold one another meet.
 GRAM = 4
 
 
-def statements(content: Column, most: int = MOST, whole: bool = True) -> Column:
-    """The clauses of a text that are worth keeping, each ended by a mark, in order; whole says what a sentence of joining words alone is."""
+def statements(content: Column, most: int | None = None, whole: bool = True) -> Column:
+    """All clauses of a text that are worth keeping, each ended by a mark, in order, or the first so many of them; whole says what a sentence of joining words alone is."""
     parts = F.flatten(F.transform(T.sentences(F.trim(T.text_or_empty(content))), lambda s: T.clauses(s, whole)))
-    return F.slice(F.transform(F.filter(parts, T.worth_keeping), T.ended), 1, most)
+    kept = F.transform(F.filter(parts, T.worth_keeping), T.ended)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def claims(rows: DataFrame, split: str, run_id: str = "", most: int = MOST) -> DataFrame:
-    """The claim table of rows (id, book_name, char, content, caption where there is one)."""
+def claims(rows: DataFrame, split: str, run_id: str = "", most: int | None = MOST) -> DataFrame:
+    """The claim table of rows (id, book_name, char, content, caption where there is one), most claims a row or, if that is None, all."""
     caption = F.col("caption") if "caption" in rows.columns else F.lit(None).cast("string")
     base = rows.select(
         F.col("id").cast("long").alias("id"), "book_name", F.coalesce(F.col("raw_book_name") if "raw_book_name" in rows.columns else F.col("book_name")).alias("raw_book_name"),

@@ -58,7 +58,7 @@ kept AS (SELECT doc_id, pos, nth, CASE WHEN regexp_matches(clause, '[.!?]$') THE
 numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, nth) AS nth, statement FROM kept)"""
 
 
-@query(f"WITH {CLAUSES} SELECT doc_id, nth, statement FROM numbered WHERE nth <= 80")
+@query(f"WITH {CLAUSES} SELECT doc_id, nth, statement FROM numbered")
 def statement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(statements.statements(F.col("text"), whole=False)).alias("_at", "statement")).select("doc_id", (F.col("_at") + 1).cast("long").alias("nth"), "statement")
 

@@ -57,6 +57,20 @@ def test_sentences_of_joining_words(spark, tmp_path):
     assert got == sorted(duck.execute(catalog.SQL["statement_split"]).fetchall()) == [(2, 1, "He was born."), (2, 2, "He sailed far away to the south.")]
 
 
+def test_all_statements_of_long_texts(spark, tmp_path):
+    """However many a text has, in one sentence or in many, repeated or not; runs take as many claims as the source unless told otherwise."""
+    said = {1: [f"He was born in {i}." for i in range(300)], 2: [f"she was born in {i}" for i in range(1, 200)] + ["she was born."], 3: ["He was born."] * 81, 4: ["He was born."]}
+    rows = [(1, "\n".join(said[1])), (2, "; ".join(said[2])), (3, " ".join(said[3])), (4, said[4][0]), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["statement_split"](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == [(k, i, s if s.endswith(".") else f"{s}.") for k, v in said.items() for i, s in enumerate(v, 1)]
+    assert got == sorted(duck.execute(catalog.SQL["statement_split"]).fetchall())
+    summary = spark.createDataFrame([(1, "b", "Ayrton", rows[0][1])], "id long, book_name string, char string, content string")
+    assert [statements.claims(summary, "train", **most).count() for most in ({}, {"most": None})] == [statements.MOST, 300]
+
+
 def test_aliases(spark):
     made = one(spark, names.aliases(F.col("a")), a="Edmond  Dantès")
     assert {"Edmond Dantès", "Edmond", "Dantès", "Mr. Dantès", "Mlle. Dantès", "Count Dantès"} <= set(made)
